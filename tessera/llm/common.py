@@ -41,7 +41,7 @@ def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: the size of its files where it is a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
