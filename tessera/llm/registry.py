@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, records, toxicity
+from . import avi, bpe, mixing, records, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_bpe": bpe.op4_bpe,
+    "op5_avi": avi.op5_avi,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
