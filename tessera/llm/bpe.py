@@ -19,11 +19,12 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
-from .common import arrow_batches, documents
+from .chunks import ChunkTable, ranges
+from .common import arrow_batches, documents, utf8
 
 _INF = np.int32(2**31 - 1)
 #: Pieces of up to this many bytes are merged in rows.
@@ -159,52 +160,60 @@ class SegmentTreeBpe:
                     out[k] = ids
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and how many each has; equal pattern matches are merged once."""
+        found = [_PATTERN.findall(c.decode()) for c in chunks]
+        place = {m: k for k, m in enumerate(dict.fromkeys(m for f in found for m in f))}
+        merged = self.encode_matches(list(place))
+        flat, size = np.frombuffer(b"".join(merged), "<u4"), np.array([len(m) // 4 for m in merged], np.int64)
+        which = np.array([place[m] for f in found for m in f], np.int64)
+        sizes = np.add.reduceat(np.append(size[which], 0), np.cumsum([0, *map(len, found)])[:-1]) if len(found) else np.zeros(0, np.int64)
+        sizes[[not f for f in found]] = 0
+        return flat[ranges((np.cumsum(size) - size)[which], size[which])], sizes
 
+    def encode_whole(self, text: bytes) -> np.ndarray:
+        return self.encode_chunks([text])[0]
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
+
+
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
 _loaded: dict = {}
 
 
-def encoder(path: str) -> tuple[SegmentTreeBpe, ChunkEncoder]:
+def encoder(path: str) -> tuple[SegmentTreeBpe, ChunkTable]:
     """One for each worker process and rank file."""
     if path not in _loaded:
         bpe = SegmentTreeBpe(path)
-        _loaded[path] = bpe, ChunkEncoder(bpe.encode_matches)
+        _loaded[path] = bpe, ChunkTable(bpe.encode_chunks, bpe.encode_whole)
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, ranks: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., ids binary: little-endian unsigned 32-bit ids, decoded binary) of each document; no shuffle."""
+def encode_documents(docs: DataFrame, ranks: str, digests: bool = False) -> DataFrame:
+    """Each document's ids and their decoded bytes, after all columns of ``docs``: (ids, decoded), both binary, ids as
+    little-endian unsigned 32-bit integers; or with ``digests`` (n_tokens, ids_sha256, decoded_sha256), taken where
+    the ids are made, so that no ids cross to the JVM. No shuffle."""
     arrow_batches(docs.sparkSession)
-    kept = [docs.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids binary", "decoded binary"])
+    extra = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "binary"), ("decoded", "binary")]
+    names, kept = [f"c{k}" for k in range(len(docs.columns))], [f.dataType.simpleString() for f in docs.schema]
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*zip(names, kept, strict=True), *extra])
 
     def rows(batches):
-        bpe, chunked = encoder(ranks)
+        bpe, table = encoder(ranks)
         for b in batches:
-            ids = chunked.encode([t or "" for t in b["__text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], [*keep, "ids", "decoded"])
+            ids = table.encode_each(b.column(len(names)).to_pylist())
+            raw, decoded = [x.astype("<u4").tobytes() for x in ids], [bpe.decode(x) for x in ids]
+            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            made = [pa.array(map(len, ids), pa.int64()), sha(raw), sha(decoded)] if digests else [pa.array(raw, pa.binary()), pa.array(decoded, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], [*names, *(n for n, _ in extra)])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(rows, schema)
+    text = utf8("text").alias("__text")
+    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text).toDF(*names, "__text")
+    return wide.mapInArrow(rows, schema).toDF(*docs.columns, *(n for n, _ in extra))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
-    """The digests are taken where the ids are made, so no ids cross to the JVM."""
-    return encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-
-
-def encode_digests(docs: DataFrame, ranks: str) -> DataFrame:
-    arrow_batches(docs.sparkSession)
-
-    def rows(batches):
-        bpe, chunked = encoder(ranks)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            ids = chunked.encode([t or "" for t in b["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(bpe.decode(x)) for x in ids], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # the digests need doc_id and text alone; the text itself is not returned
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True).drop("text")

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, documents, input_bytes, new_path
+from .chunks import ChunkTable, ranges
+from .common import arrow_batches, documents, input_bytes, new_path, utf8
 
 END_ID = 0
 #: Input bytes of text to one shard, about.
@@ -90,10 +91,9 @@ def closing() -> bytes:
     return next(f for k in range(1 << 16) if (f := frame(b"\0" + struct.pack("<H", k)))[-1] == 0)
 
 
-def payload(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
-    """``ids``: little-endian unsigned 32-bit; kept as 16-bit where the vocabulary allows it."""
-    body = ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-    return struct.pack("<BBq", 4 if wide else 2, doc_id is not None, doc_id or 0) + body
+def payload(doc_id: int | None, ids: np.ndarray, wide: bool) -> bytes:
+    """Ids take 16 bits each where the vocabulary allows it."""
+    return struct.pack("<BBq", 4 if wide else 2, doc_id is not None, doc_id or 0) + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def parse(data: bytes):
@@ -115,46 +115,57 @@ def parse(data: bytes):
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    """The library's encoder behind the chunk dictionaries; one for each worker process."""
-    if path not in _encoders:
+class LibraryEncoder:
+    """The tokenizers library behind a table of known chunks."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        from .chunks import ChunkEncoder
-
-        tk = Tokenizer.from_file(path)
-        line = np.array(tk.encode("\n", add_special_tokens=False).ids, np.uint32)
-
-        def encode_matches(matches: list[str]) -> list[bytes]:
-            """Many matches go through the library as lines of one text; the line feed's id parts them again. Matches
-            that end or begin with white space other than one leading blank go alone."""
-            out: list = [None] * len(matches)
-            plain = [k for k, m in enumerate(matches) if len(line) == 1 and m.strip() and "\n" not in m and m.lstrip(" ") == m.strip() and not m.startswith("  ")]
-            for lo in range(0, len(plain), 2000):
-                some = plain[lo : lo + 2000]
-                ids = np.array(tk.encode_batch_fast(["\n".join(matches[k] for k in some)], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == line[0])
-                if len(cuts) == len(some) - 1:
-                    raw, starts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
-                    for k, a, b in zip(some, starts, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                        out[k] = raw[a:b]
-            alone = [k for k, x in enumerate(out) if x is None]
-            for k, e in zip(alone, tk.encode_batch_fast([matches[k] for k in alone], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, "<u4").tobytes()
-            return out
-
-        # strings of special tokens are cut out before the pattern; texts with one take the plain way
-        special = [t.content for t in tk.get_added_tokens_decoder().values()]
-        chunked = ChunkEncoder(encode_matches)
-
-        def encode(texts: list[str]) -> list[bytes]:
-            odd = {k for k, t in enumerate(texts) if any(s in t for s in special)}
-            got = chunked.encode(["" if k in odd else t for k, t in enumerate(texts)])
-            for k in odd:
-                got[k] = np.array(tk.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
-            return got
-
-        _encoders[path] = encode, tk.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.tk = Tokenizer.from_file(path)
+        self.wide = self.tk.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.line = self._ids("\n")
+        # strings of special tokens are cut out of a text first; texts with one are encoded whole
+        self.special = [t.content.encode() for t in self.tk.get_added_tokens_decoder().values()]
+        self.table = ChunkTable(self.encode_chunks, lambda t: self._ids(t.decode()))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin with one blank go through the library as lines of one text, those that begin with one
+        line feed are such lines themselves; the line feed's id parts them again. The rest go one by one."""
+        sizes, out, order = np.zeros(len(chunks), np.int64), [np.zeros(0, np.uint32)], []
+        single = lambda c, lead: c[:1] == lead and c[1:2] not in (b" ", b"\n", b"")
+        for some, lead in (([k for k, c in enumerate(chunks) if single(c, b" ")], b"\n"), ([k for k, c in enumerate(chunks) if single(c, b"\n")], b"")):
+            for lo in range(0, len(some) if len(self.line) == 1 else 0, 4000):
+                part = some[lo : lo + 4000]
+                ids = self._ids((lead + lead.join([chunks[k] for k in part])).decode())
+                cuts = np.flatnonzero(ids == self.line[0])
+                if len(cuts) == len(part):
+                    n = np.diff(cuts, append=len(ids))
+                    if lead:
+                        ids, n = np.delete(ids, cuts), n - 1
+                    out.append(ids)
+                    order += part
+                    sizes[part] = n
+        got = np.zeros(len(chunks), bool)
+        got[order] = True
+        for k in np.flatnonzero(~got).tolist():
+            out.append(self._ids(chunks[k].decode()))
+            order.append(k)
+            sizes[k] = len(out[-1])
+        at = np.zeros(len(chunks), np.int64)
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(out)[ranges(at, sizes)], sizes
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return self.table.encode_each(texts, {k for k, t in enumerate(texts) if any(s in t for s in self.special)})
+
+
+def _encoder(path: str) -> LibraryEncoder:
+    """One for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
     return _encoders[path]
 
 
@@ -162,18 +173,18 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     """Encode (doc_id, text) and write the shards under ``path``; one range shuffle on doc_id puts them in order."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     if shards is None:
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(docs) // SHARD_BYTES, 1_000_000), 1)
     docs = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def rows(batches):
-        encode, wide = _encoder(tokenizer)
-        last, tail = b"", struct.pack("<I", end_id)
+        encoder = _encoder(tokenizer)
+        last = b""
         for b in batches:
             pieces = []
-            for doc, ids in zip(b["doc_id"].to_pylist(), encode(b["text"].to_pylist()), strict=True):
-                f = frame(payload(doc, ids + tail, wide))
+            for doc, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist()), strict=True):
+                f = frame(payload(doc, np.append(ids, np.uint32(end_id)), encoder.wide))
                 pieces.append(last + f[:7])  # the separator takes the place of f[7], a zero
                 last = f[8:]
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["row"])
