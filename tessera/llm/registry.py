@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, records, toxicity
+from . import avi, bpe, mixing, records, setsketch, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_avi": avi.op5_avi,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_near_dedup": setsketch.op10_near_dedup,
 }
 
 
