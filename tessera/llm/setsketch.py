@@ -9,11 +9,10 @@ are equal with a probability that rises with their Jaccard similarity.
 2. Bands of registers put representatives into buckets; buckets with the same members count once.
 3. In a bucket, all pairs are compared by their sketches with NumPy. The similarity is estimated jointly from the
    numbers of greater, smaller and equal registers and both set sizes, by maximum likelihood; pairs of which even
-   ``MARGIN`` standard deviations leave the estimate below the threshold go. Those that join clusters of surely
-   linked documents come out in rounds: first a few for each pair of clusters, best first, then, for pairs whose
-   clusters are still apart, the rest, in windows of doubling size. No link is lost by that, and a group of N
-   near-copies gives about N pairs and not their square.
-4. Pairs are verified on the full sets; verified links make components.
+   ``MARGIN`` standard deviations leave the estimate below the threshold go.
+4. The rest are verified on the full sets, best first, unless verified links join them already. So no link between
+   components is lost, and a bucket of N near-copies gives at most N - 1 links and not their square.
+5. Verified links make components.
 
 Buckets of more than ``BLOCK`` members are compared in pairs of blocks, each a task's group of its own.
 
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import arrow_batches, documents, staged, utf8
 from .components import connected
+from .repeats import packed, unpack
 
 K = 5
 BANDS, ROWS = 32, 6
@@ -43,9 +43,7 @@ BASE = 1.1
 RATE = 20.0
 MARGIN = 4.5
 #: Members of a bucket that one task compares at once.
-BLOCK = 2048
-#: Pairs for each pair of clusters of a bucket in the first round.
-FIRST = 16
+BLOCK = 1024
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, M, np.uint32)
@@ -134,62 +132,76 @@ class _Forest:
         return a != b
 
 
-def bucket_pairs(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, regs: np.ndarray, component: np.ndarray, turn: int, threshold: float):
-    """Pairs (i, j) of a bucket's members to verify in round ``turn``, and whether later rounds have more.
-    ``left`` and ``right``: the members to compare with each other (equal for a whole bucket)."""
-    sd = np.sqrt(threshold * (1 - threshold) / M)
-    found_i, found_j, found_e = [], [], []
-    same_block = left is right
+def _likely(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, regs: np.ndarray, alive: np.ndarray, band: int, threshold: float):
+    """Pairs of a bucket's members whose estimate leaves a link possible, best first: arrays (i, j). A pair comes
+    out only in the first of the kept buckets that both are in."""
+    slack = MARGIN * np.sqrt(threshold * (1 - threshold) / M)
+    found = []
     for lo in range(0, len(left), 64):
         rows = left[lo : lo + 64]
-        for at in range(lo if same_block else 0, len(right), 512):
+        for at in range(lo if left is right else 0, len(right), 512):
             cols = right[at : at + 512]
             n1, n2 = sizes[rows][:, None], sizes[cols][None, :]
             ok = np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9
-            ok &= component[rows][:, None] != component[cols][None, :]
-            ok &= rows[:, None] < cols[None, :] if same_block else rows[:, None] != cols[None, :]
+            if left is right:
+                ok &= rows[:, None] < cols[None, :]
             i, j = np.nonzero(ok)
             for part in range(0, len(i), 1 << 14):
                 a, b = rows[i[part : part + (1 << 14)]], cols[j[part : part + (1 << 14)]]
                 x, y = regs[a], regs[b]
-                up, down = (x > y).sum(1), (x < y).sum(1)
-                near = up + down <= M * (1 - threshold + MARGIN * sd + 0.02)  # equal registers are at least as many as the similarity says
-                if near.any():
-                    a, b = a[near], b[near]
-                    e = estimate(up[near], down[near], sizes[a], sizes[b])
-                    keep = e >= threshold - MARGIN * sd
-                    found_i.append(a[keep])
-                    found_j.append(b[keep])
-                    found_e.append(e[keep])
-    if not found_i or not (n := sum(map(len, found_i))):
-        return [], False
-    i, j, e = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_e)
-    order = np.lexsort((j, i, -e))
-    i, j, e = i[order].tolist(), j[order].tolist(), e[order].tolist()
-    forest, tree = _Forest(len(sizes)), [False] * n
-    for k in range(n):
-        if e[k] < threshold + MARGIN * sd:
-            break
-        tree[k] = forest.join(i[k], j[k])
-    rank: dict[tuple[int, int], int] = {}
-    out, more = [], False
-    low, high = FIRST * (2**turn - 1), FIRST * (2 ** (turn + 1) - 1)
-    for k in range(n):
-        if tree[k]:
-            if turn == 0:
-                out.append((i[k], j[k]))
-            continue
-        a, b = forest.find(i[k]), forest.find(j[k])
-        if a == b and turn == 0:
-            more = True  # only if a pair of the tree turns out not to be linked
-            continue
-        key = (a, b) if a < b else (b, a)
-        r = rank[key] = rank.get(key, -1) + 1
-        if low <= r < high or a == b:
-            out.append((i[k], j[k]))
-        elif r >= high:
-            more = True
-    return out, more
+                same = x == y
+                near = same.sum(1) >= M * (threshold - slack - 0.02)  # equal registers are at least as many as the similarity says
+                shared = same[near].reshape(-1, BANDS, ROWS).all(2) & alive[a[near]]
+                a, b, x, y = a[near], b[near], x[near], y[near]
+                first = shared.argmax(1) == band
+                a, b, x, y = a[first], b[first], x[first], y[first]
+                if len(a):
+                    e = estimate((x > y).sum(1), (x < y).sum(1), sizes[a], sizes[b])
+                    keep = e >= threshold - slack
+                    found.append((a[keep], b[keep], e[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, e = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((b, a, -e))
+    return a[order], b[order]
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i with sets j. Elements that several sets have become bits of a matrix."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    names, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(count > 1) - 1
+    several = count[inverse] > 1
+    out = np.zeros(len(i), np.int64)
+    for lo in range(0, int(column[-1]) + 1, 1 << 13):  # a slice of columns at a time bounds the matrix
+        c = column[inverse]
+        at = several & (c >= lo) & (c < lo + (1 << 13))
+        bits = np.zeros((len(sets), 1 << 13), bool)
+        bits[owner[at], c[at] - lo] = True
+        packed_bits = np.packbits(bits, axis=1).view(np.uint64)
+        for part in range(0, len(i), 4096):
+            out[part : part + 4096] += np.bitwise_count(packed_bits[i[part : part + 4096]] & packed_bits[j[part : part + 4096]]).sum(1).astype(np.int64)
+    return out
+
+
+def bucket_links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, alive: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a bucket's members, verified on the full sets, as a spanning forest: pairs that verified links join
+    already are not looked at, so at most one link a member comes out."""
+    sizes = np.array([len(s) for s in sets])
+    i, j = _likely(left, right, sizes, regs, alive, band, percent / 100)
+    forest, out, step = _Forest(len(sets)), [], 64
+    lo = 0
+    while lo < len(i):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        lo, step = lo + step, min(step * 2, 1 << 15)
+        apart = np.array([forest.find(x) != forest.find(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        a, b = a[apart], b[apart]
+        both = overlaps(sets, a, b)
+        linked = 100 * both >= percent * (sizes[a] + sizes[b] - both)
+        out += [(x, y) for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if forest.join(x, y)]
+    return out
 
 
 def describe(docs: DataFrame, k: int = K) -> DataFrame:
@@ -210,77 +222,59 @@ def describe(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", utf8().alias("t")).mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id, n_shingles, sketch, left, right): members of buckets of two and more; a bucket of over BLOCK
-    members appears once for each pair of its blocks, in which members are on the ``left``, the ``right`` or both."""
+def buckets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Members of buckets of two and more, with their texts: (bucket, band, doc_id, left, right, alive, sketch, z). A
+    bucket of over BLOCK members appears once for each pair of its blocks, in which members are on the ``left``, the
+    ``right`` or both. ``alive`` has a bit for each band in which the document's bucket is kept."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")
-    keys = reps.select("doc_id", F.explode(band).alias("key"))
+    keys = reps.select("doc_id", F.posexplode(band).alias("band", "key"))
     of = F.xxhash64("doc_id")
     named = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(of, 8)).alias("s"), F.sum(F.pmod(of, F.lit(1000003))).alias("s2"), F.min("doc_id").alias("m")).filter("n > 1")
     once = staged(named.groupBy("n", "s", "s2", "m").agg(F.min("key").alias("key")).select("key", "n"), "near-buckets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = keys.join(once, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    member = member.select("key", "doc_id", "block", other)
+    member = member.select("key", "band", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    member = member.select(F.xxhash64("key", low, high).alias("bucket"), "doc_id", (F.col("block") == low).alias("left"), (F.col("block") == high).alias("right"))
-    return member.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    row = F.struct(F.xxhash64("key", low, high).alias("bucket"), "band", (F.col("block") == low).alias("left"), (F.col("block") == high).alias("right"))
+    # a document is in BANDS buckets at most, so its list is bounded by BANDS times the blocks of a bucket
+    mine = member.groupBy("doc_id").agg(F.collect_list(row).alias("rows"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("alive"))
+    joined = mine.join(reps.select("doc_id", "sketch"), "doc_id").join(packed(docs), "doc_id")
+    return joined.select(F.explode("rows").alias("r"), "doc_id", "alive", "sketch", "z").select("r.bucket", "r.band", "doc_id", "r.left", "r.right", "alive", "sketch", "z")
 
 
-def _candidates(members: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """(a, b, bucket): pairs to verify; rows with null a name buckets that later rounds must visit again."""
-    arrow_batches(members.sparkSession, 4096)
+def links(members: DataFrame, percent: int, k: int = K) -> DataFrame:
+    """(a, b): verified links of all buckets, a spanning forest of each."""
 
-    def done(bucket, docs, sizes, regs, component, left, right):
-        regs = np.frombuffer(b"".join(regs), np.uint8).reshape(-1, M)
+    def done(held):
+        docs, band, left, right, alive, regs, sets = (list(c) for c in zip(*held, strict=True))
         a, b = np.flatnonzero(left), np.flatnonzero(right)
         if np.array_equal(a, b):
             b = a
-        pairs, more = bucket_pairs(a, b, np.array(sizes), regs, np.array(component), turn, threshold)
-        return [(min(docs[i], docs[j]), max(docs[i], docs[j]), bucket) for i, j in pairs] + [(None, None, bucket)] * more
+        alive = (np.array(alive, np.int64)[:, None] >> np.arange(BANDS) & 1).astype(bool)
+        regs = np.frombuffer(b"".join(regs), np.uint8).reshape(-1, M)
+        return [(docs[i], docs[j]) for i, j in bucket_links(a, b, sets, regs, alive, band[0], percent)]
 
     def rows(batches):
-        now, held, out = None, [[] for _ in range(6)], []
+        now, held, out = None, [], []
         for b in batches:
-            for bucket, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            texts = pa.array(unpack(b["z"]), pa.binary())
+            sets = [s for _, data, offsets in flat.groups(texts) for s in shingle_sets(data, offsets, k)]
+            for bucket, *values in zip(*(b[c].to_pylist() for c in ("bucket", "doc_id", "band", "left", "right", "alive", "sketch")), sets, strict=True):
                 if bucket != now:
-                    if len(held[0]) > 1:
-                        out += done(now, *held)
-                    now, held = bucket, [[] for _ in range(6)]
-                for h, v in zip(held, values, strict=True):
-                    h.append(v)
-            if len(out) > 10_000:
-                yield _batch(out)
-                out = []
-        if len(held[0]) > 1:
-            out += done(now, *held)
-        yield _batch(out)
+                    if len(held) > 1:
+                        out += done(held)
+                    now, held = bucket, []
+                held.append(values)
+            yield _batch(out)
+            out = []
+        yield _batch(done(held) if len(held) > 1 else [])
 
     def _batch(out):
-        cols = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "bucket"])
-
-    members = members.select("bucket", "doc_id", "n_shingles", "sketch", "component", "left", "right")
-    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(rows, "a long, b long, bucket long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """The (a, b) whose full sets overlap: 100 * intersection >= percent * union."""
-    arrow_batches(docs.sparkSession, 256)
-    texts = docs.select("doc_id", utf8().alias("t"))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-
-    def rows(batches):
-        for b in batches:
-            keep = []
-            left, right = ([s for _, data, offsets in flat.groups(b[c]) for s in shingle_sets(data, offsets, k)] for c in ("ta", "tb"))
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
+        cols = list(zip(*out, strict=True)) or [[]] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long").distinct()
+    arrow_batches(members.sparkSession)
+    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(rows, "a long, b long")
 
 
 def near_components(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
@@ -289,27 +283,10 @@ def near_components(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     told = staged(describe(docs, k), "near-sketches")
     named = told.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max(F.struct("n_shingles", "sketch")).alias("x")).select("doc_id", "x.n_shingles", "x.sketch")
-    # a doc_id with several texts may stand for a class and belong to another: its rows are one node
+    reps = classes.select(F.col("rep").alias("doc_id"), "sketch")
+    # rows that share a doc_id may stand for several classes: they are one node, but the buckets take them apart
     same = named.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    members = staged(buckets(reps), "near-members").withColumn("component", F.col("doc_id"))
-    links, turn, found = None, 0, None
-    while True:
-        pairs = staged(_candidates(members, turn, percent / 100), "near-pairs")
-        fresh = staged(verified(pairs.filter("a is not null").select("a", "b").distinct(), docs, percent, k), "near-links")
-        links = fresh if links is None else links.union(fresh)
-        found = connected(links.union(same))
-        again = pairs.filter("a is null").select("bucket").distinct()
-        again = staged(again, "near-again")
-        if again.isEmpty():
-            break
-        found = staged(found, "near-found")
-        members = members.drop("component").join(again, "bucket", "left_semi").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        members = staged(members.join(apart, "bucket", "left_semi"), "near-members")
-        if members.isEmpty():
-            break
-        turn += 1
+    found = connected(staged(links(buckets(reps, docs), percent, k), "near-links").union(same))
     return (
         told.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
