@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, records, setsketch, toxicity
+from . import avi, bpe, mixing, recompression, records, setsketch, suffix, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op5_avi": avi.op5_avi,
+    "op6_word_dedup": recompression.op6_word_dedup,
+    "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_near_dedup": setsketch.op10_near_dedup,
 }
