@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, recompression, records, setsketch, suffix, toxicity
+from . import avi, bpe, mixing, recompression, records, setsketch, spotsigs, suffix, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_bpe": bpe.op4_bpe,
     "op5_avi": avi.op5_avi,
     "op6_word_dedup": recompression.op6_word_dedup,
