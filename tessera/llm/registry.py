@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, recompression, records, setsketch, spotsigs, suffix, toxicity
+from . import avi, bpe, mixing, ppm, recompression, records, setsketch, spotsigs, suffix, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_avi": avi.op5_avi,
     "op6_word_dedup": recompression.op6_word_dedup,
+    "op7_ppm": ppm.op7_ppm,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_near_dedup": setsketch.op10_near_dedup,
