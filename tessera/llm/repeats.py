@@ -152,7 +152,7 @@ def several(candidates: DataFrame) -> DataFrame:
 def covered(n: int, starts, windows, width: int) -> np.ndarray:
     """Which of n units are in a window of the ranges."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.asarray(starts, np.int64), 1)
+    np.add.at(edge, np.minimum(np.asarray(starts, np.int64), n), 1)
     np.add.at(edge, np.minimum(np.asarray(starts, np.int64) + np.asarray(windows, np.int64) - 1 + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
 

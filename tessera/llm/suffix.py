@@ -138,26 +138,30 @@ def _induce_plain(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.
     """The same as ``_induce`` for large alphabets."""
     n = len(t)
     ends = np.cumsum(sizes)
-    text, s, sa = t.tolist(), s_type.tolist(), [-1] * n
-    tail = (ends - 1).tolist()
-    for p in reversed(lms.tolist()):
-        c = text[p]
-        sa[tail[c]] = p
-        tail[c] -= 1
-    head = (ends - sizes).tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = text[p]
-            sa[tail[c]] = p
-            tail[c] -= 1
+    sa = np.full(n + 1, -1, np.int64)
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    many = np.bincount(t[seeds], minlength=len(sizes))
+    sa[np.repeat(ends - np.cumsum(many), many) + np.arange(len(seeds))] = seeds
+    sa = sa[:n].tolist()
+    # symbol of the predecessor to place, by position: -1 where there is none of the wanted type; the last entry is
+    # what an empty place (-1) reads
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(s_type[:-1], -1, t[:-1])
+    larger, free = before.tolist(), (ends - sizes).tolist()
+    for p in sa:  # the list grows behind the place that is read
+        c = larger[p]
+        if c >= 0:
+            at = free[c]
+            sa[at] = p - 1
+            free[c] = at + 1
+    before[1:n] = np.where(s_type[:-1], t[:-1], -1)
+    smaller, free = before.tolist(), (ends - 1).tolist()
+    for p in reversed(sa):
+        c = smaller[p]
+        if c >= 0:
+            at = free[c]
+            sa[at] = p - 1
+            free[c] = at - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
@@ -321,6 +325,38 @@ def digest(text: bytes, starts, windows):
     return len(text), int(bad.sum()), spans, hashlib.sha256(kept).hexdigest()
 
 
+def whole_characters(text: bytes, bad: np.ndarray) -> bytes:
+    """What is left of UTF-8 text if characters go only where all their bytes do."""
+    data = np.frombuffer(text, np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(first, append=len(data))
+    return data[~np.repeat(np.logical_and.reduceat(bad, first), size)].tobytes()
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns, its text without repeated bytes (whole characters only)."""
+    ranges = repeated_ranges(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), "starts", "windows")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    arrow_batches(docs.sparkSession)
+
+    def rows(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for k, (s, w) in enumerate(zip(b["__starts"].to_pylist(), b["__windows"].to_pylist(), strict=True)):
+                if s and texts[k]:
+                    raw = texts[k].encode()
+                    texts[k] = whole_characters(raw, covered(len(raw), s, w, WIDTH)).decode()
+            columns = b.columns[: len(names)]
+            columns[at] = pa.array(texts, b.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = docs.join(ranges, docs["doc_id"] == F.col("__id"), "left")
+    wide = joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("starts").alias("__starts"), F.col("windows").alias("__windows")).toDF(*names, "__starts", "__windows")
+    return wide.mapInArrow(rows, schema).toDF(*docs.columns)
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return remove(docs, repeated_ranges(docs), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
