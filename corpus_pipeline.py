@@ -1,11 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: from raw documents to token ids in training order.
+
+Five stages, each a function (spark, docs, sf_dir) that returns a DataFrame with the columns of ``documents`` (the
+last one: token ids). ``run`` writes each stage's rows to the shared folder and reads them again, so a stage never
+depends on the executors that made the one before. SQL can't express the trained score or the encoder, so
+ORACLE_SQL is None; tests/llm/test_pipeline.py holds the stages against brute force.
+
+Null texts pass as they are (they have no words, so the mix takes none of them); empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, mixing, setsketch, suffix, toxicity
+from tessera.llm.common import staged
 
 ORACLE_SQL = None
-STAGES = []
+#: Documents whose calibrated score reaches this are rejected.
+TOXIC_FROM = 0.5
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents with a score below TOXIC_FROM. The model learns from the labels of the training fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~toxicity.held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, out="__toxicity").filter(F.col("__toxicity") < TOXIC_FROM).drop("__toxicity")
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Of each group of near copies the document with the smallest doc_id; of rows that share a doc_id, the one with
+    the smallest text. Rows with a null doc_id stay."""
+    found = setsketch.near_components(docs)
+    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return left.withColumn("__row", first).filter(F.col("doc_id").isNull() | (F.col("__row") == 1)).select(*docs.columns)
+
+
+def drop_repeated_passages(spark, docs, sf_dir):
+    """Texts without the bytes that 100-byte repeats cover; whole characters stay at the ends of what is removed."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark, docs, sf_dir):
+    """One row for each copy that the mix takes, in training order."""
+    plan = mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    order = plan.select(F.col("doc_id").alias("__id"), F.col("positions").alias("__at")).filter(F.size("__at") > 0).dropDuplicates(["__id"])
+    copies = docs.join(order, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__position", F.explode("__at"))
+    return copies.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+
+
+def encode(spark, docs, sf_dir):
+    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
+    made = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    n = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return made.select("doc_id", "lang", "source", n, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("encode", encode),
+]
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
