@@ -108,16 +108,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     only the part that is needed, and its fingerprint, go to the one before it."""
     base = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = staged(order_neighbours(base.select("id", "h", F.char_length("text").alias("n"))), "spot-neighbours")
-    key = lambda i, h: [F.coalesce(F.col(i), F.lit(-(2**63) + 1)), F.col(h)]  # noqa: E731  null ids meet, too
-    placed = base.select(F.col("id"), *(c.alias(a) for c, a in zip(key("id", "h"), ("k1", "k2"), strict=True)), "text")
+    none = F.lit(-(2**63) + 1)
+    key = lambda i, h: [F.coalesce(F.col(i), none), F.col(h)]  # noqa: E731  null ids meet, too
+    # both uses need the same three columns, so Spark shuffles the texts once
+    placed = base.select(*(c.alias(a) for c, a in zip(key("id", "h"), ("k1", "k2"), strict=True)), "text")
     order = order.select(*(c.alias(a) for c, a in zip(key("id", "h"), ("k1", "k2"), strict=True)), *(c.alias(a) for c, a in zip(key("prior_id", "prior_h"), ("p1", "p2"), strict=True)), "prior_n")
     both = placed.join(order, ["k1", "k2"])
-    here = placed.select("id", "k1", "k2", "text")
+    here = placed
     third = F.floor(F.col("prior_n") / 3).cast("int")
     sent = both.dropDuplicates(["k1", "k2"]).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.left("text", third).alias("head"), signatures(F.col("text")).alias("next_sigs"))
     n = F.char_length("text")
     edited = F.concat(F.left("text", (n - F.floor(n / 3)).cast("int")), F.col("head"))
-    made = here.join(sent, ["k1", "k2"]).select("id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs")
+    made = here.join(sent, ["k1", "k2"]).select(F.nullif("k1", none).alias("id"), "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_sigs")
     made = made.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.struct(signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("edited"), F.col("next_sigs").alias("next")).alias("s"))
     out = let(F.col("s"), lambda s: F.struct(
         name(s["own"]).alias("fingerprint"), name(s["edited"]).alias("edited_fingerprint"), likeness(s["own"], s["edited"]).alias("near_edited"),
