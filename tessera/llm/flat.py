@@ -11,6 +11,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(971)
 _STEP = 1024
+_AT_ONCE = 1 << 20
 _POW = _rng.integers(1, 2**64, (2, _STEP), np.uint64) | np.uint64(1)
 _FAR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -70,6 +71,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     size = end - start
     total = int(size.sum())
     ends = np.cumsum(size)
+    if total > _AT_ONCE and len(start) > 1:  # in parts, as each byte takes some 40 bytes meanwhile
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(_AT_ONCE, total, _AT_ONCE)).tolist(), len(start)]).tolist()
+        if len(cuts) > 2:
+            return np.concatenate([hash_spans(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a], seed) for a, b in zip(cuts, cuts[1:], strict=False)])
     rel = np.arange(total) - np.repeat(ends - size, size)
     if total == len(data):
         value = data.astype(np.uint64)
