@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import experiment, sessions, streams, tabular, text
+
+MODULES = (sessions, experiment, tabular, text, streams)
+
 
 def queries():
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
