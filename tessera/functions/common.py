@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,3 +36,13 @@ def top_k(df: DataFrame, by, order, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in ``order``, with their rank from 1 (Spark prunes groups before the sort)."""
     w = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder (``spark.checkpoint.dir``, a local one where it is unset) and
+    read again: what is used several times is computed once, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tessera-shared"
+    path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import small, top_k
+from ..functions.common import small, stored, top_k
 
 #: Stop words of keyword search.
 STOP_WORDS = "a an and are as at be by for from has have he her his how i in is it its of on or that the this to was we were what when where which who will with you your".split()
@@ -181,14 +181,20 @@ def semantic_chunks(docs: DataFrame, key: str, text: str, kind: str = "sentences
 def tokens(text: str) -> Column:
     """Lower-cased ASCII words of two and more characters that aren't stop words."""
     runs = F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+")
-    return F.filter(runs, lambda t: t.rlike("^[a-z0-9_]{2,}$") & ~t.isin(STOP_WORDS))
+    return F.filter(runs, _is_token)
+
+
+def _is_token(t: Column) -> Column:
+    return t.rlike("^[a-z0-9_]{2,}$") & ~t.isin(STOP_WORDS)
 
 
 def bm25_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0."""
-    words = docs.select(key, tokens(text).alias("w"))
-    lengths = words.select(key, F.size("w").alias("length"))
-    postings = words.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0. The
+    postings are stored; the rest is computed from them."""
+    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+")).alias("term")).filter(_is_token(F.col("term")))
+    postings = stored(words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    found = postings.groupBy(key).agg(F.sum("tf").alias("length"))
+    lengths = docs.select(key).join(found, key, "left").select(key, F.coalesce("length", F.lit(0)).alias("length"))
     n = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
