@@ -4,6 +4,7 @@ import hashlib
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 from tessera.llm import recompression, setsketch, spotsigs, suffix
 from tessera.llm.repeats import remove
 
@@ -121,7 +122,7 @@ def test_spotsigs(docs, rows, empty):
 def test_spotsigs_matches(docs, rows):
     member, pairs = spotsigs.matches(docs)
     cls = {r["doc_id"]: r["class_id"] for r in member.collect()}
-    sets = {r["doc_id"]: set(r["s"]) for r in docs.select("doc_id", spotsigs.signatures(__import__("pyspark").sql.functions.coalesce("text", __import__("pyspark").sql.functions.lit(""))).alias("s")).collect()}
+    sets = {r["doc_id"]: set(r["s"]) for r in docs.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()}
     found = {(r["a"], r["b"]) for r in pairs.collect()}
     reps = sorted({c for d, c in cls.items() if sets[d]})
     want = {(a, b) for a, b in itertools.combinations(reps, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
