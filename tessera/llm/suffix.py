@@ -33,26 +33,50 @@ WIDTH = 100
 KMER = 32
 #: Bytes of segments to a shard, about.
 SHARD_BYTES = 1 << 20
+#: A key with more different segments than this is split by further hashes of the same windows.
+HOT = 4000
+_SEEDS = np.array([0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F], np.uint64)
 
 _BYTE = np.random.default_rng(77).integers(1, 2**64, 256, np.uint64)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray):
-    """(document index, start in the document, windows, key, name, inner) of all segments."""
-    n = len(data)
-    if n < WIDTH:
-        return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, bool)
-    one = _BYTE[data]
+def _kmers(one: np.ndarray) -> np.ndarray:
+    """Hashes of all KMER-byte substrings (KMER is a power of two) from hashes of the bytes, by doubling."""
     h, size = one, 1
     while size < KMER:
         a = h[:-size] * np.uint64(0x9E3779B97F4A7C15)
         h, size = (a ^ (a >> np.uint64(31))) + h[size:], size * 2
-    kmer = flat.mix(h)
-    least, span = kmer, 1
-    wide = WIDTH - KMER + 1
+    return flat.mix(h)
+
+
+def _least(kmer: np.ndarray, windows: int) -> np.ndarray:
+    """Least hash of the substrings of each window."""
+    least, span, wide = kmer, 1, WIDTH - KMER + 1
     while span * 2 <= wide:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
-    least = np.minimum(least[: n - WIDTH + 1], least[wide - span : wide - span + n - WIDTH + 1])
+    return np.minimum(least[:windows], least[wide - span : wide - span + windows])
+
+
+def split_segment(part: bytes) -> list[tuple[int, int, int]]:
+    """(start, windows, key) of runs of a segment's windows with the same least substrings under three more hashes.
+    Equal windows have equal keys again."""
+    n = len(part) - WIDTH + 1
+    kmer = _kmers(_BYTE[np.frombuffer(part, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for seed in _SEEDS:
+        key = flat.mix(key * np.uint64(31) + _least(flat.mix(kmer ^ seed), n))
+    first, count = runs(key, np.zeros(n, np.int64), np.arange(n))
+    return list(zip(first.tolist(), count.tolist(), key[first].view(np.int64).tolist(), strict=True))
+
+
+def segments(data: np.ndarray, offsets: np.ndarray):
+    """(document index, start in the document, windows, key, name, inner) of all segments."""
+    n = len(data)
+    if n < WIDTH:
+        return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, bool)
+    one = _BYTE[data]
+    kmer = _kmers(one)
+    least = _least(kmer, n - WIDTH + 1)
     ok = np.ones(n - WIDTH + 1, bool)
     inner = offsets[1:-1]
     for lo in range(0, len(inner), 4096):
@@ -262,21 +286,26 @@ def repeated_windows(segments: list[bytes], width: int = WIDTH) -> list[np.ndarr
 def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Compare segments in shards by their suffix arrays."""
     rows = staged(rows, "suffix-segments")
+    # the keys with more than HOT segments are fewer than one in HOT of the rows; their rows join by shuffle
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    rows = rows.join(hot, "key", "left")
     total = rows.agg(F.sum(F.col("windows") + WIDTH)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    wanted = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+    wanted = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("wanted"))
     joined = packed(docs).join(wanted, "doc_id")
     arrow_batches(docs.sparkSession)
 
     def cut(batches):
         for b in batches:
-            keys, ids, starts, counts, parts = [], [], [], [], []
+            keys, ids, starts, parts = [], [], [], []
             for doc, text, wanted in zip(b["doc_id"].to_pylist(), unpack(b["z"]), b["wanted"].to_pylist(), strict=True):
                 for w in wanted:
-                    keys.append(w["key"])
-                    ids.append(doc)
-                    starts.append(w["start"])
-                    parts.append(text[w["start"] : w["start"] + w["windows"] + WIDTH - 1])
+                    part = text[w["start"] : w["start"] + w["windows"] + WIDTH - 1]
+                    for at, n, key in split_segment(part) if w["hot"] else ((0, w["windows"], 0),):
+                        keys.append(w["key"] ^ key)
+                        ids.append(doc)
+                        starts.append(w["start"] + at)
+                        parts.append(part[at : at + n + WIDTH - 1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "doc_id", "start", "part"])
 
     def sort(batches):

@@ -77,6 +77,13 @@ def test_suffix_dedup(docs, rows, empty):
     assert left.columns == docs.columns and left.count() == len(rows)
 
 
+def test_suffix_dedup_splits_hot_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 1)
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in remove(docs, suffix.repeated_ranges(docs), suffix.digest, schema).collect()}
+    assert got == brute_bytes(rows)
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for n, k in ((40, 2), (500, 3), (5000, 2), (5000, 50)):
