@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import experiment, models, sessions, streams, tabular, text
+from . import experiment, models, relational, sessions, streams, tabular, text
 
-MODULES = (sessions, experiment, tabular, text, models, streams)
+MODULES = (sessions, relational, experiment, tabular, text, models, streams)
 
 
 def queries():
