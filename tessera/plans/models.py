@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..operators import neural as N
 from ..operators import panel as P
 from ..operators import recsys as R
+from ..operators import sessions as S
 from ..sources.tables import sales_panel, table
 from .sessions import _knn, _warm
 
@@ -53,5 +55,13 @@ def _ann_recall(s, d):
     return M.search_recall(_ann(s, d), exact, "vec_id")
 
 
-QUERIES = {"boosted_forecast": _boosted, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
+def _two_tower(s, d):
+    split, _, hist = _warm(s, d)
+    histories = hist.groupBy("session").agg(F.array_sort(F.collect_list("itemid")).alias("items"))
+    cats = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
+    train = S.sequences(split.train, split.train.select("session").distinct())
+    return N.two_tower_top_k(train, histories, cats, 10)
+
+
+QUERIES = {"two_tower_topk": _two_tower, "boosted_forecast": _boosted, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera import config
-from tessera.operators import experiment, panel, recsys, sessions, tabular, text
+from tessera.operators import experiment, neural, panel, recsys, sessions, tabular, text
 from tessera.sources import formats, store
 
 
@@ -159,6 +159,37 @@ def test_vector_store_and_manifest(spark, tmp_path):
         store.verify_manifest(str(tmp_path / "m"))
 
 
+def test_two_tower_learns_clusters():
+    r = np.random.default_rng(0)
+    histories, targets = [], []
+    for _ in range(600):
+        c = int(r.integers(0, 4))
+        items = (c * 5 + r.integers(0, 5, 4)).tolist()
+        histories.append(items[:-1])
+        targets.append(items[-1])
+    model = neural.TwoTower(dim=8, epochs=6).fit(histories, np.array(targets), np.arange(20) // 5)
+    best = (model.user_vectors(histories) @ model.item_vectors().T).argmax(1)
+    assert (best // 5 == np.array(targets) // 5).mean() > 0.95
+    assert not model.user_vectors([[]]).any() and not model.cold_vector(99).any()
+    # gradients against differences
+    log_q = np.zeros(20)
+    def loss():
+        u, v = model.user_vectors(histories[:6]), model.item_vectors()[targets[:6]]
+        z = u @ v.T / model.temperature
+        t = np.array(targets[:6])
+        z[(t[:, None] == t) & ~np.eye(6, dtype=bool)] = -1e9
+        return float(np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - np.diag(z)))
+    g = model._gradients(histories[:6], np.array(targets[:6]), log_q)
+    for name, at in (("map", (1, 2)), ("item", (targets[0], 3)), ("category", (targets[0] // 5, 1))):
+        kept = model.p[name][at]
+        model.p[name][at] = kept + 1e-5
+        up = loss()
+        model.p[name][at] = kept - 1e-5
+        down = loss()
+        model.p[name][at] = kept
+        assert math.isclose(g[name][at], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-6)
+
+
 def test_config():
     assert config.build(config.RetrievalConfig, {"top_k": 5, "alpha": 1}) == config.RetrievalConfig(top_k=5, alpha=1.0)
     for bad in ({"nope": 1}, {"top_k": "5"}, {"top_k": True}):
