@@ -32,7 +32,7 @@ from .repeats import Spans, covered, packed, ranges_by_document, remove, repeats
 WIDTH = 100
 KMER = 32
 #: Bytes of segments to a shard, about.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: A key with more different segments than this is split by further hashes of the same windows.
 HOT = 4000
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F], np.uint64)
@@ -364,7 +364,7 @@ def whole_characters(text: bytes, bad: np.ndarray) -> bytes:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, its text without repeated bytes (whole characters only)."""
-    ranges = repeated_ranges(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), "starts", "windows")
+    ranges = repeated_ranges(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("windows").alias("__windows"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index("text")
     schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = docs.join(ranges, docs["doc_id"] == F.col("__id"), "left")
-    wide = joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("starts").alias("__starts"), F.col("windows").alias("__windows")).toDF(*names, "__starts", "__windows")
+    wide = joined.select(*[docs[f"`{c}`"] for c in docs.columns], "__starts", "__windows").toDF(*names, "__starts", "__windows")
     return wide.mapInArrow(rows, schema).toDF(*docs.columns)
 
 

@@ -73,8 +73,9 @@ def test_suffix_dedup(docs, rows, empty):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in remove(docs, suffix.repeated_ranges(docs), suffix.digest, schema).collect()}
     assert got == brute_bytes(rows)
     assert suffix.repeated_ranges(empty).count() == 0
-    left = suffix.without_repeats(docs)
-    assert left.columns == docs.columns and left.count() == len(rows)
+    wider = docs.withColumn("starts", F.lit("clash")).withColumn("windows", F.lit(1)).withColumn("key", F.lit(None))
+    left = suffix.without_repeats(wider)
+    assert left.columns == wider.columns and left.count() == len(rows) and left.filter("starts = 'clash' and windows = 1").count() == len(rows)
 
 
 def test_suffix_dedup_splits_hot_keys(docs, rows, monkeypatch):
