@@ -1,20 +1,23 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-A text is modelled as its words, A-Z lower-cased, each ended by a blank, and a last empty word. The trie has all byte
-contexts inside a word and the blank before it, up to ``ORDER`` bytes, with the counts of the bytes that follow in the
-training documents. A byte's probability comes from the longest context that the trie knows. A context with T
-occurrences and D different followers gives a follower with n occurrences n / (T + D), and escapes with D / (T + D)
-to the context that is one byte shorter, in which the followers of the longer one are excluded from T and D; below
-order 0 the bytes left are alike. As contexts don't reach beyond a word, a word's code length doesn't depend on where
-it stands: each distinct word is scored once, whatever the size of the corpus.
-
-1. Texts are bundled (about ``BUNDLE`` bytes each). Each bundle gives its distinct words with their training counts.
-2. One shuffle by word adds the counts; the distinct words' bytes, weighted by them, give the trie's counts.
-3. Words are scored, and counts and scores go back to the bundles that asked for them, as arrays.
-4. Each bundle's documents add up their words.
-
-The trie is broadcast in parts of at most ``MOST_GRAMS`` entries, one after another, split by the last two bytes of the
-context; each part adds what it knows of a word's code length.
+A text is modelled as its words, A-Z lower-cased, each ended by a blank, and a last empty word; a blank stands before
+it. ``op7_ppm`` scores running text: the trie has all contexts of up to ``TEXT_ORDER`` bytes of the training texts,
+across words, with the counts of the bytes that follow. A byte's probability comes from the longest context that the
+trie knows. A context with T occurrences and D different followers gives a follower with n occurrences n / (T + D), and
+escapes with D / (T + D) to the context that is one byte shorter, in which the followers of the longer one are excluded
+from T and D; below order 0 the bytes left are alike.
+
+1. Texts are bundled (about ``BUNDLE`` bytes each). Each bundle gives its distinct words with their training counts; one
+   shuffle by word adds them, and the counts go back to the bundles that asked for them, as arrays (base_score).
+2. A byte with its context is a step; equal steps have equal code lengths, so each distinct step is scored once. Tasks
+   count their distinct steps (of held-out texts with 0); one shuffle by the context's last two bytes adds the counts.
+   All contexts of two bytes and more that a step falls back to are then in its own part; those of one byte and none
+   come from one table of 256 x 256 counts.
+3. The steps' code lengths are broadcast, at most ``MOST_STEPS`` at a time, and each text adds up its steps.
+
+``score_documents`` without ``across`` is the model of words alone: contexts of up to ``ORDER`` bytes end at the blank
+before a word, and each distinct word is scored once. Its trie is broadcast in parts of at most ``MOST_GRAMS`` entries,
+one after another, split by the last two bytes of the context; each part adds what it knows of a word's code length.
 
 Defined results: null or empty texts are the end alone; rows with a null doc_id count as training rows; without
 training documents N and V are 0, every count too, and all bytes are alike.
@@ -37,6 +40,14 @@ from .repeats import unpack
 ORDER = 5
 BUNDLE = 4 << 20
 MOST_GRAMS = 1_500_000
+#: Bytes of context in running text: a step (depth, context, byte) fits a long.
+TEXT_ORDER = 6
+#: Steps that are broadcast at once.
+MOST_STEPS = 4_000_000
+#: Parts that the distinct steps are dealt to.
+STEP_PARTS = 128
+#: Bytes of running text that are looked at together.
+SLICE = 1 << 20
 #: Answers that a task gathers before it deals them out by bundle.
 ANSWERS = 500_000
 BLANK = 0x20
@@ -227,7 +238,7 @@ class Model:
         todo = mine
         t, d = np.zeros(len(mine)), np.zeros(len(mine))  # what the longer context leaves in this one; d < 0: none was known
         d[:] = -1
-        for k in range(ORDER, -1, -1):
+        for k in range(len(self.grams) - 1, -1, -1):
             deep = steps.depth[todo] >= k
             keys, ct, cd, pt, pd = self.contexts[k]
             here = np.flatnonzero(deep)
@@ -274,6 +285,203 @@ def score_words(words: DataFrame, grams: DataFrame) -> DataFrame:
     return words
 
 
+def running(text: bytes) -> bytes:
+    """The bytes of a text that are coded, and the blank before them."""
+    words = text.lower().split()
+    return b" %s  " % b" ".join(words) if words else b"  "
+
+
+def text_steps(texts: list[bytes]):
+    """(steps, text's index) of all bytes to code, about SLICE at a time. A step has the byte in its lowest 8 bits, its
+    context above it and the context's length in the highest byte."""
+    lines = [running(t) for t in texts]
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    offsets = np.cumsum([0, *map(len, lines)])
+    for lo in range(0, len(data), SLICE):
+        hi, back = min(lo + SLICE, len(data)), max(lo - TEXT_ORDER, 0)
+        piece = data[back:hi].astype(np.uint64)
+        step = piece.copy()
+        for k in range(1, min(TEXT_ORDER + 1, len(piece))):
+            step[k:] |= piece[:-k] << np.uint64(8 * k)
+        step = step[lo - back :] | np.uint64(TEXT_ORDER << 56)
+        code = np.ones(hi - lo, bool)
+        for depth in range(TEXT_ORDER):
+            at = offsets[:-1] + depth
+            at = at[(at < offsets[1:]) & (at >= lo) & (at < hi)] - lo
+            step[at] = step[at] & _mask(depth + 1) | np.uint64(depth << 56)
+            if not depth:
+                code[at] = False
+        owner = np.repeat(np.arange(len(lines)), np.diff(np.clip(offsets, lo, hi)))
+        yield step[code], owner[code]
+
+
+def add_up(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct steps, ascending, and the sums of their counts."""
+    order = np.argsort(steps)
+    steps = steps[order]
+    first = np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1]])) if len(steps) else np.zeros(0, np.int64)
+    return steps[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def step_counts(packed: DataFrame) -> DataFrame:
+    """(part, steps, n, pairs): the distinct steps of each part with their training counts, as compressed arrays, and the
+    part's counts of bytes after one byte (256 x 256)."""
+    arrow_batches(packed.sparkSession)
+    most = 4_000_000
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            train, texts = b["train"].to_pylist(), unpack(b["z"])
+            for kind in (True, False):
+                for step, _ in text_steps([t for t, k in zip(texts, train, strict=True) if k == kind]):
+                    step.sort()
+                    first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+                    held.append((step[first], np.diff(first, append=len(step)) * kind))
+                    size += len(first)
+            if size > most:
+                held = [add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield dealt(held)
+                    held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    def dealt(held):
+        step, n = add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        last = step >> np.uint64(8) & np.uint64(0xFFFF)
+        part = (flat.mix(last) % np.uint64(STEP_PARTS)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        step, n = step[order], n[order]
+        cuts = np.searchsorted(part[order], np.arange(STEP_PARTS + 1)).tolist()
+        pack = zstandard.ZstdCompressor(level=1)
+        some = [(p, x, y) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _, _ in some], pa.int32()), *(pa.array([pack.compress(v[x:y].tobytes()) for _, x, y in some], pa.binary()) for v in (step, n))],
+            ["part", "steps", "n"],
+        )
+
+    def merge(batches):
+        now, held = None, []
+        for b in batches:
+            for part, step, n in zip(b["part"].to_pylist(), unpack(b["steps"]), unpack(b["n"]), strict=True):
+                if part != now:
+                    if held:
+                        yield merged(now, held)
+                    now, held = part, []
+                held.append((np.frombuffer(step, np.uint64), np.frombuffer(n, np.int64)))
+                if len(held) > 64:
+                    held = [add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+        if held:
+            yield merged(now, held)
+
+    def merged(part, held):
+        step, n = add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        pairs = np.bincount((step & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
+        pack = zstandard.ZstdCompressor(level=1)
+        blobs = [pa.array([pack.compress(v.tobytes())], pa.binary()) for v in (step, n, pairs)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(step)], pa.int64()), *blobs], ["part", "size", "steps", "n", "pairs"])
+
+    dealt_out = packed.select("train", "z").mapInArrow(count, "part int, steps binary, n binary")
+    return dealt_out.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, size long, steps binary, n binary, pairs binary")
+
+
+class TextSteps:
+    """Steps in the form that ``Model.code`` takes."""
+
+    context = Steps.context
+
+    def __init__(self, steps: np.ndarray):
+        self.depth = (steps >> np.uint64(56)).astype(np.int64)
+        self.symbol = steps & np.uint64(0xFF)
+        self.past = (steps & _mask(7)) >> np.uint64(8)
+
+
+class TextModel(Model):
+    """The part of the running texts' trie that a part's distinct steps make, and orders 0 and 1 of all parts."""
+
+    def __init__(self, steps: np.ndarray, n: np.ndarray, pairs: np.ndarray):
+        self.part, self.parts, self.grams, self.contexts = 0, 1, [], []
+        trained = n > 0
+        steps, n = steps[trained], n[trained]
+        depth, one = (steps >> np.uint64(56)).astype(np.int64), np.arange(1 << 16, dtype=np.uint64)
+        for k in range(TEXT_ORDER + 1):
+            if k < 2:
+                gram, count = add_up(one & _mask(k + 1), pairs)
+                gram, count = gram[count > 0], count[count > 0]
+            else:
+                at = depth >= k
+                gram, count = add_up(steps[at] & _mask(k + 1), n[at])
+            c = gram >> np.uint64(8)
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+            t = np.add.reduceat(count, first).astype(np.float64) if len(first) else np.zeros(0)
+            d, pt, pd = np.diff(first, append=len(c)).astype(np.float64), np.zeros(len(first)), np.zeros(len(first))
+            if k and len(first):  # what the followers leave in the context one byte shorter
+                keys, ct, cd, *_ = self.contexts[k - 1]
+                where, _ = self._find(keys, c[first] & _mask(k - 1))
+                same, _ = self._find(self.grams[k - 1][0], gram & _mask(k))
+                pt = ct[where] - np.add.reduceat(self.grams[k - 1][1][same], first)
+                pd = cd[where] - d
+            self.grams.append((gram, count.astype(np.float64)))
+            self.contexts.append((c[first], t, d, pt, pd))
+
+
+def step_scores(counts: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(part, size, steps, s): the log10 probabilities of the distinct steps of each part."""
+    arrow_batches(counts.sparkSession, 1)
+
+    def rows(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            out = []
+            for step, n in zip(unpack(b["steps"]), unpack(b["n"]), strict=True):
+                step = np.frombuffer(step, np.uint64)
+                out.append(pack.compress(TextModel(step, np.frombuffer(n, np.int64), pairs).code(TextSteps(step)).tobytes()))
+            yield pa.RecordBatch.from_arrays([b["part"], b["size"], b["steps"], pa.array(out, pa.binary())], ["part", "size", "steps", "s"])
+
+    return counts.select("part", "size", "steps", "n").mapInArrow(rows, "part int, size long, steps binary, s binary")
+
+
+def score_texts(packed: DataFrame) -> DataFrame:
+    """``packed`` with a column ``s``: the log10 probability of each whole text."""
+    spark = packed.sparkSession
+    counts = staged(step_counts(packed), "ppm-steps")
+    pairs = np.zeros(1 << 16, np.int64)
+    for (z,) in counts.select("pairs").toLocalIterator():
+        pairs += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(z)), np.int64)
+    scores = staged(step_scores(counts, pairs), "ppm-step-scores")
+    turns, total = [[]], 0
+    for part, size in sorted(map(tuple, scores.select("part", "size").collect())):
+        if total + size > MOST_STEPS and turns[-1]:
+            turns.append([])
+            total = 0
+        turns[-1].append(part)
+        total += size
+    texts = packed.withColumn("s", F.lit(0.0))
+    for turn, mine in enumerate(turns):
+        table = scores.filter(F.col("part").isin(mine)).select("steps", "s").toArrow()
+        steps, s = (np.frombuffer(b"".join(unpack(table[c])), t) for c, t in (("steps", np.uint64), ("s", np.float64)))
+        order = np.argsort(steps)
+        known = spark.sparkContext.broadcast((steps[order], s[order]))
+        arrow_batches(spark)
+
+        def rows(batches, known=known):
+            steps, s = known.value
+            for b in batches:
+                value = b["s"].to_numpy().copy()
+                for step, owner in text_steps(unpack(b["z"])):
+                    order = np.argsort(step)
+                    at, found = Model._find(steps, step[order])
+                    value += np.bincount(owner[order[found]], s[at[found]], len(b))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value)], b.schema.names)
+
+        texts = texts.mapInArrow(rows, texts.schema)
+        if turn < len(turns) - 1:
+            texts = staged(texts, "ppm-texts")
+    return texts
+
+
 def answers(scored: DataFrame) -> DataFrame:
     """(chunk, entries): for each bundle, (hash, training count, score) of its words, as bytes of three arrays."""
     arrow_batches(scored.sparkSession, 50_000)
@@ -305,23 +513,29 @@ def answers(scored: DataFrame) -> DataFrame:
     return scored.select("w", "n", "chunks", "s").mapInArrow(rows, "chunk long, entries binary")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
+def score_documents(docs: DataFrame, across: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``. ``across``: score
+    running text, with contexts across words, and not word by word."""
     spark = docs.sparkSession
     packed = staged(bundles(docs), "ppm-bundles")
     words = staged(distinct_words(bundle_words(packed)), "ppm-distinct")
     seen = words.filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     ends = packed.filter("train").count()
     total, distinct = (seen[1] or 0) + ends, seen[0] + (ends > 0)
-    # the end is an empty word: it is trained once for each training document
-    end = spark.createDataFrame([(0, bytearray(b""), ends)], "w long, word binary, n long")
-    grams = staged(gram_counts(words.select("w", "word", "n").union(end)), "ppm-grams")
-    scored = score_words(words.select("w", "n", "chunks", "word").union(end.select("w", "n", F.lit(b"").alias("chunks"), "word")), grams)
-    scored = staged(scored.select("w", "n", "chunks", "s", (F.length("word") == 0).alias("end")), "ppm-scored")
-    end_score = scored.filter("end").first()["s"]
+    if across:
+        end_score, texts = 0.0, score_texts(packed)
+        scored = words.select("w", "n", "chunks", F.lit(0.0).alias("s"))
+    else:
+        # the end is an empty word: it is trained once for each training document
+        end = spark.createDataFrame([(0, bytearray(b""), ends)], "w long, word binary, n long")
+        grams = staged(gram_counts(words.select("w", "word", "n").union(end)), "ppm-grams")
+        scored = score_words(words.select("w", "n", "chunks", "word").union(end.select("w", "n", F.lit(b"").alias("chunks"), "word")), grams)
+        scored = staged(scored.select("w", "n", "chunks", "s", (F.length("word") == 0).alias("end")), "ppm-scored")
+        end_score = scored.filter("end").first()["s"]
+        scored, texts = scored.filter("not end"), packed.withColumn("s", F.lit(0.0))
     none = F.lit(None)
-    asked = answers(scored.filter("not end")).select("chunk", F.lit(0).alias("kind"), F.col("entries").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"))
-    texts = packed.select("chunk", F.lit(1).alias("kind"), "z", "doc_id", "train")
+    asked = answers(scored).select("chunk", F.lit(0).alias("kind"), F.col("entries").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"), F.lit(0.0).alias("s"))
+    texts = texts.select("chunk", F.lit(1).alias("kind"), "z", "doc_id", "train", "s")
     both = asked.union(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
     arrow_batches(spark)
     low = np.log10(total + 0.5 * (distinct + 1)) if total else np.log10(0.5)
@@ -329,9 +543,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def rows(batches):
         now, held, table = None, [], None
         for b in batches:
-            ids, train, texts, tables = [], [], [], []
+            ids, train, texts, sums, tables = [], [], [], [], []
             d = zstandard.ZstdDecompressor()
-            for chunk, kind, z, doc, t in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "z", "doc_id", "train")), strict=True):
+            for chunk, kind, z, doc, t, s in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "z", "doc_id", "train", "s")), strict=True):
                 if chunk != now:
                     now, held, table = chunk, [], None
                 if kind == 0:
@@ -339,28 +553,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     continue
                 table = table or look_up(held)
                 if tables and tables[-1] is not table:
-                    yield score(ids, train, texts, tables[-1])
-                    ids, train, texts = [], [], []
+                    yield score(ids, train, texts, sums, tables[-1])
+                    ids, train, texts, sums = [], [], [], []
                 tables = [table]
                 ids.append(doc)
                 train.append(t)
                 texts.append(d.decompress(z))
+                sums.append(s)
             if texts:
-                yield score(ids, train, texts, tables[-1])
+                yield score(ids, train, texts, sums, tables[-1])
 
     def look_up(held):
         w, n, s = (np.concatenate([np.zeros(0, t), *(np.frombuffer(e, t, len(e) // 24, len(e) // 24 * 8 * k) for e in held)]) for k, t in enumerate((np.uint64, np.int64, np.float64)))
         order = np.argsort(w)
         return w[order], n[order], s[order]
 
-    def score(ids, train, texts, table):
+    def score(ids, train, texts, sums, table):
         w, n, s = table
         _, _, _, h, first = _words(texts)
         at, words = np.searchsorted(w, h), np.diff(first)
         owner = np.repeat(np.arange(len(words)), words)
         known = np.bincount(owner, n[at] > 0, len(words)).astype(np.int64) + (ends > 0)
         base = np.bincount(owner, np.log10(n[at] + 0.5) - low, len(words)) + np.log10(ends + 0.5) - low
-        value = np.bincount(owner, s[at], len(words)) + end_score
+        value = np.bincount(owner, s[at], len(words)) + end_score + np.array(sums)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([not t for t in train]), pa.array(words + 1), pa.array(known), pa.array(np.full(len(words), total, np.int64)), pa.array(base), pa.array(value)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -370,4 +585,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_ppm(spark, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return score_documents(documents(spark, sf_dir).select("doc_id", "text"), across=True)

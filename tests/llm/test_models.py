@@ -85,6 +85,67 @@ def test_ppm_in_parts(docs, monkeypatch):
     assert all(math.isclose(whole[d], parts[d], rel_tol=1e-9) for d in whole)
 
 
+def brute_texts(rows):
+    """Code length of each whole text (null, or any row) by a plain trie, as (doc_id, text) -> log10 probability."""
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    line = lambda t: b" " + b"".join(w + b" " for w in (t or "").encode().translate(lower).split()) + b" "
+    trie = collections.defaultdict(collections.Counter)
+    for d, t in rows:
+        a = line(t)
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            for i in range(1, len(a)):
+                for k in range(min(i, ppm.TEXT_ORDER) + 1):
+                    trie[a[i - k : i]][a[i]] += 1
+
+    def code(a):
+        total = 0.0
+        for i in range(1, len(a)):
+            gone = set()
+            for k in range(min(i, ppm.TEXT_ORDER), -1, -1):
+                if (f := trie.get(a[i - k : i])) is None:
+                    continue
+                left = {s: m for s, m in f.items() if s not in gone}
+                t, kinds = sum(left.values()), len(left)
+                if a[i] in left:
+                    total += math.log10(left[a[i]] / (t + kinds))
+                    break
+                total += math.log10(kinds / (t + kinds)) if kinds else 0
+                gone |= set(f)
+            else:
+                total -= math.log10(256 - len(gone))
+        return total
+
+    return {(d, t): code(line(t)) for d, t in rows}
+
+
+def test_ppm_of_running_text(spark, rows, monkeypatch, tmp_path):
+    r = random.Random(2)
+    some = [(d, t[:3000] if t else t) for d, t, *_ in rows] + [(None, "no id"), (7, "again"), (7, "Again and again")]
+    words = some[20][1].split()
+    r.shuffle(words)
+    some.append((5000, " ".join(words)))
+    spark.createDataFrame(some, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(d), s) for (d, _), s in brute_texts(some).items())
+
+    def check():
+        got = sorted((str(x["doc_id"]), x["score"]) for x in ppm.op7_ppm(spark, str(tmp_path)).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert all(math.isclose(x, y, rel_tol=1e-9) for (_, x), (_, y) in zip(got, want, strict=True))
+        by = dict(got)
+        assert abs(by["5000"] - by[str(some[20][0])]) > 0.1  # the order of words counts
+
+    check()
+    monkeypatch.setattr(ppm, "MOST_STEPS", 4000)  # several turns
+    monkeypatch.setattr(ppm, "SLICE", 1000)  # texts in slices
+    check()
+    untrained = [(d, t) for d, t in some if d is not None and zlib.crc32(str(d).encode()) % 5 == 1]
+    none = spark.createDataFrame(untrained, "doc_id long, text string")
+    got = sorted(x["score"] for x in ppm.score_documents(none, across=True).collect())
+    want = sorted(-math.log10(256) * (len(ppm.running((t or "").encode())) - 1) for _, t in untrained)
+    assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
+    assert ppm.score_documents(none.limit(0), across=True).count() == 0
+
+
 def test_mix(docs, rows, empty):
     sizes = docs.select("doc_id", "source", mixing.word_count().alias("size"))
     got = mixing.mix(sizes, bucket_docs=4).collect()
