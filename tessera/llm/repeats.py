@@ -77,42 +77,46 @@ def segment_rows(docs: DataFrame, segments) -> DataFrame:
 
 def compare_segments(rows: DataFrame, inside: bool) -> DataFrame:
     """Segments of shared keys as (repeat, key, doc_id, start, windows): ``repeat`` if all their windows are repeats
-    of an equal segment's, which must be of an earlier document unless ``inside``; the others are to be compared
-    exactly where their key has several.
+    of an equal segment's, which must be of an earlier document, or with ``inside`` start earlier in the same one; the
+    others are to be compared exactly where their key has several. With ``inside`` a segment of the same doc_id and
+    start as an equal one (a repeated row's) is left out: what becomes of the first holds for both.
     Segments that may repeat inside themselves (``inner``) stay even if their key isn't shared."""
     arrow_batches(rows.sparkSession, 50_000)
     names = ["repeat", "key", "doc_id", "start", "windows", "inner"]
 
     def stream(batches):
-        held = None  # the last row, whose fate the next one decides, and what is known of it: its fields, repeat, shared
+        held = None  # the last row, whose fate the next one decides, and what is known of it: its fields, repeat, shared, leader, copy
         for b in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(columns[0]):
                 continue
             if held is not None:
                 columns = [np.concatenate([h, c]).astype(c.dtype) for h, c in zip(held[:6], columns, strict=True)]
-            key, name, doc = columns[:3]
+            key, name, doc, start = columns[:4]
             n = len(key)
             same_key, same = np.zeros(n, bool), np.zeros(n, bool)
             same_key[1:] = key[1:] == key[:-1]
             same[1:] = same_key[1:] & (name[1:] == name[:-1])
             shared = same_key.copy()
             shared[:-1] |= same_key[1:]
-            lead = doc[np.maximum.accumulate(np.where(same, 0, np.arange(n)))]  # document of the first equal segment
-            repeat = same if inside else same & (doc > lead)
+            at = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+            lead, lead_start = doc[at], start[at]  # document and start of the first equal segment
+            copy = np.zeros(n, bool)
+            copy[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & inside
             if held is not None:
                 begun = np.logical_and.accumulate(np.append(True, same[1:]))  # rows equal to the held one
-                lead[begun] = held[8]
-                repeat = same if inside else same & (doc > lead)
-                repeat[0], shared[0] = held[6], shared[0] | held[7]
-            yield _pick(slice(0, n - 1), shared, repeat, columns)
-            held = (*(c[-1:] for c in columns), repeat[-1], shared[-1], lead[-1])
+                lead[begun], lead_start[begun] = held[8], held[9]
+            repeat = same & ((doc > lead) | (doc == lead) & (start > lead_start) & inside)
+            if held is not None:
+                repeat[0], shared[0], copy[0] = held[6], shared[0] | held[7], held[10]
+            yield _pick(slice(0, n - 1), shared, repeat, copy, columns)
+            held = (*(c[-1:] for c in columns), repeat[-1], shared[-1], lead[-1], lead_start[-1], copy[-1])
         if held is not None:
-            yield _pick(slice(0, 1), np.array([held[7]]), np.array([held[6]]), held[:6])
+            yield _pick(slice(0, 1), np.array([held[7]]), np.array([held[6]]), np.array([held[10]]), held[:6])
 
-    def _pick(rows, shared, same, columns):
+    def _pick(rows, shared, same, copy, columns):
         key, _, doc, start, windows, inner = (c[rows] for c in columns)
-        at = np.flatnonzero(shared[rows] | inner)
+        at = np.flatnonzero((shared[rows] | inner) & ~copy[rows])
         return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (same[rows], key, doc, start, windows, inner)], names)
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "name", "doc_id", "start")

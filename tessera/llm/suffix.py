@@ -258,8 +258,8 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.maximum(value[which] - (at - at_start), 0), most)
 
 
-def repeated_windows(segments: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
-    """Of segments in ascending order of their place in the corpus: starts of windows that also start earlier."""
+def repeated_windows(segments: list[bytes], places: list[tuple[int, int]], width: int = WIDTH) -> list[np.ndarray]:
+    """Of segments in ascending order of their places (doc_id, start): starts of windows that also have a smaller place."""
     size = np.array([len(s) for s in segments], np.int64)
     t = np.frombuffer(b"\0".join(segments) + b"\0\0", np.uint8).astype(np.int32) + 2
     begin = np.cumsum(size + 1) - size - 1
@@ -277,8 +277,11 @@ def repeated_windows(segments: list[bytes], width: int = WIDTH) -> list[np.ndarr
         return [np.zeros(0, np.int64) for _ in segments]
     new = np.concatenate([[True], group[1:] != group[:-1]])
     first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(pos, first), np.diff(first, append=len(pos)))
-    bad = np.sort(pos[pos != least])
+    document = np.cumsum([0, *(a[0] != b[0] for a, b in zip(places[1:], places, strict=False))])
+    owner = np.searchsorted(begin, pos, side="right") - 1
+    place = (document[owner] << 32) + np.array([p[1] for p in places])[owner] + pos - begin[owner]
+    least = np.repeat(np.minimum.reduceat(place, first), np.diff(first, append=len(pos)))
+    bad = np.sort(pos[place > least])
     cut = np.searchsorted(bad, np.append(begin, len(t)))
     return [bad[a:z] - b for a, z, b in zip(cut[:-1].tolist(), cut[1:].tolist(), begin.tolist(), strict=True)]
 
@@ -322,7 +325,7 @@ def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     def found(held):
         ids, starts, counts = [], [], []
-        for (doc, start, _), bad in zip(held, repeated_windows([h[2] for h in held]), strict=True):
+        for (doc, start, _), bad in zip(held, repeated_windows([h[2] for h in held], [h[:2] for h in held]), strict=True):
             if len(bad):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(bad) != 1]))
                 n = np.diff(first, append=len(bad))

@@ -85,6 +85,18 @@ def test_suffix_dedup_splits_hot_keys(docs, rows, monkeypatch):
     assert got == brute_bytes(rows)
 
 
+def test_suffix_dedup_of_repeated_rows(spark, rows, monkeypatch):
+    again = rows + [r for r in rows if r[0] % 2] + [r for r in rows if r[0] % 5 == 0]
+    docs = spark.createDataFrame(again, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = brute_bytes(rows)  # each copy keeps what the row alone keeps
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    for hot in (suffix.HOT, 1):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        got = remove(docs, suffix.repeated_ranges(docs), suffix.digest, schema).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in again)
+        assert all((r["n_bytes"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for n, k in ((40, 2), (500, 3), (5000, 2), (5000, 50)):
