@@ -20,6 +20,8 @@ from tessera.llm.common import staged
 ORACLE_SQL = None
 #: Documents whose calibrated score reaches this are rejected.
 TOXIC_FROM = 0.5
+#: Near copies share at least this percentage of their word shingles.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -30,9 +32,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of near copies the document with the smallest doc_id; of rows that share a doc_id, the one with
+    """Of each group of near copies (similarity NEAR_PERCENT and more) the document with the smallest doc_id; of rows that share a doc_id, the one with
     the smallest text. Rows with a null doc_id stay."""
-    found = setsketch.near_components(docs)
+    found = setsketch.near_components(docs, percent=NEAR_PERCENT)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))

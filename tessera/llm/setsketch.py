@@ -277,7 +277,7 @@ def links(members: DataFrame, percent: int, k: int = K) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(rows, "a long, b long")
 
 
-def near_components(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     told = staged(describe(docs, k), "near-sketches")
@@ -294,5 +294,5 @@ def near_components(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    found = near_components(documents(spark, sf_dir))
+    found = near_components(documents(spark, sf_dir), percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -46,6 +46,17 @@ def test_stages(spark, folder):
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in coded.collect())
 
 
+def test_near_duplicates_from_80_percent(spark, folder):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:30], *(["changed"] * n), *base[30 + n :]]) for n in (0, 1, 2, 3, 9)]
+    rows = [(d, t, "en", "s", len(t)) for d, t in enumerate(texts)]
+    rows += [(10 + d, " ".join(f"v{k}" if k != 24 or not d else "other" for k in range(49)), "en", "s", 0) for d in range(2)]
+    want, narrow = brute_components(rows, 80), brute_components(rows, 85)
+    assert want != narrow  # the rows have a link between the two thresholds
+    near = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), folder)
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
