@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, documents, utf8
+from .common import documents, pieces, utf8
 
 BLOCK, SIDE = 64, 32
 FRAME_BLOCKS = (SIDE // 8) ** 2
@@ -338,10 +338,8 @@ def payload(text: bytes) -> bytes:
 
 def store(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     """(keep, n_bytes, media): each text as an AVI."""
-    arrow_batches(docs.sparkSession, 256)
-
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches, "t", 1 << 20):
             texts = b["t"].to_pylist()
             yield pa.RecordBatch.from_arrays([b[keep], pa.array(map(len, texts), pa.int64()), pa.array(write([payload(t) for t in texts]), pa.binary())], [keep, "n_bytes", "media"])
 
@@ -352,7 +350,7 @@ def clips(media: DataFrame, keep: str = "doc_id", column: str = "media") -> Data
     """One row per shot: (keep, clip, first_frame, last_frame, start_ms, end_ms, histogram: mean of its frames)."""
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches, column):
             ids, made = b[keep], []
             for k, (_, hist, fps) in enumerate(read(b[column].to_pylist())):
                 made += [(k, c, a, z, round(a * 1000 / fps), round((z + 1) * 1000 / fps), hist[a : z + 1].mean(0).tolist()) for c, (a, z) in enumerate(shots(hist))]
@@ -368,7 +366,7 @@ def digest(media: DataFrame) -> DataFrame:
 
     def rows(batches):
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "n_shots", "feature"]
-        for b in batches:
+        for b in pieces(batches, "media"):
             files, made = b["media"].to_pylist(), []
             for f, (data, hist, fps) in zip(files, read(files), strict=True):
                 found = shots(hist)

@@ -1,11 +1,15 @@
-"""What the operators of this subpackage share: shared-folder staging, tables and Arrow settings."""
+"""What the operators of this subpackage share: shared-folder staging, tables and Arrow batches cut by bytes."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +17,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that a step in Python takes at once.
+PIECE = 4 << 20
+
+_folders: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share. Where the setting is unset, a
+    local master (tests) takes a temporary folder; a cluster has no folder that all executors see, so that is an error.
+    The folder is deleted when the driver ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-    return f"{base.rstrip('/')}/tessera"
+    path = f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_at_end, spark, path)
+    return path
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        remove_path(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -31,12 +54,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows that an Arrow batch hands to Python at once; few, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    remove_path(df.sparkSession, df.staged_path)
+
+
+def pieces(batches, column: str, limit: int = PIECE):
+    """The rows of Arrow batches, cut so that the texts of ``column`` have about ``limit`` bytes; a longer text comes
+    alone. What a step holds of its texts is bounded by this, however many rows Spark puts into a batch."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b[column]).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(b):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -1,26 +1,29 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 A text is modelled as its words, A-Z lower-cased, each ended by a blank, and a last empty word; a blank stands before
-it. ``op7_ppm`` scores running text: the trie has all contexts of up to ``TEXT_ORDER`` bytes of the training texts,
-across words, with the counts of the bytes that follow. A byte's probability comes from the longest context that the
-trie knows. A context with T occurrences and D different followers gives a follower with n occurrences n / (T + D), and
-escapes with D / (T + D) to the context that is one byte shorter, in which the followers of the longer one are excluded
-from T and D; below order 0 the bytes left are alike.
-
-1. Texts are bundled (about ``BUNDLE`` bytes each). Each bundle gives its distinct words with their training counts; one
-   shuffle by word adds them, and the counts go back to the bundles that asked for them, as arrays (base_score).
-2. A byte with its context is a step; equal steps have equal code lengths, so each distinct step is scored once. Tasks
-   count their distinct steps (of held-out texts with 0); one shuffle by the context's last two bytes adds the counts.
-   All contexts of two bytes and more that a step falls back to are then in its own part; those of one byte and none
-   come from one table of 256 x 256 counts.
-3. The steps' code lengths are broadcast, at most ``MOST_STEPS`` at a time, and each text adds up its steps.
-
-``score_documents`` without ``across`` is the model of words alone: contexts of up to ``ORDER`` bytes end at the blank
-before a word, and each distinct word is scored once. Its trie is broadcast in parts of at most ``MOST_GRAMS`` entries,
-one after another, split by the last two bytes of the context; each part adds what it knows of a word's code length.
-
-Defined results: null or empty texts are the end alone; rows with a null doc_id count as training rows; without
-training documents N and V are 0, every count too, and all bytes are alike.
+it. The trie has all contexts of up to ``ORDER`` bytes of the training texts, across words, with the counts of the bytes
+that follow. A byte's probability comes from the longest context that the trie knows. A context with T occurrences and D
+different followers gives a follower with n occurrences n / (T + D), and escapes with D / (T + D) to the context that is
+one byte shorter, in which the followers of the longer one are excluded from T and D; below order 0 the bytes left are
+alike.
+
+A byte with its context is a step; equal steps have equal code lengths, so each distinct one is scored once.
+
+1. Texts are bundled (about ``BUNDLE`` bytes each). A bundle asks for its distinct steps and words, with their counts in
+   its training texts.
+2. Steps are ordered by their context read backwards, so that all contexts that end alike are neighbours, and dealt to
+   parts of about ``PART_STEPS`` by ranges of that order; the cuts come from a sample of the requests and only balance the
+   parts. So the trie below a part's contexts is in the part. Of each order at most one context is cut in two by a cut:
+   their followers are counted apart and go to the parts that they reach into. Words are dealt by their hash.
+3. A part adds up the counts of its requests, scores its distinct steps, and answers each request. One more shuffle brings
+   the answers to the texts of their bundle, which add up their steps and words.
+
+Nothing but the sample of cuts goes through the driver, and no table is broadcast: what is shuffled grows with the
+bundles' distinct steps, and so with the input.
+
+Defined results: null or empty texts are the end alone; rows with a null doc_id count as training rows; rows that occur
+again count again; without training documents N and V are 0, every count too, and all bytes are alike; no rows give no
+rows. Words are told apart by 128 bits of hash (64 inside a bundle), steps by their bytes.
 """
 
 from __future__ import annotations
@@ -34,36 +37,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import arrow_batches, documents, staged, utf8
+from .common import documents, pieces, staged, unstage, utf8
 from .repeats import unpack
 
-ORDER = 5
-BUNDLE = 4 << 20
-MOST_GRAMS = 1_500_000
-#: Bytes of context in running text: a step (depth, context, byte) fits a long.
-TEXT_ORDER = 6
-#: Steps that are broadcast at once.
-MOST_STEPS = 4_000_000
-#: Parts that the distinct steps are dealt to.
-STEP_PARTS = 128
+#: Bytes of context: a step (context, byte, number of context bytes) fits a long.
+ORDER = 6
+BUNDLE = 32 << 20
+#: Requests to a part, about.
+PART_STEPS = 1_500_000
+#: Requests to a row.
+ROW_STEPS = 1 << 18
+#: Rows of requests, and values of each, that the cuts are taken from.
+SAMPLED_ROWS, SAMPLED_VALUES = 512, 200
 #: Bytes of running text that are looked at together.
 SLICE = 1 << 20
-#: Answers that a task gathers before it deals them out by bundle.
-ANSWERS = 500_000
 BLANK = 0x20
 
-_mask = lambda n: np.uint64((1 << 8 * n) - 1)
+STATS, STEPS, WORDS = 0, 1, 2
+REQUEST = "part int, kind int, chunk long, keys binary, more binary, n binary"
+ANSWER = "chunk long, kind int, keys binary, values binary, seen long, total long"
 
 
 def bundles(docs: DataFrame) -> DataFrame:
     """(chunk, doc_id, train, z): compressed texts; consecutive documents of about BUNDLE bytes share a chunk."""
     names = ["chunk", "doc_id", "train", "z"]
-    arrow_batches(docs.sparkSession)
 
     def rows(batches):
         pack = zstandard.ZstdCompressor(level=1)
         chunk, total = None, 0
-        for b in batches:
+        for b in pieces(batches, "t"):
             texts = b["t"].to_pylist()
             packed, chunks = [pack.compress(t) for t in texts], []
             for d, z, t in zip(b["doc_id"].to_pylist(), packed, texts, strict=True):
@@ -77,507 +79,388 @@ def bundles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), utf8().alias("t")).mapInArrow(rows, "chunk long, doc_id long, train boolean, z binary")
 
 
-def _words(texts: list[bytes]):
-    """(bytes, start, end, hash, first) of the texts' words; first: words before each text."""
+def running(text: bytes) -> bytes:
+    """The bytes of a text that are coded, and the blank before them."""
+    words = text.lower().split()
+    return b" %s  " % b" ".join(words) if words else b"  "
+
+
+def text_steps(texts: list[bytes]):
+    """(steps, text's index) of all bytes to code, about SLICE at a time. A step has its context in the highest bits, the
+    byte before in the first 8 of ORDER * 8, then the byte itself, and the context's length in the lowest 3."""
+    lines = [running(t) for t in texts]
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    offsets = np.cumsum([0, *map(len, lines)])
+    for lo in range(0, len(data), SLICE):
+        hi, back = min(lo + SLICE, len(data)), max(lo - ORDER, 0)
+        piece = data[back:hi].astype(np.uint64)
+        step = piece << np.uint64(3)
+        for k in range(1, min(ORDER + 1, len(piece))):
+            step[k:] |= piece[:-k] << np.uint64(11 + 8 * (ORDER - k))
+        step = step[lo - back :] | np.uint64(ORDER)
+        code = np.ones(hi - lo, bool)
+        for depth in range(ORDER):  # the first bytes of a text have less before them
+            at = offsets[:-1] + depth
+            at = at[(at < offsets[1:]) & (at >= lo) & (at < hi)] - lo
+            context = ~np.uint64((1 << 11 + 8 * (ORDER - depth)) - 1)
+            step[at] = step[at] & (context | np.uint64(0x7F8)) | np.uint64(depth)
+            if not depth:
+                code[at] = False
+        owner = np.repeat(np.arange(len(lines)), np.diff(np.clip(offsets, lo, hi)))
+        yield step[code], owner[code]
+
+
+def text_words(texts: list[bytes], seeds=(0, 1)):
+    """(hashes by seed, first) of the texts' words; first: words before each text."""
     data = flat.lower(np.frombuffer(b"".join(texts), np.uint8))
     start, end, first = flat.words(data, np.cumsum([0, *map(len, texts)]))
-    return data, start, end, flat.hash_spans(data, start, end), first
+    return [flat.hash_spans(data, start, end, seed) for seed in seeds], first
 
 
-def bundle_words(packed: DataFrame) -> DataFrame:
-    """(w, word, chunk, n): each bundle's distinct words, and how often its training documents have them. (If a bundle's
-    rows come in two parts, its words may come twice, too; the sums are the same.)"""
-    arrow_batches(packed.sparkSession)
+def starts_of_runs(a: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
 
-    def rows(batches):
-        now, train, texts = None, [], []
-        for b in batches:
-            for chunk, t, z in zip(b["chunk"].to_pylist(), b["train"].to_pylist(), unpack(b["z"]), strict=True):
-                if chunk != now:
-                    yield from words_of(now, train, texts)
-                    now, train, texts = chunk, [], []
-                train.append(t)
-                texts.append(z)
-        yield from words_of(now, train, texts)
-
-    def words_of(chunk, train, texts):
-        if not texts:
-            return
-        data, start, end, h, first = _words(texts)
-        w, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.repeat(np.array(train, float), np.diff(first)), len(w)).astype(np.int64)
-        raw = data.tobytes()
-        for lo in range(0, len(w), 50_000):
-            s = sample[lo : lo + 50_000]
-            word = pa.array([raw[x:y] for x, y in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(w[lo : lo + 50_000].view(np.int64)), word, pa.array(np.full(len(s), chunk, np.int64)), pa.array(n[lo : lo + 50_000])], ["w", "word", "chunk", "n"])
 
-    return packed.select("chunk", "train", "z").mapInArrow(rows, "w long, word binary, chunk long, n long")
+def add_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, the sums of the first values, and one of each of the others."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = starts_of_runs(keys)
+    n, *more = (v[order] for v in values)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n, *(v[first] for v in more)
 
 
-def distinct_words(rows: DataFrame) -> DataFrame:
-    """(w, word, n, chunks): one row a word, with its training count and the bundles that have it, as bytes."""
-    arrow_batches(rows.sparkSession, 50_000)
-    names = ["w", "word", "n", "chunks"]
+def together(parts: list) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
-    def stream(batches):
-        rest = None  # rows of the last word, which may go on
-        for b in batches:
-            if rest is not None:
-                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            w = b["w"].to_numpy()
-            if not len(w):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            rest = b.slice(first[-1])
-            if len(first) > 1:
-                yield _words_of(b.slice(0, first[-1]), first[:-1])
-        if rest is not None:
-            yield _words_of(rest, np.zeros(1, np.int64))
-
-    def _words_of(b, first):
-        n = np.add.reduceat(b["n"].to_numpy(), first)
-        raw, cuts = b["chunk"].to_numpy().tobytes(), [*(first * 8).tolist(), len(b) * 8]
-        return pa.RecordBatch.from_arrays([b["w"].take(pa.array(first)), b["word"].take(pa.array(first)), pa.array(n), pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], names)
-
-    ordered = rows.repartition("w").sortWithinPartitions("w")
-    return ordered.mapInArrow(stream, "w long, word binary, n long, chunks binary")
-
-
-class Steps:
-    """All bytes to code of a batch of words (and the blanks that end them), with their contexts.
-
-    ``symbol``, ``word``: the byte and its word's index; ``depth``: bytes before it in its word, the blank included;
-    ``context(k)``: the k bytes before it."""
-
-    def __init__(self, words: pa.Array):
-        parts = list(flat.groups(words, 1 << 40))
-        data, offsets = (parts[0][1], parts[0][2]) if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        size = np.diff(offsets)
-        n, total = len(size), int(size.sum()) + 2 * len(size)
-        begin = offsets[:-1] + 2 * np.arange(n)
-        text = np.full(total, BLANK, np.uint64)
-        text[np.arange(len(data)) + 2 * np.repeat(np.arange(n), size) + 1] = data
-        code = np.ones(total, bool)
-        code[begin] = False
-        self.word = np.repeat(np.arange(n), size + 1)
-        self.depth = (np.arange(total) - np.repeat(begin, size + 2))[code]
-        self.symbol = text[code]
-        past = np.zeros(total, np.uint64)  # the ORDER bytes before each place
-        for k in range(1, ORDER + 1):
-            past[k:] |= text[:-k] << np.uint64(8 * (k - 1)) if k < total else 0
-        self.past = past[code]
-
-    def context(self, k: int, at=slice(None)) -> np.ndarray:
-        return self.past[at] & _mask(k)
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(size, gram, n): byte strings of 1 to ORDER + 1 bytes in the trained words, packed into a long, with counts."""
-    arrow_batches(words.sparkSession, 50_000)
 
-    def rows(batches):
-        for b in batches:
-            steps, n = Steps(b["word"]), b["n"].to_numpy()
-            weight = n[steps.word].astype(np.float64)
-            for k in range(ORDER + 1):
-                at = np.flatnonzero(steps.depth >= k)
-                gram, inverse = np.unique(steps.context(k, at) << np.uint64(8) | steps.symbol[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k + 1, np.int32)), pa.array(gram.view(np.int64)), pa.array(np.bincount(inverse, weight[at], len(gram)).astype(np.int64))], ["size", "gram", "n"])
-
-    return words.filter("n > 0").select("word", "n").mapInArrow(rows, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-
-
-def trie(grams: DataFrame) -> DataFrame:
-    """(size, context, symbol, n, t, d, pt, pd): followers of each context of ``size`` bytes, the context's
-    occurrences and different followers, and those of the context one byte shorter that its followers leave."""
-    drop = lambda c, size: F.col(c).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), 8) - 1 if size is None else size)
-    g = grams.select((F.col("size") - 1).alias("size"), F.shiftrightunsigned("gram", 8).alias("context"), drop("gram", None).alias("symbol"), "n")
-    shorter = F.expr("context & (shiftleft(1L, 8 * (size - 1)) - 1L)")
-    own = g.groupBy("size", "context").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))
-    long = g.filter("size > 0").withColumn("s", shorter)
-    part = g.select((F.col("size") + 1).alias("size"), F.col("context").alias("s"), "symbol", F.col("n").alias("pn"))
-    taken = long.join(part, ["size", "s", "symbol"]).groupBy("size", "context").agg(F.sum("pn").alias("e"), F.first("s").alias("s"))
-    parent = own.select((F.col("size") + 1).alias("size"), F.col("context").alias("s"), F.col("t").alias("tt"), F.col("d").alias("dd"))
-    left = taken.join(parent, ["size", "s"]).select("size", "context", "e", "tt", "dd")
-    own = own.join(left, ["size", "context"], "left").select("size", "context", "t", "d", (F.col("tt") - F.col("e")).alias("pt"), (F.col("dd") - F.col("d")).alias("pd"))
-    short = {"size": "tinyint", "symbol": "smallint", "d": "smallint", "pd": "smallint"}  # a part goes through the driver
-    return g.join(own, ["size", "context"]).withColumns({c: F.col(c).cast(t) for c, t in short.items()})
+def squeeze(*columns: np.ndarray) -> list[bytes]:
+    """Arrays of 64 bits compressed; the first is ascending and stored as differences."""
+    pack = zstandard.ZstdCompressor(level=1)
+    first, *rest = columns
+    return [pack.compress(c.tobytes()) for c in (np.diff(first, prepend=first.dtype.type(0)), *rest)]
 
 
-class Model:
-    """A part of the trie as sorted arrays by order: followers and contexts."""
+def expand(z: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint64), dtype=np.uint64)
 
-    def __init__(self, table: pa.Table, part: int, parts: int):
-        self.part, self.parts = part, parts
-        size, context, symbol, n, t, d, pt, pd = (table[c].to_numpy() for c in ("size", "context", "symbol", "n", "t", "d", "pt", "pd"))
-        self.grams, self.contexts = [], []
-        for k in range(ORDER + 1):
-            at = np.flatnonzero(size == k)
-            gram = context[at].astype(np.uint64) << np.uint64(8) | symbol[at].astype(np.uint64)
-            order = np.argsort(gram)
-            at = at[order]
-            self.grams.append((gram[order], n[at].astype(np.float64)))
-            c = context[at].astype(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            at = at[first]
-            fill = lambda v, at=at: np.nan_to_num(v[at].astype(np.float64))
-            self.contexts.append((c[first], fill(t), fill(d), fill(pt), fill(pd)))
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def code(self, steps: Steps) -> np.ndarray:
-        """log10 probability of each step that belongs to this part, 0 for the others."""
-        out = np.zeros(len(steps.symbol))
-        mine = np.arange(len(out)) if self.parts == 1 else np.flatnonzero((steps.context(2) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(self.parts) == self.part)
-        todo = mine
-        t, d = np.zeros(len(mine)), np.zeros(len(mine))  # what the longer context leaves in this one; d < 0: none was known
-        d[:] = -1
-        for k in range(len(self.grams) - 1, -1, -1):
-            deep = steps.depth[todo] >= k
-            keys, ct, cd, pt, pd = self.contexts[k]
-            here = np.flatnonzero(deep)
-            c = steps.context(k, todo[here])
-            where, known = self._find(keys, c)
-            here, where, c = here[known], where[known], c[known]
-            fresh = d[here] < 0
-            total, kinds = np.where(fresh, ct[where], t[here]), np.where(fresh, cd[where], d[here])
-            g, found = self._find(self.grams[k][0], c << np.uint64(8) | steps.symbol[todo[here]])
-            out[todo[here[found]]] += np.log10(self.grams[k][1][g[found]] / (total + kinds)[found])
-            lost = ~found & (kinds > 0)
-            out[todo[here[lost]]] += np.log10(kinds[lost] / (total + kinds)[lost])
-            t[here], d[here] = pt[where], pd[where]
-            stay = np.ones(len(todo), bool)
-            stay[here[found]] = False
-            if k == 0:
-                zero = len(self.contexts[0][2]) and self.contexts[0][2][0]
-                out[todo[stay]] -= np.log10(max(256 - zero, 1))
-            todo, t, d = todo[stay], t[stay], d[stay]
-        return out
 
+def plain(z: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), kind)
 
-def score_words(words: DataFrame, grams: DataFrame) -> DataFrame:
-    """``words`` with a column ``s``: the log10 probability of the word and the blank after it."""
-    spark = words.sparkSession
-    table = staged(trie(grams), "ppm-trie")
-    parts = max(1, -(-table.count() // MOST_GRAMS))
-    words = words.withColumn("s", F.lit(0.0))
-    last = F.expr(f"pmod(shiftrightunsigned((context & 65535L) * {0x9E3779B1}L, 7), {parts}L)")
-    for part in range(parts):
-        some = table if parts == 1 else table.filter((F.col("size") < 2) | (last == part))
-        model = spark.sparkContext.broadcast(Model(some.toArrow(), part, parts))
-        arrow_batches(spark, 50_000)
 
-        def rows(batches, model=model):
-            for b in batches:
-                steps = Steps(b["word"])
-                s = b["s"].to_numpy() + np.bincount(steps.word, model.value.code(steps), len(b))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], b.schema.names)
+def requests(packed: DataFrame) -> DataFrame:
+    """(kind, chunk, size, keys, more, n): each bundle's distinct steps and words, ascending, with their training counts,
+    ROW_STEPS at most to a row. (If a bundle's rows come in two parts, it asks twice; the sums are the same.)"""
+    names = ["kind", "chunk", "size", "keys", "more", "n"]
 
-        words = words.mapInArrow(rows, words.schema)
-        if part < parts - 1:
-            words = staged(words, "ppm-words")
-    return words
+    def rows(batches):
+        now, held = None, None
+        for b in pieces(batches, "z", 1 << 20):
+            chunks, train, texts = b["chunk"].to_pylist(), b["train"].to_pylist(), unpack(b["z"])
+            cuts = [0, *(k for k in range(1, len(chunks)) if chunks[k] != chunks[k - 1]), len(chunks)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if chunks[x] != now:
+                    yield from asked(now, held)
+                    now, held = chunks[x], ([], [])
+                gather(held, train[x:y], texts[x:y])
+        yield from asked(now, held)
+
+    def gather(held, train, texts):
+        steps, words = held
+        for kind in (True, False):
+            for step, _ in text_steps([t for t, k in zip(texts, train, strict=True) if k == kind]):
+                step.sort()
+                first = starts_of_runs(step)
+                steps.append((step[first], np.diff(first, append=len(step)) * kind))
+        (h1, h2), first = text_words(texts)
+        key, n, more = add_up(h1, np.repeat(np.array(train, np.int64), np.diff(first)), h2)
+        words.append((key, n, more))
+
+    def asked(chunk, held):
+        if held is None:
+            return
+        for kind, some in zip((STEPS, WORDS), held, strict=True):
+            if not some:
+                continue
+            key, n, *more = add_up(*together(some))
+            for lo in range(0, len(key), ROW_STEPS):
+                part = [c[lo : lo + ROW_STEPS] for c in (key, *(more or [n[:0]]), n)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([len(part[0])], pa.int64()), *(pa.array([z], pa.binary()) for z in squeeze(*part))], names)
 
+    return packed.select("chunk", "train", "z").mapInArrow(rows, "kind int, chunk long, size long, keys binary, more binary, n binary")
 
-def running(text: bytes) -> bytes:
-    """The bytes of a text that are coded, and the blank before them."""
-    words = text.lower().split()
-    return b" %s  " % b" ".join(words) if words else b"  "
 
+def cuts_of(asked: DataFrame) -> np.ndarray:
+    """Contexts (read backwards) at which a new part begins, from a bounded sample of the requests."""
+    steps = asked.filter(F.col("kind") == STEPS)
+    parts = -(-(steps.agg(F.sum("size")).first()[0] or 0) // PART_STEPS)
+    if parts < 2:
+        return np.zeros(0, np.uint64)
 
-def text_steps(texts: list[bytes]):
-    """(steps, text's index) of all bytes to code, about SLICE at a time. A step has the byte in its lowest 8 bits, its
-    context above it and the context's length in the highest byte."""
-    lines = [running(t) for t in texts]
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    offsets = np.cumsum([0, *map(len, lines)])
-    for lo in range(0, len(data), SLICE):
-        hi, back = min(lo + SLICE, len(data)), max(lo - TEXT_ORDER, 0)
-        piece = data[back:hi].astype(np.uint64)
-        step = piece.copy()
-        for k in range(1, min(TEXT_ORDER + 1, len(piece))):
-            step[k:] |= piece[:-k] << np.uint64(8 * k)
-        step = step[lo - back :] | np.uint64(TEXT_ORDER << 56)
-        code = np.ones(hi - lo, bool)
-        for depth in range(TEXT_ORDER):
-            at = offsets[:-1] + depth
-            at = at[(at < offsets[1:]) & (at >= lo) & (at < hi)] - lo
-            step[at] = step[at] & _mask(depth + 1) | np.uint64(depth << 56)
-            if not depth:
-                code[at] = False
-        owner = np.repeat(np.arange(len(lines)), np.diff(np.clip(offsets, lo, hi)))
-        yield step[code], owner[code]
+    def rows(batches):
+        for b in batches:
+            for z in b["keys"].to_pylist():
+                key = expand(z) >> np.uint64(11)
+                some = key[np.linspace(0, len(key) - 1, min(len(key), SAMPLED_VALUES)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["context"])
 
+    sample = steps.orderBy(F.xxhash64("chunk", "size", F.length("keys"))).limit(SAMPLED_ROWS).select("keys").mapInArrow(rows, "context long")
+    found = np.sort(np.array([r[0] for r in sample.collect()], np.uint64))
+    cuts = np.unique(found[np.arange(1, parts) * len(found) // parts])
+    return cuts[cuts > 0]
 
-def add_up(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct steps, ascending, and the sums of their counts."""
-    order = np.argsort(steps)
-    steps = steps[order]
-    first = np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1]])) if len(steps) else np.zeros(0, np.int64)
-    return steps[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
 
+def shorter(context: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of contexts."""
+    return context >> np.uint64(8 * (ORDER - k))
 
-def step_counts(packed: DataFrame) -> DataFrame:
-    """(part, steps, n, pairs): the distinct steps of each part with their training counts, as compressed arrays, and the
-    part's counts of bytes after one byte (256 x 256)."""
-    arrow_batches(packed.sparkSession)
-    most = 4_000_000
 
-    def count(batches):
-        held, size = [], 0
-        for b in batches:
-            train, texts = b["train"].to_pylist(), unpack(b["z"])
-            for kind in (True, False):
-                for step, _ in text_steps([t for t, k in zip(texts, train, strict=True) if k == kind]):
-                    step.sort()
-                    first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
-                    held.append((step[first], np.diff(first, append=len(step)) * kind))
-                    size += len(first)
-            if size > most:
-                held = [add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield dealt(held)
-                    held, size = [], 0
-        if held:
-            yield dealt(held)
-
-    def dealt(held):
-        step, n = add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        last = step >> np.uint64(8) & np.uint64(0xFFFF)
-        part = (flat.mix(last) % np.uint64(STEP_PARTS)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        step, n = step[order], n[order]
-        cuts = np.searchsorted(part[order], np.arange(STEP_PARTS + 1)).tolist()
-        pack = zstandard.ZstdCompressor(level=1)
-        some = [(p, x, y) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _, _ in some], pa.int32()), *(pa.array([pack.compress(v[x:y].tobytes()) for _, x, y in some], pa.binary()) for v in (step, n))],
-            ["part", "steps", "n"],
-        )
+def cut_contexts(cuts: np.ndarray) -> list[np.ndarray]:
+    """By order, the contexts that reach over a cut."""
+    inside = [(cuts & np.uint64((1 << 8 * (ORDER - k)) - 1)) > 0 for k in range(ORDER)]
+    return [np.unique(shorter(cuts[i], k)) for k, i in enumerate(inside)]
 
-    def merge(batches):
-        now, held = None, []
-        for b in batches:
-            for part, step, n in zip(b["part"].to_pylist(), unpack(b["steps"]), unpack(b["n"]), strict=True):
-                if part != now:
-                    if held:
-                        yield merged(now, held)
-                    now, held = part, []
-                held.append((np.frombuffer(step, np.uint64), np.frombuffer(n, np.int64)))
-                if len(held) > 64:
-                    held = [add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))]
-        if held:
-            yield merged(now, held)
-
-    def merged(part, held):
-        step, n = add_up(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        pairs = np.bincount((step & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
-        pack = zstandard.ZstdCompressor(level=1)
-        blobs = [pa.array([pack.compress(v.tobytes())], pa.binary()) for v in (step, n, pairs)]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(step)], pa.int64()), *blobs], ["part", "size", "steps", "n", "pairs"])
 
-    dealt_out = packed.select("train", "z").mapInArrow(count, "part int, steps binary, n binary")
-    return dealt_out.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, size long, steps binary, n binary, pairs binary")
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ascending keys, whether it is there) of each wanted one."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-class TextSteps:
-    """Steps in the form that ``Model.code`` takes."""
+def cut_followers(asked: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """Requests of kind STATS: to each part the followers (order, context, byte) of the contexts that a cut splits and that
+    reach into the part, with their counts. A part has two such contexts of each order at most."""
+    wanted = cut_contexts(cuts)
 
-    context = Steps.context
+    def count(batches):
+        for b in batches:
+            for keys, n in zip(b["keys"].to_pylist(), b["n"].to_pylist(), strict=True):
+                key, n = expand(keys), plain(n)
+                key, n = key[n > 0], n[n > 0]
+                context, symbol, depth = key >> np.uint64(11), key >> np.uint64(3) & np.uint64(0xFF), key & np.uint64(7)
+                made = []
+                for k, some in enumerate(wanted):
+                    c = shorter(context, k)
+                    at = np.flatnonzero(find(some, c)[1] & (depth >= k))
+                    made.append((np.uint64(k << 56) | c[at] << np.uint64(8) | symbol[at], n[at]))
+                code, n = add_up(*together(made))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+
+    def deal(batches):
+        for b in batches:
+            code, n = b["code"].to_numpy().astype(np.uint64), b["n"].to_numpy()
+            wide = np.uint64(8 * ORDER) - np.uint64(8) * (code >> np.uint64(56))
+            low = (code >> np.uint64(8) & np.uint64((1 << 48) - 1)) << wide
+            first, last = (np.searchsorted(cuts, c, side="right") for c in (low, low + (np.uint64(1) << wide) - np.uint64(1)))
+            many = last - first + 1
+            which = np.repeat(np.arange(len(code)), many)
+            part = np.repeat(first, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            order = np.lexsort((code[which], part))
+            part, which = part[order], which[order]
+            edges = [*starts_of_runs(part).tolist(), len(part)]
+            made = [(int(part[x]), *squeeze(code[which[x:y]], n[which[x:y]])) for x, y in zip(edges, edges[1:], strict=False)]
+            yield _dealt([(p, STATS, None, keys, b"", z) for p, keys, z in made])
+
+    steps = asked.filter(F.col("kind") == STEPS).select("keys", "n")
+    return steps.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).mapInArrow(deal, REQUEST)
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "chunk", "keys", "more", "n"])
+
+
+def dealt_requests(asked: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """The requests cut at the parts' ends. Word parts come after step parts."""
+    sizes = {r["kind"]: r["n"] for r in asked.groupBy("kind").agg(F.sum("size").alias("n")).collect()}
+    word_parts = max(1, -(-sizes.get(WORDS, 0) // PART_STEPS))
+    # the first hash of each word part but the first
+    word_cuts = np.array([(k << 64) // word_parts for k in range(1, word_parts)], np.uint64)
 
-    def __init__(self, steps: np.ndarray):
-        self.depth = (steps >> np.uint64(56)).astype(np.int64)
-        self.symbol = steps & np.uint64(0xFF)
-        self.past = (steps & _mask(7)) >> np.uint64(8)
+    def rows(batches):
+        for b in batches:
+            for kind, chunk, *blobs in zip(*(b[c].to_pylist() for c in ("kind", "chunk", "keys", "more", "n")), strict=True):
+                key, more, n = expand(blobs[0]), plain(blobs[1], np.uint64), plain(blobs[2])
+                edges = [0, *np.searchsorted(key, cuts << np.uint64(11) if kind == STEPS else word_cuts).tolist(), len(key)]
+                base = 0 if kind == STEPS else len(cuts) + 1
+                made = [(base + p, kind, chunk, *squeeze(key[x:y], more[x:y], n[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                yield _dealt(made)
+
+    return asked.select("kind", "chunk", "keys", "more", "n").mapInArrow(rows, REQUEST)
 
 
-class TextModel(Model):
-    """The part of the running texts' trie that a part's distinct steps make, and orders 0 and 1 of all parts."""
+class Model:
+    """The part of the trie that a part's distinct steps make, as sorted arrays by order: followers (context, byte) with
+    counts, and contexts with their occurrences t, different followers d, and what these leave of both (pt, pd) in the
+    context that is one byte shorter. ``code`` and ``more``: followers of contexts that other parts share, and counts."""
 
-    def __init__(self, steps: np.ndarray, n: np.ndarray, pairs: np.ndarray):
-        self.part, self.parts, self.grams, self.contexts = 0, 1, [], []
-        trained = n > 0
-        steps, n = steps[trained], n[trained]
-        depth, one = (steps >> np.uint64(56)).astype(np.int64), np.arange(1 << 16, dtype=np.uint64)
-        for k in range(TEXT_ORDER + 1):
-            if k < 2:
-                gram, count = add_up(one & _mask(k + 1), pairs)
-                gram, count = gram[count > 0], count[count > 0]
-            else:
-                at = depth >= k
-                gram, count = add_up(steps[at] & _mask(k + 1), n[at])
+    def __init__(self, steps: np.ndarray, n: np.ndarray, code: np.ndarray, more: np.ndarray):
+        self.grams, self.contexts = [], []
+        steps, n = steps[n > 0], n[n > 0]
+        depth, symbol = steps & np.uint64(7), steps >> np.uint64(3) & np.uint64(0xFF)
+        for k in range(ORDER + 1):
+            at = np.flatnonzero(depth >= k)
+            gram, count = add_up(shorter(steps[at] >> np.uint64(11), k) << np.uint64(8) | symbol[at], n[at])
+            split = code >> np.uint64(56) == k
+            if split.any():
+                other, own = code[split] & np.uint64((1 << 56) - 1), more[split]
+                mine = ~find(np.unique(other >> np.uint64(8)), gram >> np.uint64(8))[1]
+                gram, count = add_up(np.concatenate([gram[mine], other]), np.concatenate([count[mine], own]))
             c = gram >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            t = np.add.reduceat(count, first).astype(np.float64) if len(first) else np.zeros(0)
-            d, pt, pd = np.diff(first, append=len(c)).astype(np.float64), np.zeros(len(first)), np.zeros(len(first))
-            if k and len(first):  # what the followers leave in the context one byte shorter
+            first = starts_of_runs(c)
+            t = np.add.reduceat(count, first) if len(first) else count
+            d, pt, pd = np.diff(first, append=len(c)), np.zeros(len(first)), np.zeros(len(first))
+            if k and len(first):
                 keys, ct, cd, *_ = self.contexts[k - 1]
-                where, _ = self._find(keys, c[first] & _mask(k - 1))
-                same, _ = self._find(self.grams[k - 1][0], gram & _mask(k))
+                where, _ = find(keys, c[first] >> np.uint64(8))
+                same, _ = find(self.grams[k - 1][0], c >> np.uint64(8) << np.uint64(8) | gram & np.uint64(0xFF))
                 pt = ct[where] - np.add.reduceat(self.grams[k - 1][1][same], first)
                 pd = cd[where] - d
             self.grams.append((gram, count.astype(np.float64)))
-            self.contexts.append((c[first], t, d, pt, pd))
+            self.contexts.append((c[first], t.astype(np.float64), d.astype(np.float64), pt, pd))
+
+    def code(self, steps: np.ndarray) -> np.ndarray:
+        """log10 probability of each step."""
+        context, symbol, depth = steps >> np.uint64(11), steps >> np.uint64(3) & np.uint64(0xFF), steps & np.uint64(7)
+        out, todo = np.zeros(len(steps)), np.arange(len(steps))
+        t, d = np.zeros(len(steps)), np.full(len(steps), -1.0)  # what the longer context leaves in this one; d < 0: none was known
+        for k in range(ORDER, -1, -1):
+            here = np.flatnonzero(depth[todo] >= k)
+            keys, ct, cd, pt, pd = self.contexts[k]
+            c = shorter(context[todo[here]], k)
+            where, known = find(keys, c)
+            here, where, c = here[known], where[known], c[known]
+            fresh = d[here] < 0
+            total, kinds = np.where(fresh, ct[where], t[here]), np.where(fresh, cd[where], d[here])
+            g, found = find(self.grams[k][0], c << np.uint64(8) | symbol[todo[here]])
+            out[todo[here[found]]] += np.log10(self.grams[k][1][g[found]] / (total + kinds)[found])
+            lost = ~found & (kinds > 0)
+            out[todo[here[lost]]] += np.log10(kinds[lost] / (total + kinds)[lost])
+            t[here], d[here] = pt[where], pd[where]
+            stay = np.ones(len(todo), bool)
+            stay[here[found]] = False
+            todo, t, d = todo[stay], t[stay], d[stay]
+        known = self.contexts[0][2]
+        out[todo] -= np.log10(max(256 - (known[0] if len(known) else 0), 1))
+        return out
 
 
-def step_scores(counts: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(part, size, steps, s): the log10 probabilities of the distinct steps of each part."""
-    arrow_batches(counts.sparkSession, 1)
+def answers(dealt: DataFrame) -> DataFrame:
+    """(chunk, kind, keys, values, seen, total): the log10 probabilities of the steps, and the training counts of the words,
+    that a bundle asked for. Each word part also tells its trained words (seen) and their occurrences (total), once."""
+    names = ["chunk", "kind", "keys", "values", "seen", "total"]
 
     def rows(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        now, held = None, []
         for b in batches:
-            out = []
-            for step, n in zip(unpack(b["steps"]), unpack(b["n"]), strict=True):
-                step = np.frombuffer(step, np.uint64)
-                out.append(pack.compress(TextModel(step, np.frombuffer(n, np.int64), pairs).code(TextSteps(step)).tobytes()))
-            yield pa.RecordBatch.from_arrays([b["part"], b["size"], b["steps"], pa.array(out, pa.binary())], ["part", "size", "steps", "s"])
-
-    return counts.select("part", "size", "steps", "n").mapInArrow(rows, "part int, size long, steps binary, s binary")
-
-
-def score_texts(packed: DataFrame) -> DataFrame:
-    """``packed`` with a column ``s``: the log10 probability of each whole text."""
-    spark = packed.sparkSession
-    counts = staged(step_counts(packed), "ppm-steps")
-    pairs = np.zeros(1 << 16, np.int64)
-    for (z,) in counts.select("pairs").toLocalIterator():
-        pairs += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(z)), np.int64)
-    scores = staged(step_scores(counts, pairs), "ppm-step-scores")
-    turns, total = [[]], 0
-    for part, size in sorted(map(tuple, scores.select("part", "size").collect())):
-        if total + size > MOST_STEPS and turns[-1]:
-            turns.append([])
-            total = 0
-        turns[-1].append(part)
-        total += size
-    texts = packed.withColumn("s", F.lit(0.0))
-    for turn, mine in enumerate(turns):
-        table = scores.filter(F.col("part").isin(mine)).select("steps", "s").toArrow()
-        steps, s = (np.frombuffer(b"".join(unpack(table[c])), t) for c, t in (("steps", np.uint64), ("s", np.float64)))
-        order = np.argsort(steps)
-        known = spark.sparkContext.broadcast((steps[order], s[order]))
-        arrow_batches(spark)
-
-        def rows(batches, known=known):
-            steps, s = known.value
-            for b in batches:
-                value = b["s"].to_numpy().copy()
-                for step, owner in text_steps(unpack(b["z"])):
-                    order = np.argsort(step)
-                    at, found = Model._find(steps, step[order])
-                    value += np.bincount(owner[order[found]], s[at[found]], len(b))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value)], b.schema.names)
-
-        texts = texts.mapInArrow(rows, texts.schema)
-        if turn < len(turns) - 1:
-            texts = staged(texts, "ppm-texts")
-    return texts
-
-
-def answers(scored: DataFrame) -> DataFrame:
-    """(chunk, entries): for each bundle, (hash, training count, score) of its words, as bytes of three arrays."""
-    arrow_batches(scored.sparkSession, 50_000)
+            for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    yield from answer(held)
+                    now, held = part, []
+                held.append(row)
+        yield from answer(held)
 
-    def rows(batches):
-        held, total = [], 0
-        for b in batches:
-            asked = b["chunks"].to_pylist()
-            chunk = np.frombuffer(b"".join(asked), np.int64)
-            which = np.repeat(np.arange(len(asked)), [len(a) // 8 for a in asked])
-            held.append((chunk, *(b[c].to_numpy()[which] for c in ("w", "n", "s"))))
-            total += len(chunk)
-            if total >= ANSWERS:
-                yield by_chunk(held)
-                held, total = [], 0
-        if held:
-            yield by_chunk(held)
-
-    def by_chunk(held):
-        chunk, *values = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(chunk, kind="stable")
-        chunk = chunk[order]
-        first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-        cuts = [*first.tolist(), len(chunk)]
-        values = [v[order] for v in values]
-        entries = [b"".join(v[x:y].tobytes() for v in values) for x, y in zip(cuts, cuts[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(entries, pa.binary())], ["chunk", "entries"])
-
-    return scored.select("w", "n", "chunks", "s").mapInArrow(rows, "chunk long, entries binary")
-
-
-def score_documents(docs: DataFrame, across: bool = False) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``. ``across``: score
-    running text, with contexts across words, and not word by word."""
-    spark = docs.sparkSession
+    def answer(held):
+        asked = [(kind, chunk, z, expand(z), more, n) for kind, chunk, z, more, n in held if kind != STATS]
+        if not asked:
+            return
+        seen = total = 0
+        keys, counts = [a[3] for a in asked], [plain(a[5]) for a in asked]
+        if asked[0][0] == STEPS:
+            shared = [(expand(z), plain(n)) for kind, _, z, _, n in held if kind == STATS]
+            code, more = add_up(*together(shared)) if shared else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            step, n = add_up(np.concatenate(keys), np.concatenate(counts))
+            value = Model(step, n, code, more).code(step)
+            find_in = lambda key, _: value[np.searchsorted(step, key)]
+        else:
+            # words of one first hash are told apart by their second: the place in the order of both
+            second = [plain(a[4], np.uint64) for a in asked]
+            h1, h2, n = np.concatenate(keys), np.concatenate(second), np.concatenate(counts)
+            order = np.lexsort((h2, h1))
+            new = np.ones(len(order), bool)
+            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            sums = np.add.reduceat(n[order], np.flatnonzero(new))
+            of = np.empty(len(order), np.int64)
+            of[order] = sums[np.cumsum(new) - 1]
+            seen, total = int((sums > 0).sum()), int(sums.sum())
+            ends = iter(np.split(of, np.cumsum([len(k) for k in keys])[:-1]))
+            find_in = lambda key, _: next(ends)
+        pack = zstandard.ZstdCompressor(level=1)
+        for kind, chunk, z, key, *_ in asked:
+            values = pack.compress(find_in(key, kind).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, z, values, seen, total), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
+            seen = total = 0
+
+    return dealt.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(rows, ANSWER)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
     packed = staged(bundles(docs), "ppm-bundles")
-    words = staged(distinct_words(bundle_words(packed)), "ppm-distinct")
-    seen = words.filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    asked = staged(requests(packed), "ppm-requests")
+    cuts = cuts_of(asked)
+    dealt = dealt_requests(asked, cuts)
+    if len(cuts):
+        dealt = dealt.union(cut_followers(asked, cuts))
+    answered = staged(answers(dealt), "ppm-answers")
+    unstage(asked)
+    seen = answered.agg(F.sum("seen"), F.sum("total")).first()
     ends = packed.filter("train").count()
-    total, distinct = (seen[1] or 0) + ends, seen[0] + (ends > 0)
-    if across:
-        end_score, texts = 0.0, score_texts(packed)
-        scored = words.select("w", "n", "chunks", F.lit(0.0).alias("s"))
-    else:
-        # the end is an empty word: it is trained once for each training document
-        end = spark.createDataFrame([(0, bytearray(b""), ends)], "w long, word binary, n long")
-        grams = staged(gram_counts(words.select("w", "word", "n").union(end)), "ppm-grams")
-        scored = score_words(words.select("w", "n", "chunks", "word").union(end.select("w", "n", F.lit(b"").alias("chunks"), "word")), grams)
-        scored = staged(scored.select("w", "n", "chunks", "s", (F.length("word") == 0).alias("end")), "ppm-scored")
-        end_score = scored.filter("end").first()["s"]
-        scored, texts = scored.filter("not end"), packed.withColumn("s", F.lit(0.0))
+    total, distinct = (seen[1] or 0) + ends, (seen[0] or 0) + (ends > 0)
+    low = np.log10(total + 0.5 * (distinct + 1))
     none = F.lit(None)
-    asked = answers(scored).select("chunk", F.lit(0).alias("kind"), F.col("entries").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"), F.lit(0.0).alias("s"))
-    texts = texts.select("chunk", F.lit(1).alias("kind"), "z", "doc_id", "train", "s")
-    both = asked.union(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    arrow_batches(spark)
-    low = np.log10(total + 0.5 * (distinct + 1)) if total else np.log10(0.5)
+    told = answered.select("chunk", "kind", "keys", F.col("values").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"))
+    texts = packed.select("chunk", F.lit(WORDS + 1).alias("kind"), none.cast("binary").alias("keys"), "z", "doc_id", "train")
+    both = told.union(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
 
     def rows(batches):
         now, held, table = None, [], None
-        for b in batches:
-            ids, train, texts, sums, tables = [], [], [], [], []
-            d = zstandard.ZstdDecompressor()
-            for chunk, kind, z, doc, t, s in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "z", "doc_id", "train", "s")), strict=True):
+        for b in pieces(batches, "z", 1 << 20):
+            some = []
+            for chunk, kind, keys, z, doc, train in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if chunk != now:
-                    now, held, table = chunk, [], None
-                if kind == 0:
-                    held.append(z)
+                    if some:
+                        yield score(some, table)
+                    now, held, table, some = chunk, [], None, []
+                if kind <= WORDS:
+                    held.append((kind, keys, z))
                     continue
-                table = table or look_up(held)
-                if tables and tables[-1] is not table:
-                    yield score(ids, train, texts, sums, tables[-1])
-                    ids, train, texts, sums = [], [], [], []
-                tables = [table]
-                ids.append(doc)
-                train.append(t)
-                texts.append(d.decompress(z))
-                sums.append(s)
-            if texts:
-                yield score(ids, train, texts, sums, tables[-1])
+                if table is None:
+                    table, held = look_up(held), []
+                some.append((doc, train, zstandard.ZstdDecompressor().decompress(z)))
+            if some:
+                yield score(some, table)
 
     def look_up(held):
-        w, n, s = (np.concatenate([np.zeros(0, t), *(np.frombuffer(e, t, len(e) // 24, len(e) // 24 * 8 * k) for e in held)]) for k, t in enumerate((np.uint64, np.int64, np.float64)))
-        order = np.argsort(w)
-        return w[order], n[order], s[order]
-
-    def score(ids, train, texts, sums, table):
-        w, n, s = table
-        _, _, _, h, first = _words(texts)
-        at, words = np.searchsorted(w, h), np.diff(first)
-        owner = np.repeat(np.arange(len(words)), words)
-        known = np.bincount(owner, n[at] > 0, len(words)).astype(np.int64) + (ends > 0)
-        base = np.bincount(owner, np.log10(n[at] + 0.5) - low, len(words)) + np.log10(ends + 0.5) - low
-        value = np.bincount(owner, s[at], len(words)) + end_score + np.array(sums)
+        out = []
+        for kind, of in ((STEPS, np.float64), (WORDS, np.int64)):
+            some = [(expand(keys), plain(z, of)) for k, keys, z in held if k == kind] or [(np.zeros(0, np.uint64), np.zeros(0, of))]
+            key, value = together(some)
+            if (key[1:] < key[:-1]).any():
+                order = np.argsort(key, kind="stable")
+                key, value = key[order], value[order]
+            out += [key, value]
+        return out
+
+    def score(some, table):
+        steps, code, words, count = table
+        ids, train, texts = zip(*some, strict=True)
+        value = np.zeros(len(texts))
+        for step, owner in text_steps(texts):
+            order = np.argsort(step)
+            value += np.bincount(owner[order], code[np.searchsorted(steps, step[order])], len(texts))
+        (h,), first = text_words(texts, (0,))
+        n = count[np.searchsorted(words, h)] if len(h) else np.zeros(0, np.int64)
+        size = np.diff(first)
+        owner = np.repeat(np.arange(len(size)), size)
+        known = np.bincount(owner, n > 0, len(size)).astype(np.int64) + (ends > 0)
+        base = np.bincount(owner, np.log10(n + 0.5) - low, len(size)) + np.log10(ends + 0.5) - low
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([not t for t in train]), pa.array(words + 1), pa.array(known), pa.array(np.full(len(words), total, np.int64)), pa.array(base), pa.array(value)],
+            [pa.array(ids, pa.int64()), pa.array([not t for t in train]), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), total, np.int64)), pa.array(base), pa.array(value)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -585,4 +468,4 @@ def score_documents(docs: DataFrame, across: bool = False) -> DataFrame:
 
 
 def op7_ppm(spark, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir).select("doc_id", "text"), across=True)
+    return score_documents(documents(spark, sf_dir).select("doc_id", "text"))

@@ -8,10 +8,11 @@ its existence depends on are tracked; a window's key comes from the recompressed
 determine: the least hash of the words that such a symbol depends on (of single words only where there is no such
 symbol). So equal windows have equal keys, and one
 shuffle by key (see ``repeats``) reveals repeats; windows of segments that differ from others of their key are
-verified one by one on 128 bits of hash of all 13 words.
+verified one by one on 124 bits of hash of all 13 words and their number.
 
 Defined results: null and empty texts have no words; documents of under 13 words lose nothing; rows with the same
-doc_id don't remove each other's words; rows with a null doc_id neither lose words nor cost others any.
+doc_id don't remove each other's words, whether their texts are equal or not; rows with a null doc_id neither lose
+words nor cost others any; an empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import arrow_batches, documents, staged
-from .repeats import Spans, covered, packed, ranges_by_document, remove, repeats, runs, unpack
+from .common import documents, pieces
+from .repeats import Spans, covered, later, packed, remove, repeats, runs, unpack
 
 WIDTH = 13
 #: Rounds; after more of them, few symbols depend on 13 words at most.
@@ -128,27 +129,35 @@ def segments(data: np.ndarray, offsets: np.ndarray):
 
 
 def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Compare the windows of segments by 128 bits of hash."""
-    wanted = staged(rows, "word-segments").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
-    joined = packed(docs).join(wanted, "doc_id").select("doc_id", "z", "wanted")
-    arrow_batches(docs.sparkSession)
+    """Compare the windows of segments by two hashes of their words. A task drops the windows that repeat one of a smaller
+    doc_id among its own before the shuffle, so a hot window sends few rows."""
+    wanted = rows.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
+    joined = packed(docs).join(wanted, ["doc_id", "row"]).select("doc_id", "row", "z", "wanted")
+    names = ["sure", "w1", "w2", "doc_id", "row", "start"]
 
     def name(batches):
-        for b in batches:
-            wanted, ids = b["wanted"].to_pylist(), b["doc_id"].to_numpy()
+        for b in pieces(batches, "z", 1 << 20):
+            wanted, ids, rows = b["wanted"].to_pylist(), b["doc_id"].to_numpy(), b["row"].to_numpy()
             texts = pa.array(unpack(b["z"]), pa.binary())
             for lo, data, offsets in flat.groups(texts, 1 << 20):
                 begin, end, first = flat.words(data, offsets)
                 pick = [np.concatenate([np.arange(w["start"], w["start"] + w["windows"]) for w in wanted[lo + k]]) for k in range(len(offsets) - 1)]
-                starts = np.concatenate(pick)
-                at = starts + np.repeat(first[:-1], [len(p) for p in pick])
+                size, starts = [len(p) for p in pick], np.concatenate(pick)
+                at = starts + np.repeat(first[:-1], size)
                 h = [Spans(flat.hash_spans(data, begin, end, seed))(at, at + WIDTH).view(np.int64) for seed in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.repeat(ids[lo : lo + len(pick)], [len(p) for p in pick])), pa.array(starts.astype(np.int32))], ["w1", "w2", "doc_id", "start"])
+                doc, row = (np.repeat(c[lo : lo + len(pick)], size) for c in (ids, rows))
+                columns = [pa.array(c) for c in (later(h, doc), *h, doc, row, starts.astype(np.int32))]
+                batch = pa.RecordBatch.from_arrays(columns, names)
+                for k in range(0, len(batch), 100_000):
+                    yield batch.slice(k, 100_000)
 
     def earlier(batches):
         lead = None
         for b in batches:
-            w1, w2, doc, start = (c.to_numpy() for c in b.columns)
+            sure = b["sure"].to_numpy(zero_copy_only=False)
+            if sure.any():
+                yield _one_each(*(c.to_numpy()[sure] for c in b.columns[3:]))
+            w1, w2, doc, row, start = (c.to_numpy()[~sure] for c in b.columns[1:])
             if not len(w1):
                 continue
             new = np.ones(len(w1), bool)
@@ -158,17 +167,20 @@ def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
                 least[np.logical_and.accumulate(np.append(True, ~new[1:]))] = lead[2]
             lead = (w1[-1], w2[-1], least[-1])
             bad = doc > least
-            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(start[bad]), pa.array(np.ones(bad.sum(), np.int32))], ["doc_id", "start", "windows"])
+            yield _one_each(doc[bad], row[bad], start[bad])
+
+    def _one_each(doc, row, start):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(start), pa.array(np.ones(len(doc), np.int32))], ["doc_id", "row", "start", "windows"])
 
-    named = joined.mapInArrow(name, "w1 long, w2 long, doc_id long, start int")
-    ordered = named.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id")
-    return ordered.mapInArrow(earlier, "doc_id long, start int, windows int")
+    named = joined.mapInArrow(name, "sure boolean, w1 long, w2 long, doc_id long, row long, start int")
+    spread = F.when(F.col("sure"), F.xxhash64("doc_id", "start")).otherwise(F.xxhash64("w1", "w2"))
+    ordered = named.repartition(spread).sortWithinPartitions("sure", "w1", "w2", "doc_id")
+    return ordered.mapInArrow(earlier, "doc_id long, row long, start int, windows int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts, windows) of the documents with 13-word windows that an earlier document has."""
-    docs = docs.filter("doc_id is not null")
-    return ranges_by_document(repeats(docs, segments, confirm, "word-repeats", inside=False))
+    """(doc_id, row, starts, windows) of the rows with 13-word windows that an earlier document has."""
+    return repeats(docs, segments, confirm, "word-repeats", inside=False)
 
 
 def digest(text: bytes, starts, windows):

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, ranges
-from .common import arrow_batches, documents, input_bytes, new_path, utf8
+from .common import documents, input_bytes, new_path, pieces, utf8
 
 END_ID = 0
 #: Input bytes of text to one shard, about.
@@ -172,16 +172,15 @@ def _encoder(path: str) -> LibraryEncoder:
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
     """Encode (doc_id, text) and write the shards under ``path``; one range shuffle on doc_id puts them in order."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     if shards is None:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(docs) // SHARD_BYTES, 1_000_000), 1)
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // SHARD_BYTES, 1)
     docs = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def rows(batches):
         encoder = _encoder(tokenizer)
         last = b""
-        for b in batches:
+        for b in pieces(batches, "text"):
             pieces = []
             for doc, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist()), strict=True):
                 f = frame(payload(doc, np.append(ids, np.uint32(end_id)), encoder.wide))
@@ -199,14 +198,13 @@ def read_records(spark, path: str) -> DataFrame:
     """The index of the shards, from the files' bytes: (shard, record, doc_id, offset, length, n_tokens, ids_crc32)."""
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches, "content"):
             for name, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 found = [(doc, at, n, len(ids), zlib.crc32(ids.tobytes())) for doc, at, n, ids in parse(data)]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 arrays = [pa.array([name.rpartition("/")[2]] * len(found)), pa.array(range(len(found)), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)]
                 yield pa.RecordBatch.from_arrays(arrays, ["shard", "record", "doc_id", "offset", "length", "n_tokens", "ids_crc32"])
 
-    arrow_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(rows, "shard string, record long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long")
 
@@ -217,7 +215,6 @@ def token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     spark = docs.sparkSession
     write_records(docs, f"{path}/shards", tokenizer, end_id)
     read_records(spark, f"{path}/shards").write.parquet(f"{path}/index")
-    arrow_batches(spark)
     index = spark.read.parquet(f"{path}/index")
     # one row a shard, so these sums stay small; the rank of a shard is its name's (partition number)
     sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("shard")) - F.col("n"))

@@ -14,11 +14,15 @@ are equal with a probability that rises with their Jaccard similarity.
    components is lost, and a bucket of N near-copies gives at most N - 1 links and not their square.
 5. Verified links make components.
 
-Buckets of more than ``BLOCK`` members are compared in pairs of blocks, each a task's group of its own.
+A bucket of more than ``BLOCK`` members is cut into blocks by a hash. First its leaders, a few members, are compared with
+all blocks. Members that verified links join with the first leader need not be compared with each other; only the others
+are compared with all blocks once more, and if there are none, which is usual in a group of copies, a bucket of N
+members costs N comparisons a leader and not their square.
 
 Defined results: null or empty texts and texts without words have an empty set, link with nothing and are kept; with
-fewer than k words the whole sequence is the one shingle; rows that share a doc_id are one node; a null doc_id
-links with nothing and is kept; no documents give no rows.
+fewer than k words the whole sequence is the one shingle; rows that share a doc_id are one document with the links of
+all its texts, and each row has its own number of shingles; a null doc_id links with nothing and is kept; no documents
+give no rows. Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import arrow_batches, documents, staged, utf8
+from .common import documents, pieces, staged, unstage
 from .components import connected
-from .repeats import packed, unpack
+from .repeats import packed, rows_of, unpack
 
 K = 5
 BANDS, ROWS = 32, 6
@@ -44,6 +48,8 @@ RATE = 20.0
 MARGIN = 4.5
 #: Members of a bucket that one task compares at once.
 BLOCK = 1024
+#: Hash seeds by which further leaders of a large bucket are picked, besides its least and greatest doc_id.
+LEADERS = (21, 22)
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, M, np.uint32)
@@ -143,8 +149,7 @@ def _likely(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, regs: np.nda
             cols = right[at : at + 512]
             n1, n2 = sizes[rows][:, None], sizes[cols][None, :]
             ok = np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9
-            if left is right:
-                ok &= rows[:, None] < cols[None, :]
+            ok &= rows[:, None] < cols[None, :] if left is right else rows[:, None] != cols[None, :]
             i, j = np.nonzero(ok)
             for part in range(0, len(i), 1 << 14):
                 a, b = rows[i[part : part + (1 << 14)]], cols[j[part : part + (1 << 14)]]
@@ -186,12 +191,15 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return out
 
 
-def bucket_links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, alive: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+def bucket_links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, alive: np.ndarray, band: int, percent: int, component=()) -> list[tuple[int, int]]:
     """Links of a bucket's members, verified on the full sets, as a spanning forest: pairs that verified links join
-    already are not looked at, so at most one link a member comes out."""
+    already (members of one ``component`` from the start) are not looked at, so at most one link a member comes out."""
     sizes = np.array([len(s) for s in sets])
     i, j = _likely(left, right, sizes, regs, alive, band, percent / 100)
     forest, out, step = _Forest(len(sets)), [], 64
+    known: dict = {}
+    for k, c in enumerate(component):
+        forest.join(known.setdefault(c, k), k)
     lo = 0
     while lo < len(i):
         a, b = i[lo : lo + step], j[lo : lo + step]
@@ -205,61 +213,94 @@ def bucket_links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], re
 
 
 def describe(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sketch) of each document; h1 and h2 name its set."""
-    arrow_batches(docs.sparkSession)
+    """(doc_id, row, n_shingles, h1, h2, sketch) of each row; h1 and h2 name its set, row is a hash of its text."""
+    names = ["doc_id", "row", "n_shingles", "h1", "h2", "sketch"]
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches, "t"):
             for lo, data, offsets in flat.groups(b["t"]):
                 sets = shingle_sets(data, offsets, k)
                 n = len(sets)
-                name = lambda seed: [int(flat.mix(s ^ np.uint64(seed)).sum(dtype=np.uint64)) - (1 << 63) for s in sets]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"][lo : lo + n].cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(name(0x1234567), pa.int64()), pa.array(name(0x7654321ABC), pa.int64()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sketch"],
-                )
+                name = lambda seed: pa.array([int(flat.mix(s ^ np.uint64(seed)).sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64())  # noqa: E731, B023
+                made = [pa.array(map(len, sets), pa.int64()), name(0x1234567), name(0x7654321ABC), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b["doc_id"][lo : lo + n], b["row"][lo : lo + n], *made], names)
 
-    return docs.select("doc_id", utf8().alias("t")).mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    return rows_of(docs).mapInArrow(rows, "doc_id long, row long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def buckets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members of buckets of two and more, with their texts: (bucket, band, doc_id, left, right, alive, sketch, z). A
-    bucket of over BLOCK members appears once for each pair of its blocks, in which members are on the ``left``, the
-    ``right`` or both. ``alive`` has a bit for each band in which the document's bucket is kept."""
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """(key, band, doc_id, row, n, first, leaders): members of the buckets of two and more, of buckets with the same members
+    one; ``first`` is the least member's doc_id, ``leaders`` are some members (row hashes) of a bucket of over BLOCK."""
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")
-    keys = reps.select("doc_id", F.posexplode(band).alias("band", "key"))
-    of = F.xxhash64("doc_id")
-    named = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(of, 8)).alias("s"), F.sum(F.pmod(of, F.lit(1000003))).alias("s2"), F.min("doc_id").alias("m")).filter("n > 1")
-    once = staged(named.groupBy("n", "s", "s2", "m").agg(F.min("key").alias("key")).select("key", "n"), "near-buckets")
+    keys = reps.select("doc_id", "row", F.posexplode(band).alias("band", "key"))
+    name = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "row")
+    lead = F.array_distinct(F.array(F.min_by("row", "doc_id"), F.max_by("row", "doc_id"), *(F.min_by("row", name(s)) for s in LEADERS)))
+    named = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name(1)).alias("x1"), F.bit_xor(name(2)).alias("x2"), F.min("doc_id").alias("first"), lead.alias("leaders")).filter("n > 1")
+    once = staged(named.groupBy("n", "x1", "x2", "first").agg(F.min_by(F.struct("key", "leaders"), "key").alias("k")).select("k.key", "n", "first", F.when(F.col("n") > BLOCK, F.col("k.leaders")).alias("leaders")), "near-once")
+    return staged(keys.join(once, "key"), "near-members")
+
+
+def compared(rows: DataFrame, members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, row, component, bucket, band, left, right) with what a comparison needs: (..., alive, sketch, z).
+    ``alive`` has a bit for each band in which the row's bucket is kept."""
+    # a row is in BANDS buckets at most, so its list is bounded by BANDS times the blocks of a bucket
+    who = ["doc_id", "row"]
+    mine = rows.groupBy(*who).agg(F.collect_list(F.struct("bucket", "band", "left", "right", "component")).alias("r"))
+    alive = members.groupBy(*who).agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("alive"))
+    joined = mine.join(alive, who).join(reps.select(*who, "sketch"), who).join(packed(docs), who).dropDuplicates(who)
+    return joined.select(*who, "alive", "sketch", "z", F.explode("r").alias("r")).select("r.*", *who, "alive", "sketch", "z")
+
+
+def leader_rows(members: DataFrame) -> DataFrame:
+    """Rows to compare first: small buckets whole, of large ones the leaders (``left``) with each block (``right``)."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = keys.join(once, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks").cast("long")).cast("int"))
-    member = member.select("key", "band", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    row = F.struct(F.xxhash64("key", low, high).alias("bucket"), "band", (F.col("block") == low).alias("left"), (F.col("block") == high).alias("right"))
-    # a document is in BANDS buckets at most, so its list is bounded by BANDS times the blocks of a bucket
-    mine = member.groupBy("doc_id").agg(F.collect_list(row).alias("rows"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("alive"))
-    joined = mine.join(reps.select("doc_id", "sketch"), "doc_id").join(packed(docs), "doc_id")
-    return joined.select(F.explode("rows").alias("r"), "doc_id", "alive", "sketch", "z").select("r.bucket", "r.band", "doc_id", "r.left", "r.right", "alive", "sketch", "z")
+    made = members.withColumn("blocks", blocks).withColumn("block", _block(F.col("blocks")))
+    leads = F.coalesce(F.array_contains("leaders", F.col("row")), F.lit(False))
+    made = made.withColumn("leads", leads).withColumn("other", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    whole = F.col("blocks") == 1
+    return made.select("doc_id", "row", F.lit(None).cast("long").alias("component"), F.xxhash64("key", "other").alias("bucket"), "band", (whole | F.col("leads")).alias("left"), (F.col("block") == F.col("other")).alias("right"))
+
+
+def _block(n):
+    return F.pmod(F.xxhash64(F.lit(3), "doc_id", "row"), n.cast("long")).cast("int")
+
+
+def rest_rows(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows to compare then: of large buckets the members that aren't in the first leader's component, in blocks
+    (``left``), with the blocks of all members (``right``)."""
+    large = members.filter(F.col("n") > BLOCK).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    large = large.withColumn("component", F.coalesce("component", "doc_id"))
+    main = large.select(F.col("first").alias("node")).distinct().join(found, "node", "left").select(F.col("node").alias("first"), F.coalesce("component", "node").alias("main"))
+    large = large.join(main, "first").withColumn("apart", F.col("component") != F.col("main"))
+    open_ = large.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("m")).filter("m > 0")
+    made = large.join(open_, "key").withColumn("lefts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("rights", F.ceil(F.col("n") / BLOCK).cast("int"))
+    made = made.withColumn("l", _block(F.col("lefts"))).withColumn("r", _block(F.col("rights")))
+    pair = lambda l, r: F.struct(l.alias("l"), r.alias("r"))
+    right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: pair(l, F.col("r")))
+    left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: pair(F.col("l"), r))
+    made = made.withColumn("at", F.explode(F.array_distinct(F.when(F.col("apart"), F.concat(right, left)).otherwise(right))))
+    return made.select("doc_id", "row", "component", F.xxhash64("key", "at.l", "at.r").alias("bucket"), "band", (F.col("apart") & (F.col("l") == F.col("at.l"))).alias("left"), (F.col("r") == F.col("at.r")).alias("right"))
 
 
 def links(members: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """(a, b): verified links of all buckets, a spanning forest of each."""
+    """(a, b): verified links of all buckets (doc_ids), a spanning forest of each."""
 
     def done(held):
-        docs, band, left, right, alive, regs, sets = (list(c) for c in zip(*held, strict=True))
+        docs, band, left, right, alive, regs, component, sets = (list(c) for c in zip(*held, strict=True))
         a, b = np.flatnonzero(left), np.flatnonzero(right)
         if np.array_equal(a, b):
             b = a
         alive = (np.array(alive, np.int64)[:, None] >> np.arange(BANDS) & 1).astype(bool)
         regs = np.frombuffer(b"".join(regs), np.uint8).reshape(-1, M)
-        return [(docs[i], docs[j]) for i, j in bucket_links(a, b, sets, regs, alive, band[0], percent)]
+        known = component if component[0] is not None else ()
+        return [(docs[i], docs[j]) for i, j in bucket_links(a, b, sets, regs, alive, band[0], percent, known)]
 
     def rows(batches):
         now, held, out = None, [], []
-        for b in batches:
+        for b in pieces(batches, "z", 1 << 20):
             texts = pa.array(unpack(b["z"]), pa.binary())
             sets = [s for _, data, offsets in flat.groups(texts) for s in shingle_sets(data, offsets, k)]
-            for bucket, *values in zip(*(b[c].to_pylist() for c in ("bucket", "doc_id", "band", "left", "right", "alive", "sketch")), sets, strict=True):
+            for bucket, *values in zip(*(b[c].to_pylist() for c in ("bucket", "doc_id", "band", "left", "right", "alive", "sketch", "component")), sets, strict=True):
                 if bucket != now:
                     if len(held) > 1:
                         out += done(held)
@@ -273,23 +314,35 @@ def links(members: DataFrame, percent: int, k: int = K) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[]] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    arrow_batches(members.sparkSession)
-    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(rows, "a long, b long")
+    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "row").mapInArrow(rows, "a long, b long")
 
 
 def near_components(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
+    of = ["h1", "h2", "n_shingles"]
     told = staged(describe(docs, k), "near-sketches")
     named = told.filter("n_shingles > 0 and doc_id is not null")
-    classes = staged(named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "sketch")
-    # rows that share a doc_id may stand for several classes: they are one node, but the buckets take them apart
-    same = named.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected(staged(links(buckets(reps, docs), percent, k), "near-links").union(same))
-    return (
-        told.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = staged(named.groupBy(*of).agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.first("sketch").alias("sketch")).select(*of, "rep.*", "sketch"), "near-classes")
+    reps = classes.select("doc_id", "row", "sketch")
+    members = bucket_members(reps)
+    made = staged(links(compared(leader_rows(members), members, reps, docs), percent, k), "near-links")
+    # a doc_id with several texts links the classes of all of them
+    several = named.groupBy("doc_id").agg(F.min(F.struct(*of)).alias("x"), F.max(F.struct(*of)).alias("y")).filter("x != y").select("doc_id")
+    same = named.join(several, "doc_id", "left_semi").select("doc_id", *of).distinct().join(classes.select(*of, F.col("doc_id").alias("rep")), of).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = staged(same, "near-same")
+    found = connected(made.union(same))
+    if not members.filter(F.col("n") > BLOCK).isEmpty():
+        rest = staged(rest_rows(members, found), "near-rest")
+        if not rest.isEmpty():
+            more = staged(links(compared(rest, members, reps, docs), percent, k), "near-links")
+            found = connected(made.union(same).union(more))
+    # the classes' components are staged, so that Spark may split the partition of a class of very many copies
+    place = classes.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(*of, F.coalesce("component", "doc_id").alias("component_id"))
+    place = staged(place, "near-components")
+    unstage(members)
+    return told.select("doc_id", *of).join(place, of, "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 

@@ -12,8 +12,10 @@ names, whose alphabet is large, it is a plain loop. Common prefixes are computed
 left byte equals that of its predecessor in the suffix order inherits its neighbour's value less one, only the others
 are compared.
 
-Defined results: null and empty texts and texts of under 100 bytes lose nothing; rows with the same doc_id and
-start don't remove each other; rows with a null doc_id neither lose bytes nor cost others any.
+Defined results: null and empty texts and texts of under 100 bytes lose nothing; rows with the same doc_id don't
+remove each other's bytes, whether their texts are equal or not (each loses what it repeats of smaller doc_ids and of
+itself); rows with a null doc_id neither lose bytes nor cost others any; an empty table gives no rows. Columns of any
+name pass through ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import arrow_batches, documents, staged
-from .repeats import Spans, covered, packed, ranges_by_document, remove, repeats, runs, unpack
+from .common import documents, pieces, utf8
+from .repeats import Spans, covered, packed, remove, repeats, runs, unpack
 
 WIDTH = 100
 KMER = 32
@@ -258,8 +260,15 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.maximum(value[which] - (at - at_start), 0), most)
 
 
-def repeated_windows(segments: list[bytes], places: list[tuple[int, int]], width: int = WIDTH) -> list[np.ndarray]:
-    """Of segments in ascending order of their places (doc_id, start): starts of windows that also have a smaller place."""
+def least_of_runs(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each entry the least value of its run of equal groups."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return np.repeat(np.minimum.reduceat(value, first), np.diff(first, append=len(group)))
+
+
+def repeated_windows(segments: list[bytes], places: list[tuple[int, int, int]], width: int = WIDTH) -> list[np.ndarray]:
+    """Of segments in ascending order of their places (doc_id, row, start): starts of windows that also start in a
+    smaller doc_id, or earlier in the same row."""
     size = np.array([len(s) for s in segments], np.int64)
     t = np.frombuffer(b"\0".join(segments) + b"\0\0", np.uint8).astype(np.int32) + 2
     begin = np.cumsum(size + 1) - size - 1
@@ -275,74 +284,108 @@ def repeated_windows(segments: list[bytes], places: list[tuple[int, int]], width
     pos, group = sa[keep], group[keep]
     if not len(pos):
         return [np.zeros(0, np.int64) for _ in segments]
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    first = np.flatnonzero(new)
-    document = np.cumsum([0, *(a[0] != b[0] for a, b in zip(places[1:], places, strict=False))])
+    changes = lambda n: np.cumsum([0, *(a[:n] != b[:n] for a, b in zip(places[1:], places, strict=False))])
+    doc, row = changes(1), changes(2)
     owner = np.searchsorted(begin, pos, side="right") - 1
-    place = (document[owner] << 32) + np.array([p[1] for p in places])[owner] + pos - begin[owner]
-    least = np.repeat(np.minimum.reduceat(place, first), np.diff(first, append=len(pos)))
-    bad = np.sort(pos[place > least])
+    place = (row[owner] << 32) + np.array([p[2] for p in places])[owner] + pos - begin[owner]
+    if doc[-1] == row[-1]:  # a place is smaller in a smaller doc_id, or earlier in the same row
+        bad = place > least_of_runs(group, place)
+    else:
+        order = np.lexsort((place, group))
+        pos, group, place, owner = pos[order], group[order], place[order], owner[order]
+        same_row = group * (int(row[-1]) + 1) + row[owner]
+        bad = (doc[owner] > least_of_runs(group, doc[owner])) | (place > least_of_runs(same_row, place))
+    bad = np.sort(pos[bad])
     cut = np.searchsorted(bad, np.append(begin, len(t)))
     return [bad[a:z] - b for a, z, b in zip(cut[:-1].tolist(), cut[1:].tolist(), begin.tolist(), strict=True)]
 
 
+def repeats_of_equal(parts: list[bytes], places: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which parts are equal to one of a smaller doc_id, or earlier in the same row."""
+    least, mine = {}, {}
+    for p, at in zip(parts, places, strict=True):
+        least[p] = min(least.get(p, at[0]), at[0])
+        mine[p, at[:2]] = min(mine.get((p, at[:2]), at[2]), at[2])
+    return np.array([at[0] > least[p] or at[2] > mine[p, at[:2]] for p, at in zip(parts, places, strict=True)], bool)
+
+
 def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Compare segments in shards by their suffix arrays."""
-    rows = staged(rows, "suffix-segments")
-    # the keys with more than HOT segments are fewer than one in HOT of the rows; their rows join by shuffle
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
-    rows = rows.join(hot, "key", "left")
+    """Compare segments in shards by their suffix arrays. Of equal parts, a task sends one into the shuffle, and a shard
+    sorts one."""
+    # the keys with more than HOT segments are fewer than one in HOT of the rows; their rows join by shuffle, and the
+    # hottest, which the sample found, are known without
+    plain = rows.filter("not hot")
+    large = plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("large"))
+    rows = plain.join(large, "key", "left").withColumn("hot", F.coalesce("large", "hot")).drop("large").unionByName(rows.filter("hot"))
     total = rows.agg(F.sum(F.col("windows") + WIDTH)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    wanted = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("wanted"))
-    joined = packed(docs).join(wanted, "doc_id")
-    arrow_batches(docs.sparkSession)
+    wanted = rows.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("wanted"))
+    joined = packed(docs).join(wanted, ["doc_id", "row"])
+    names = ["sure", "key", "doc_id", "row", "start", "part"]
 
     def cut(batches):
-        for b in batches:
-            keys, ids, starts, parts = [], [], [], []
-            for doc, text, wanted in zip(b["doc_id"].to_pylist(), unpack(b["z"]), b["wanted"].to_pylist(), strict=True):
+        for b in pieces(batches, "z", 1 << 20):
+            keys, places, parts, last = [], [], [], None
+            for doc, row, text, wanted in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), unpack(b["z"]), b["wanted"].to_pylist(), strict=True):
+                if (doc, row) == last:
+                    continue  # the row once more
+                last = (doc, row)
                 for w in wanted:
                     part = text[w["start"] : w["start"] + w["windows"] + WIDTH - 1]
                     for at, n, key in split_segment(part) if w["hot"] else ((0, w["windows"], 0),):
                         keys.append(w["key"] ^ key)
-                        ids.append(doc)
-                        starts.append(w["start"] + at)
+                        places.append((doc, row, w["start"] + at))
                         parts.append(part[at : at + n + WIDTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "doc_id", "start", "part"])
+            ids, rows, starts = list(zip(*places, strict=True)) or [[]] * 3
+            columns = [pa.array(repeats_of_equal(parts, places)), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def sort(batches):
-        now, held = None, []
+        now, held = None, {}
         for b in batches:
-            for shard, doc, start, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            whole = []
+            for sure, shard, doc, row, start, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = (doc, row, start)
+                if sure:
+                    whole.append((*at, len(part) - WIDTH + 1))
+                    continue
                 if shard != now:
                     if held:
                         yield found(held)
-                    now, held = shard, []
-                held.append((doc, start, part))
+                    now, held = shard, {}
+                first, _ = held.setdefault(part, (at, part))
+                if first[0] == doc and first[1] != row:  # another row of the least doc_id stands for itself
+                    first, _ = held.setdefault((part, row), (at, part))
+                if first != at:
+                    whole.append((*at, len(part) - WIDTH + 1))
+            yield batch_of(whole)
         if held:
             yield found(held)
 
     def found(held):
-        ids, starts, counts = [], [], []
-        for (doc, start, _), bad in zip(held, repeated_windows([h[2] for h in held], [h[:2] for h in held]), strict=True):
+        out, held = [], sorted(held.values())
+        places = [h[0] for h in held]
+        for (doc, row, start), bad in zip(places, repeated_windows([h[1] for h in held], places), strict=True):
             if len(bad):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(bad) != 1]))
-                n = np.diff(first, append=len(bad))
-                ids += [doc] * len(first)
-                starts += (bad[first] + start).tolist()
-                counts += n.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["doc_id", "start", "windows"])
+                out += [(doc, row, start + a, n) for a, n in zip(bad[first].tolist(), np.diff(first, append=len(bad)).tolist(), strict=True)]
+        return batch_of(out)
 
-    parts = joined.select("doc_id", "z", "wanted").mapInArrow(cut, "key long, doc_id long, start int, part binary")
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "doc_id", "start", "part")
-    return parts.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(sort, "doc_id long, start int, windows int")
+    def batch_of(ranges):
+        cols = list(zip(*ranges, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "start", "windows"])
+
+    parts = joined.select("doc_id", "row", "z", "wanted").mapInArrow(cut, "sure boolean, key long, doc_id long, row long, start int, part binary")
+    parts = parts.select("sure", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "doc_id", "row", "start", "part")
+    spread = F.when(F.col("sure"), F.xxhash64("doc_id", "start")).otherwise(F.col("shard"))
+    ordered = parts.repartition(spread).sortWithinPartitions("sure", "shard", "doc_id", "row", "start")
+    return ordered.mapInArrow(sort, "doc_id long, row long, start int, windows int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts, windows) of the documents with repeated 100-byte windows."""
-    docs = docs.filter("doc_id is not null")
-    return ranges_by_document(repeats(docs, segments, confirm, "suffix-repeats", inside=True))
+    """(doc_id, row, starts, windows) of the rows with repeated 100-byte windows."""
+    return repeats(docs, segments, confirm, "suffix-repeats", inside=True)
 
 
 def kept_text(text: bytes, starts, windows) -> tuple[bytes, np.ndarray]:
@@ -367,16 +410,16 @@ def whole_characters(text: bytes, bad: np.ndarray) -> bytes:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, its text without repeated bytes (whole characters only)."""
-    ranges = repeated_ranges(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("windows").alias("__windows"))
+    ranges = repeated_ranges(docs.select("doc_id", "text"))
     names = [f"c{k}" for k in range(len(docs.columns))]
-    at = docs.columns.index("text")
-    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    arrow_batches(docs.sparkSession)
+    at, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    wide = docs.toDF(*names)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches, names[at]):
             texts = b.column(at).to_pylist()
-            for k, (s, w) in enumerate(zip(b["__starts"].to_pylist(), b["__windows"].to_pylist(), strict=True)):
+            for k, (s, w) in enumerate(zip(b["starts"].to_pylist(), b["windows"].to_pylist(), strict=True)):
                 if s and texts[k]:
                     raw = texts[k].encode()
                     texts[k] = whole_characters(raw, covered(len(raw), s, w, WIDTH)).decode()
@@ -384,9 +427,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(ranges, docs["doc_id"] == F.col("__id"), "left")
-    wide = joined.select(*[docs[f"`{c}`"] for c in docs.columns], "__starts", "__windows").toDF(*names, "__starts", "__windows")
-    return wide.mapInArrow(rows, schema).toDF(*docs.columns)
+    same = (wide[names[key]] == ranges["doc_id"]) & (F.xxhash64(utf8(names[at])) == ranges["row"])
+    joined = wide.join(ranges, same, "left").select(*names, "starts", "windows")
+    return joined.mapInArrow(rows, schema).toDF(*docs.columns)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

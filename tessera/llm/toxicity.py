@@ -1,14 +1,16 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
 Training uses bounded samples of labelled rows (``MAX_LEXICON_ROWS``, ``MAX_FIT_ROWS``, taken in the order of a
-hash of doc_id): one part gives the lexicon (words and word beginnings that toxic texts have and others lack), the
+hash of doc_id; of rows that share a doc_id the one with the smallest hash of its text) and a bounded lexicon
+(``MAX_LEXICON`` units with the best odds): one part gives the lexicon (words and word beginnings that toxic texts have and others lack), the
 other part fits the trees, so the lexicon's densities aren't fitted on the rows they were picked from. Trees fitted
 on either half of the second part score the other half; those out-of-fold margins fit the isotonic calibration.
 Scoring reads every whole text of all documents in one pass without a shuffle.
 
 Defined results: null and empty texts get the score of a text without words; rows without a usable label (null
 toxic, null doc_id) are not learned from; of several labels for one doc_id the largest counts; without labels of
-both kinds every score is 0; repeated rows are scored alike.
+both kinds every score is 0; repeated rows are scored alike; an empty table gives no rows. ``score`` passes columns of
+any name through, but for one named like its result, which it refuses.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, documents, staged
+from .common import documents, pieces, staged, unstage
 
 MAX_LEXICON_ROWS = 12_000
 MAX_FIT_ROWS = 16_000
@@ -200,7 +202,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
     def rows(batches):
         toxic, clean = Counter(), Counter()
-        for b in batches:
+        for b in pieces(batches, "text"):
             for text, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 (toxic if y else clean).update({u for w in set((text or "").split()) for u in units(w)})
         names = list(toxic)  # units that no toxic text of the task has still count as clean ones of other tasks
@@ -223,25 +225,27 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
     part = F.pmod(F.shiftright("h", 8), F.lit(5))
     picked = [labels.filter(cond).orderBy("h", "doc_id").limit(most).withColumn("part", F.lit(p)) for p, cond, most in ((0, part < 2, MAX_LEXICON_ROWS), (1, part >= 2, MAX_FIT_ROWS))]
     picked = staged(picked[0].unionByName(picked[1]).drop("h"), "toxic-picked")
     # at most MAX_LEXICON_ROWS + MAX_FIT_ROWS rows of two numbers: the broadcast is bounded
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # rows that share a doc_id stand for one: the sample has no more rows than the labels that were picked
+    sample = staged(found.groupBy("doc_id", "toxic", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-sample")
     lexicon = learn_lexicon(sample.filter("part = 0"))
 
     def rows(batches):
         features = Featurizer(lexicon)
-        for b in batches:
+        for b in pieces(batches, "text"):
             x = features.matrix([t or "" for t in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["toxic"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     fit = sample.filter("part = 1").select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id long, toxic int, x array<double>").collect()
-    fit.sort(key=lambda r: (r["doc_id"], r["x"]))
+    fit.sort(key=lambda r: r["doc_id"])
+    unstage(sample)
+    unstage(picked)
     x, y = np.array([r["x"] for r in fit]).reshape(len(fit), len(FEATURES)), np.array([r["toxic"] for r in fit], float)
     if len(fit) < 8 or y.min(initial=1) == y.max(initial=0):
         return ToxicityModel(lexicon, None, None)
@@ -255,17 +259,19 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the calibrated probability that the text is toxic. One pass, no shuffle."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    if out in names:
+        raise ValueError(f"there is a column {out} already")
 
     def rows(batches):
-        for b in batches:
-            s = model.score([t or "" for t in b.column(names.index(text)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, out])
-
-    return docs.mapInArrow(rows, schema)
+        for b in pieces(batches, inner[at]):
+            s = model.score([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*inner, "score"])
+
+    # names that may clash are taken off meanwhile
+    inner, at = [f"c{k}" for k in range(len(names))], names.index(text)
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, docs.schema, strict=True)), T.StructField("score", T.DoubleType())])
+    return docs.toDF(*inner).mapInArrow(rows, schema).toDF(*names, out)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
-from tessera.llm import recompression, setsketch, spotsigs, suffix
+from tessera.llm import recompression, repeats, setsketch, spotsigs, suffix
 from tessera.llm.repeats import remove
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -97,6 +99,64 @@ def test_suffix_dedup_of_repeated_rows(spark, rows, monkeypatch):
         assert all((r["n_bytes"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
 
 
+def brute_rows(rows, width, split, inside):
+    """(units, kept units' mask) of each row by what starts in a smaller doc_id, or earlier in the row with ``inside``."""
+    texts = [(d, split((t or "").encode())) for d, t in rows]
+    least = {}
+    for d, u in texts:
+        for i in range(len(u) - width + 1 if d is not None else 0):
+            w = u[i : i + width] if isinstance(u, bytes) else tuple(u[i : i + width])
+            least[w] = min(least.get(w, d), d)
+    out = []
+    for d, u in texts:
+        bad, seen = np.zeros(len(u), bool), set()
+        for i in range(len(u) - width + 1 if d is not None else 0):
+            w = u[i : i + width] if isinstance(u, bytes) else tuple(u[i : i + width])
+            if least[w] < d or inside and w in seen:
+                bad[i : i + width] = True
+            seen.add(w)
+        out.append((u, bad))
+    return out
+
+
+def shared_ids():
+    """Rows that share doc_ids with equal and with other texts, null ids, and a long passage that all have."""
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    t, passage = text(80), text(40)
+    rows = [(1, t), (1, t), (1, "q " + t[:150]), (1, ""), (2, t + " x"), (2, None), (3, "y " + t + " z"), (3, t), (None, t), (None, t), (None, None)]
+    rows += [(k, f"{text(3)} {passage} {text(2)}") for k in (5, 5, 6, 7, 7, 8, 9, 10)] + [(6, passage), (6, f"{passage} {passage}")]
+    return rows + [(11, "ab" * 300), (11, "ab" * 300), (11, "ab" * 150), (4, "ab" * 120)]
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_rows_that_share_doc_ids(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_SAMPLE", hot)
+    monkeypatch.setattr(repeats, "HOT_LEAST", 2)
+    monkeypatch.setattr(repeats, "COMBINED", 30)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = shared_ids()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = recompression.op6_word_dedup(spark, str(tmp_path)).collect()
+    want = [(d, len(u), int(bad.sum()), sha(b" ".join(w for w, b in zip(u, bad, strict=True) if not b))) for (d, _), (u, bad) in zip(rows, brute_rows(rows, 13, bytes.split, False), strict=True)]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+    got = suffix.op8_suffix_dedup(spark, str(tmp_path)).collect()
+    want = []
+    for (d, _), (u, bad) in zip(rows, brute_rows(rows, 100, bytes, True), strict=True):
+        spans = int((np.diff(np.concatenate([[False], bad]).astype(int)) == 1).sum())
+        want.append((d, len(u), int(bad.sum()), spans, sha(bytes(np.frombuffer(u, np.uint8)[~bad]))))
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_names_of_structured_spans_differ():
+    """Sequences on which polynomials modulo a power of two collide."""
+    a = np.array([bin(k).count("1") % 2 for k in range(1 << 14)])
+    values = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+    both = [repeats.Spans(values[x])(np.zeros(1, np.int64), np.array([len(a)]))[0] for x in (a, 1 - a)]
+    assert both[0] != both[1]
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for n, k in ((40, 2), (500, 3), (5000, 2), (5000, 50)):

@@ -38,53 +38,6 @@ def test_isotonic():
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1 and abs(np.interp(2, x, y) - 1 / 3) < 1e-9
 
 
-def test_ppm(spark, docs, rows, empty):
-    got = {r["doc_id"]: r for r in ppm.score_documents(docs).collect()}
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    words = {d: [*(t or "").encode().translate(lower).split(), b""] for d, t, *_ in rows}
-    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in words}
-    c = collections.Counter(w for d, ws in words.items() if not held[d] for w in ws)
-    n, v = sum(c.values()), len(c)
-    trie = collections.defaultdict(collections.Counter)
-    for w, m in c.items():
-        a = b" " + w + b" "
-        for i in range(1, len(a)):
-            for k in range(min(i, ppm.ORDER) + 1):
-                trie[a[i - k : i]][a[i]] += m
-
-    def code(w):
-        a, total = b" " + w + b" ", 0.0
-        for i in range(1, len(a)):
-            gone = set()
-            for k in range(min(i, ppm.ORDER), -1, -1):
-                if (f := trie.get(a[i - k : i])) is None:
-                    continue
-                left = {s: m for s, m in f.items() if s not in gone}
-                t, kinds = sum(left.values()), len(left)
-                if a[i] in left:
-                    total += math.log10(left[a[i]] / (t + kinds))
-                    break
-                total += math.log10(kinds / (t + kinds)) if kinds else 0
-                gone |= set(f)
-            else:
-                total -= math.log10(256 - len(gone))
-        return total
-
-    for d, ws in words.items():
-        r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(map(code, ws)), rel_tol=1e-9)
-    assert ppm.score_documents(empty).count() == 0
-
-
-def test_ppm_in_parts(docs, monkeypatch):
-    whole = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs).collect()}
-    monkeypatch.setattr(ppm, "MOST_GRAMS", 1500)
-    parts = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs).collect()}
-    assert all(math.isclose(whole[d], parts[d], rel_tol=1e-9) for d in whole)
-
-
 def brute_texts(rows):
     """Code length of each whole text (null, or any row) by a plain trie, as (doc_id, text) -> log10 probability."""
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -94,14 +47,14 @@ def brute_texts(rows):
         a = line(t)
         if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
             for i in range(1, len(a)):
-                for k in range(min(i, ppm.TEXT_ORDER) + 1):
+                for k in range(min(i, ppm.ORDER) + 1):
                     trie[a[i - k : i]][a[i]] += 1
 
     def code(a):
         total = 0.0
         for i in range(1, len(a)):
             gone = set()
-            for k in range(min(i, ppm.TEXT_ORDER), -1, -1):
+            for k in range(min(i, ppm.ORDER), -1, -1):
                 if (f := trie.get(a[i - k : i])) is None:
                     continue
                 left = {s: m for s, m in f.items() if s not in gone}
@@ -120,30 +73,43 @@ def brute_texts(rows):
 
 def test_ppm_of_running_text(spark, rows, monkeypatch, tmp_path):
     r = random.Random(2)
-    some = [(d, t[:3000] if t else t) for d, t, *_ in rows] + [(None, "no id"), (7, "again"), (7, "Again and again")]
+    some = [(d, t[:3000] if t else t) for d, t, *_ in rows] + [(None, "no id"), (None, None), (7, "again"), (7, "Again and again"), (7, "again")]
     words = some[20][1].split()
     r.shuffle(words)
     some.append((5000, " ".join(words)))
     spark.createDataFrame(some, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    want = sorted((str(d), s) for (d, _), s in brute_texts(some).items())
+    code = brute_texts(some)
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens = lambda t: [*(t or "").encode().translate(lower).split(), b""]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    c = collections.Counter(w for d, t in some if not held(d) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = []
+    for d, t in some:
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+        want.append((str(d), held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, base, code[d, t]))
+    want.sort()
 
     def check():
-        got = sorted((str(x["doc_id"]), x["score"]) for x in ppm.op7_ppm(spark, str(tmp_path)).collect())
-        assert [d for d, _ in got] == [d for d, _ in want]
-        assert all(math.isclose(x, y, rel_tol=1e-9) for (_, x), (_, y) in zip(got, want, strict=True))
-        by = dict(got)
+        columns = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        got = sorted((str(x["doc_id"]), *(x[c] for c in columns)) for x in ppm.op7_ppm(spark, str(tmp_path)).collect())
+        assert [x[:5] for x in got] == [x[:5] for x in want]
+        assert all(math.isclose(x, y, rel_tol=1e-9) for g, w in zip(got, want, strict=True) for x, y in zip(g[5:], w[5:], strict=True))
+        by = {x[0]: x[-1] for x in got}
         assert abs(by["5000"] - by[str(some[20][0])]) > 0.1  # the order of words counts
 
     check()
-    monkeypatch.setattr(ppm, "MOST_STEPS", 4000)  # several turns
+    monkeypatch.setattr(ppm, "PART_STEPS", 400)  # many parts
+    monkeypatch.setattr(ppm, "ROW_STEPS", 150)
+    monkeypatch.setattr(ppm, "BUNDLE", 5000)  # many bundles
     monkeypatch.setattr(ppm, "SLICE", 1000)  # texts in slices
     check()
-    untrained = [(d, t) for d, t in some if d is not None and zlib.crc32(str(d).encode()) % 5 == 1]
+    untrained = [(d, t) for d, t in some if held(d)]
     none = spark.createDataFrame(untrained, "doc_id long, text string")
-    got = sorted(x["score"] for x in ppm.score_documents(none, across=True).collect())
+    got = sorted(x["score"] for x in ppm.score_documents(none).collect())
     want = sorted(-math.log10(256) * (len(ppm.running((t or "").encode())) - 1) for _, t in untrained)
     assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
-    assert ppm.score_documents(none.limit(0), across=True).count() == 0
+    assert ppm.score_documents(none.limit(0)).count() == 0
 
 
 def test_mix(docs, rows, empty):
