@@ -2,7 +2,7 @@
 
 A text's words are its lower-cased runs of letters and digits. A spot is an anchor: a common word, or, so that texts
 with few common words have spots, too, one of every ``EXTRA`` other words, picked by its hash. Its signature is the
-anchor and the chain of the next ``CHAIN`` content words, which are the words that aren't anchors, at a distance of one. A text's fingerprint is its set of signatures, as sorted 32-bit hashes. Texts with fewer than ``FEW`` signatures
+anchor and the chain of the next ``CHAIN`` content words, which are the words that aren't anchors, at a distance of one. A text's fingerprint is its set of signatures, as sorted 64-bit hashes. Texts with fewer than ``FEW`` signatures
 also get the chains that begin at any word, and texts with fewer words than a chain their words as one signature, so
 only texts without letters and digits have an empty fingerprint.
 
@@ -57,18 +57,18 @@ def _chains(w):
     def spots(content):
         # the k-th anchor, at position i, has i - k content words before it
         at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _anchor(F.get(w, i)))
-        made = F.transform(at, lambda i, k: F.when(F.get(content, i - k + (CHAIN - 1)).isNotNull(), F.hash(F.get(w, i), *(F.get(content, i - k + c) for c in range(CHAIN)))))
+        made = F.transform(at, lambda i, k: F.when(F.get(content, i - k + (CHAIN - 1)).isNotNull(), F.xxhash64(F.get(w, i), *(F.get(content, i - k + c) for c in range(CHAIN)))))
         return F.filter(made, lambda h: h.isNotNull())
 
     anchored = let(F.filter(w, lambda x: ~_anchor(x)), spots)
-    every = F.transform(F.sequence(F.lit(0), F.size(w) - 1 - CHAIN), lambda i: F.hash(*(F.get(w, i + c) for c in range(CHAIN + 1))))
-    any_words = F.when(F.size(w) > CHAIN, every).otherwise(F.array(F.hash(F.array_join(w, " "))))
+    every = F.transform(F.sequence(F.lit(0), F.size(w) - 1 - CHAIN), lambda i: F.xxhash64(*(F.get(w, i + c) for c in range(CHAIN + 1))))
+    any_words = F.when(F.size(w) > CHAIN, every).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
     return let(anchored, lambda s: F.when(F.size(s) >= FEW, s).otherwise(F.concat(s, any_words)))
 
 
 def signatures(text):
     """The text's fingerprint: sorted distinct hashes of its signatures."""
-    return let(words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(_chains(w)))))
+    return let(words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(_chains(w)))))
 
 
 def name(fingerprint):

@@ -144,6 +144,21 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty.select("doc_id", "source", mixing.word_count().alias("size"))).count() == 0
 
 
+def test_mix_query(spark, rows, tmp_path):
+    """The registered query: twins, shared and null ids are mixed one by one, and places number all copies by position."""
+    some = [(d, t, s) for d, t, _, s, _ in rows] + [(r[0], r[1], r[3]) for r in rows[:9]] + [(None, "a b c", "s1"), (None, "a b c", "s1"), (None, None, None), (7, "other text", "s0")]
+    spark.createDataFrame(some, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op9_mix_sources(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["size"], str(r["source"])) for r in got) == sorted((str(d), len((t or "").split()), str(s)) for d, t, s in some)
+    copies = sorted((place, position) for r in got for place, position in zip(r["places"], r["positions"], strict=True))
+    assert [c[0] for c in copies] == list(range(len(copies))) and [c[1] for c in copies] == sorted(c[1] for c in copies)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+    assert mixing.with_places(mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long"))).count() == 0
+
+
 def test_inverse_demand(spark):
     x = spark.range(0, 101).select((F.col("id") / 100).alias("u"), F.lit(2).alias("place"))
     t = [r[0] for r in x.select(mixing.inverse_demand(F.col("u"), "place")).collect()]

@@ -4,6 +4,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import mixing
 
 from .conftest import SCHEMA, make_docs
@@ -39,7 +40,7 @@ def test_stages(spark, folder):
         if (r["text"] or "").isascii():
             assert hashlib.sha256(left).hexdigest() == digest
     mixed = stages["mixing"](spark, docs, folder)
-    plan = {r["doc_id"]: len(r["positions"]) for r in mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"))).collect()}
+    plan = {r["doc_id"]: len(r["positions"]) for r in mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("text").alias("row"))).collect()}
     assert mixed.columns == columns and mixed.count() == sum(plan.values())
     coded = stages["encode"](spark, docs, folder)
     texts = {r[0]: r[1] or "" for r in rows}
@@ -57,6 +58,42 @@ def test_near_duplicates_from_80_percent(spark, folder):
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
 
 
+def odd_rows():
+    """Null ids, rows that share a doc_id with equal and other texts, nulls in each column, a very long text."""
+    rows = make_docs(9, 40)
+    long = " ".join(f"w{k % 977}{k % 31}" for k in range(40_000))
+    return rows + rows[:6] + [(None, "null id one two three", "en", "s1", 5), (None, "null id one two three", "en", "s1", 5), (None, None, None, None, None)] + [
+        (rows[20][0], "another text for this id " * 9, "en", None, 0), (500, long, None, "s2", None), (501, None, "en", "s0", 0)]
+
+
+def test_stages_with_odd_rows(spark, folder):
+    """Extra columns whose names the stages use themselves pass through, and no stage fails on odd rows."""
+    stages, rows = dict(corpus_pipeline.STAGES), odd_rows()
+    clash = ["score", "__toxicity", "starts", "windows", "row", "key", "position", "positions", "__at", "k1", "c0", "component", "z"]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.cache()
+    plain = lambda df: sorted((tuple(r)[:5] for r in df.collect()), key=repr)
+    for name in ("toxicity", "near_dedup", "suffix_dedup", "mixing"):
+        out = stages[name](spark, docs, folder)
+        assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.select(*clash).collect() for c in clash)
+    assert stages["encode"](spark, docs, folder).count() == len(rows)
+    assert set(plain(stages["toxicity"](spark, docs, folder))) <= set(rows)
+    near = plain(stages["near_dedup"](spark, docs, folder))
+    want = brute_components([r for r in rows if r[0] is not None][::-1], 80)
+    ids = [r[0] for r in near if r[0] is not None]
+    assert len(ids) == len(set(ids)) and sum(r[0] is None for r in near) == 3
+    assert {d for d, (_, c) in want.items() if c == d} >= set(ids) - {rows[20][0]}
+    mixed = stages["mixing"](spark, docs, folder).collect()
+    plan = mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("text").alias("row"))).collect()
+    words = lambda t: len((t or "").split())
+    assert len(mixed) == sum(len(r["positions"]) for r in plan)
+    assert sum(words(r["text"]) for r in mixed) == sum(r["taken"] for r in plan)
+    assert not any(r["text"] is None for r in mixed)
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
