@@ -5,17 +5,19 @@ last one: token ids). ``run`` writes each stage's rows to the shared folder and
 depends on the executors that made the one before. SQL can't express the trained score or the encoder, so
 ORACLE_SQL is None; tests/llm/test_pipeline.py holds the stages against brute force.
 
-Null texts pass as they are (they have no words, so the mix takes none of them); empty tables stay empty.
+Defined results, for every stage: null texts pass as they are, but for the mix, which takes none of them, as they have no
+words; null doc_ids are documents of their own; rows that occur again are handled alike, and near-dedup keeps one of them;
+empty tables stay empty; very long texts are handled whole; further columns of any name pass through (encode returns
+those it names).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, setsketch, suffix, toxicity
-from tessera.llm.common import staged
+from tessera.llm.common import staged, unstage
 
 ORACLE_SQL = None
 #: Documents whose calibrated score reaches this are rejected.
@@ -25,37 +27,56 @@ NEAR_PERCENT = 80
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents with a score below TOXIC_FROM. The model learns from the labels of the training fold."""
+    """Documents with a score below TOXIC_FROM. The model learns from the labels of the training fold. Equal texts have
+    equal scores, so repeated rows go or stay together; null and empty texts have the score of a text without words."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~toxicity.held_out())
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model, out="__toxicity").filter(F.col("__toxicity") < TOXIC_FROM).drop("__toxicity")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column's name can clash with the score's
+    scored = toxicity.score(docs.toDF(*names), model, text=names[docs.columns.index("text")])
+    return scored.filter(F.col("score") < TOXIC_FROM).drop("score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Of each group of near copies (similarity NEAR_PERCENT and more) the document with the smallest doc_id; of rows that share a doc_id, the one with
-    the smallest text. Rows with a null doc_id stay."""
+    the smallest text (null first). Rows with a null doc_id and texts without words link with nothing."""
     found = setsketch.near_components(docs, percent=NEAR_PERCENT)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__row", first).filter(F.col("doc_id").isNull() | (F.col("__row") == 1)).select(*docs.columns)
+    gone = staged(found.filter("doc_id != component_id").select("doc_id").distinct(), "pipeline-gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # few doc_ids occur again; only their rows are grouped, and partly so before the shuffle
+    again = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "pipeline-again")
+    if again.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col("text"), *[F.col(c).cast("string") for c in ("lang", "source", "n_chars") if c in docs.columns])
+    one = left.join(again, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(F.min_by(row, place).alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def drop_repeated_passages(spark, docs, sf_dir):
-    """Texts without the bytes that 100-byte repeats cover; whole characters stay at the ends of what is removed."""
+    """Texts without the bytes that 100-byte repeats cover; whole characters stay at the ends of what is removed. Rows that
+    share a doc_id don't cost each other anything, nor do rows with a null one."""
     return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark, docs, sf_dir):
-    """One row for each copy that the mix takes, in training order."""
-    plan = mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size")))
-    order = plan.select(F.col("doc_id").alias("__id"), F.col("positions").alias("__at")).filter(F.size("__at") > 0).dropDuplicates(["__id"])
-    copies = docs.join(order, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__position", F.explode("__at"))
-    return copies.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+    """One row for each copy that the mix takes, in training order. Ties of position go by a hash of the row. Of rows that
+    are equal in doc_id, source and text, one stands for all, with the copies of all."""
+    names, columns = [f"c{k}" for k in range(len(docs.columns))], docs.columns
+    wide = docs.toDF(*names)
+    doc_id, source, text = (F.col(names[columns.index(c)]) for c in ("doc_id", "source", "text"))
+    size = mixing.word_count(names[columns.index("text")])
+    plan = mixing.mix(wide.select(doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), F.xxhash64(text).alias("row")))
+    # two hashes name a row, as its doc_id and source may be null
+    key = lambda d, s, r: [F.xxhash64(F.lit(k), d, d.isNull(), s, s.isNull(), r).alias(f"k{k}") for k in (1, 2)]
+    order = plan.filter(F.size("positions") > 0).select(*key(F.col("doc_id"), F.col("source"), F.col("row")), "positions")
+    order = order.groupBy("k1", "k2").agg(F.flatten(F.collect_list("positions")).alias("at"))
+    copies = wide.select(*names, *key(doc_id, source, F.xxhash64(text))).dropDuplicates(["k1", "k2"]).join(order, ["k1", "k2"])
+    copies = copies.withColumn("position", F.explode("at"))
+    return copies.repartitionByRange("position", "k1", "k2").sortWithinPartitions("position", "k1", "k2").select(*names).toDF(*columns)
 
 
 def encode(spark, docs, sf_dir):
-    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
+    """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row; null and empty texts have no ids."""
     made = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     n = (F.length("ids") / 4).cast("long").alias("n_tokens")
     return made.select("doc_id", "lang", "source", n, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -72,6 +93,9 @@ STAGES = [
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        made = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            unstage(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
