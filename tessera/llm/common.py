@@ -77,9 +77,11 @@ def pieces(batches, column: str, limit: int = PIECE):
             lo = hi
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``: the size of its files where it is a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Catalyst's estimate of the size of ``df``: the size of its files where it is a scan. Where Spark has no estimate, the
+    bytes of ``column`` are counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     if shards is None:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // SHARD_BYTES, 1)
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // SHARD_BYTES, 1)
     docs = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def rows(batches):
