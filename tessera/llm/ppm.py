@@ -134,19 +134,24 @@ def together(parts: list) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
+def shrink(column: np.ndarray) -> bytes:
+    """64-bit values compressed, their first bytes first, then their second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
 def squeeze(*columns: np.ndarray) -> list[bytes]:
     """Arrays of 64 bits compressed; the first is ascending and stored as differences."""
-    pack = zstandard.ZstdCompressor(level=1)
     first, *rest = columns
-    return [pack.compress(c.tobytes()) for c in (np.diff(first, prepend=first.dtype.type(0)), *rest)]
+    return [shrink(c) for c in (np.diff(first, prepend=first.dtype.type(0)), *rest)]
 
 
-def expand(z: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint64), dtype=np.uint64)
+def plain(z: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).ravel().view(kind)
 
 
-def plain(z: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), kind)
+def expand(z: bytes) -> np.ndarray:
+    return np.cumsum(plain(z, np.uint64), dtype=np.uint64)
 
 
 def requests(packed: DataFrame) -> DataFrame:
@@ -389,9 +394,8 @@ def answers(dealt: DataFrame) -> DataFrame:
             seen, total = int((sums > 0).sum()), int(sums.sum())
             ends = iter(np.split(of, np.cumsum([len(k) for k in keys])[:-1]))
             find_in = lambda key, _: next(ends)
-        pack = zstandard.ZstdCompressor(level=1)
         for kind, chunk, z, key, *_ in asked:
-            values = pack.compress(find_in(key, kind).tobytes())
+            values = shrink(find_in(key, kind))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, z, values, seen, total), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
             seen = total = 0
 

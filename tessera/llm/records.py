@@ -181,12 +181,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         encoder = _encoder(tokenizer)
         last = b""
         for b in pieces(batches, "text"):
-            pieces = []
+            framed = []
             for doc, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist()), strict=True):
                 f = frame(payload(doc, np.append(ids, np.uint32(end_id)), encoder.wide))
-                pieces.append(last + f[:7])  # the separator takes the place of f[7], a zero
+                framed.append(last + f[:7])  # the separator takes the place of f[7], a zero
                 last = f[8:]
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["row"])
+            yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["row"])
         if last:
             f = closing()
             yield pa.RecordBatch.from_arrays([pa.array([last + f[:7], f[8:-1]], pa.binary())], ["row"])
