@@ -86,7 +86,7 @@ QUERIES = {
     "uplift_scores": _uplift,
     "uplift_deciles": lambda s, d: _r(X.deciles(_scored(s, d)), "uplift", "se"),
     "qini_curve": lambda s, d: _r(X.qini_curve(_scored(s, d)), "q"),
-    "qini_coefficient": lambda s, d: X.qini_coefficient(_scored(s, d)),
+    "qini_coefficient": lambda s, d: _r(X.qini_coefficient(_scored(s, d)), "area", "perfect", "qini"),
     "incremental_topk": lambda s, d: _r(X.incremental(_scored(s, d), [0.1, 0.2, 0.3, 0.4, 0.5]), "uplift", "incremental"),
     "sales_panel": lambda s, d: sales_panel(s, d),
     "unpivot_panel": _wide,
@@ -139,3 +139,14 @@ SELECT quantile, round(avg(greatest(al * (y_true - q), (al - 1) * (y_true - q)))
     "interval_coverage": f"WITH {_SEAS} SELECT round(avg(CAST(y_true BETWEEN y_pred * 0.5::DOUBLE AND y_pred * 1.6::DOUBLE AS DOUBLE)), 6) AS coverage, count(*) AS n FROM pred WHERE y_pred IS NOT NULL",
     "select_skus": f"WITH {_PANEL} SELECT sku, round(avg(qty), 6) AS mean, round(avg(CAST(qty = 0 AS DOUBLE)), 6) AS zero_share FROM p GROUP BY sku HAVING avg(CAST(qty = 0 AS DOUBLE)) <= 0.1 ORDER BY avg(qty) DESC, sku LIMIT 8",
 }
+
+_RANKED = "SELECT row_number() OVER w AS r, sum(y * t) OVER w AS yt, sum(y * (1 - t)) OVER w AS yc, sum(t) OVER w AS nt, sum(1 - t) OVER w AS nc FROM {0} WINDOW w AS (ORDER BY score DESC, unit ROWS UNBOUNDED PRECEDING)"
+_AREA = "SELECT sum(q) - arg_max(q, r) / 2 - max(r) * arg_max(q, r) / 2 AS area FROM (SELECT r, CASE WHEN nc = 0 THEN 0 ELSE yt - yc * nt / nc END AS q FROM ({0}) UNION ALL SELECT 0, 0)"
+ORACLE["qini_coefficient"] = f"""WITH {_SC}, best AS (SELECT unit, y, t, CASE WHEN t = 1 THEN y - m ELSE m - y END AS score FROM s, (SELECT avg(y) AS m FROM s WHERE t = 0)), a AS ({_AREA.format(_RANKED.format("s"))}), b AS ({_AREA.format(_RANKED.format("best"))})
+SELECT round(a.area, 6) AS area, round(b.area, 6) AS perfect, round(a.area / nullif(b.area, 0), 6) AS qini FROM a, b"""
+# Easter by the Gregorian computus, in SQL
+ORACLE["holiday_flags"] = f"""WITH {_PANEL}, ds AS (SELECT DISTINCT date FROM p), ys AS (SELECT CAST(unnest(range((SELECT min(year(date)) FROM ds), (SELECT max(year(date)) FROM ds) + 2)) AS INT) AS y),
+e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM ys), e2 AS (SELECT y, a, c, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h, b FROM e1), e3 AS (SELECT y, a, h, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2),
+e4 AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS x FROM e3), easter AS (SELECT make_date(y, x // 31, x % 31 + 1) AS day FROM e4),
+off AS (SELECT day FROM easter UNION SELECT CAST(day + INTERVAL 1 DAY AS DATE) FROM easter UNION SELECT make_date(y, m, d) FROM ys, (VALUES {", ".join(f"({m}, {d})" for m, d in P.FIXED_HOLIDAYS)}) v(m, d))
+SELECT date, CAST(date IN (SELECT day FROM off) AS INT) AS holiday, CAST(CAST(date + INTERVAL 1 DAY AS DATE) IN (SELECT day FROM off) AS INT) AS holiday_eve FROM ds"""

@@ -10,8 +10,9 @@ from ..operators import sessions as S
 from ..operators import tabular as B
 from ..operators import text as T
 from ..sources.tables import scored_labels, table
-from .sessions import _items
-from .text import _keyword_vectors, _vectors
+from . import tabular, text
+from .sessions import _SESS, _items, kcore_grid_sql
+from .text import _VEC, _VECTOR_RANKS, _keyword_vectors, _vectors
 
 
 def _questions(s, d):
@@ -30,7 +31,7 @@ def _evaluate(s, d):
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label")
     relevant = q.join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query", "item")
     found = A.evaluate(_vectors(s, d).withColumnRenamed("vec_id", "item"), relevant, q.withColumn("category", (F.col("label") % 2).cast("string")), "category", (5, 10))
-    return found.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "ndcg", "mrr")})
+    return found.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "ndcg", "mrr")}).withColumn("queries", F.col("queries").cast("bigint"))
 
 
 def _modes(s, d):
@@ -53,7 +54,7 @@ def _eda(s, d):
             core, _ = S.k_core(pairs, a, b)
             row = core.agg(F.count_distinct("session").alias("sessions"), F.count_distinct("itemid").alias("items"), F.count(F.lit(1)).alias("pairs")).select(F.lit(a).alias("min_session_items"), F.lit(b).alias("min_item_sessions"), "*")
             out = row if out is None else out.union(row)
-    return out.withColumn("density_pct", F.round(100 * F.col("pairs") / (F.col("sessions") * F.col("items")), 6)).withColumn("dense_gb", F.col("items") * F.col("items") * 8 / 1e9)
+    return out.withColumn("density_pct", F.round(100 * F.col("pairs") / F.nullif(F.col("sessions") * F.col("items"), F.lit(0)), 6)).withColumn("dense_gb", F.col("items") * F.col("items") * 8 / 1e9)
 
 
 def _memory(s, d):
@@ -65,11 +66,30 @@ QUERIES = {
     "search_modes": _modes,
     "answers": _answers,
     "rag_evaluate": _evaluate,
-    "judge_summary": lambda s, d: A.judgments(table(s, d, "conversations").select("role", T.judge_score("text").alias("score")), "role", "score"),
-    "tune_thresholds": _thresholds,
+    "judge_summary": lambda s, d: A.judgments(table(s, d, "conversations").select("role", T.judge_score("text").alias("score")), "role", "score").withColumn("mean", F.round("mean", 6)),
+    "tune_thresholds": lambda s, d: _thresholds(s, d).withColumn("threshold", F.round("threshold", 6)),
     "eda_grid": _eda,
     "ease_memory": _memory,
 }
 ORACLE = {
     "ease_memory": "SELECT CAST(n AS BIGINT) AS items, CAST(n AS DOUBLE) * n * 8 / 1e9 AS gb FROM (VALUES (20000), (40000), (100000), (235061)) v(n)",
 }
+
+_ONE = "SELECT '{0}' AS mode, query, vec_id, round(1.0::DOUBLE / (60 + rank), 9) AS rrf_score, CAST(rank AS INT) AS rank FROM {1} WHERE rank <= 10"
+_GRID = [(f"k{a}_{b}", a, b) for a in (2, 3) for b in (3, 10, 50)]
+_STRATEGIES = {"f1": "threshold_f1", "precision_recall": "threshold_recall", "top_20": "threshold_top", "cost": "threshold_cost"}
+_ABBREVIATED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.ABBREVIATIONS.items())
+ORACLE |= {
+    "query_rewrite": f"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(trim(text)), '[?!.,]', '', 'g'), '\\s+'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in A.FILLERS)}], x)) AS w FROM benchmark),
+m AS (SELECT item_id, text, array_to_string(list_transform(w, lambda x: CASE x {_ABBREVIATED} ELSE x END), ' ') AS made FROM w) SELECT item_id, CASE WHEN length(made) > 0 AND length(made) <= 512 THEN made ELSE text END AS rewritten FROM m""",
+    "search_modes": f"""{_VECTOR_RANKS}, h AS (SELECT query, vec_id, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, vec_id) AS rank FROM u)
+SELECT 'hybrid' AS mode, query, vec_id, round(s, 9) AS rrf_score, CAST(rank AS INT) AS rank FROM h WHERE rank <= 10 UNION ALL {_ONE.format("semantic", "vr")} UNION ALL {_ONE.format("keyword", "hr")}""",
+    "judge_summary": f"SELECT role, count(score) AS n, round(avg(score), 6) AS mean, min(score) AS min, max(score) AS max FROM (SELECT c.role, s.score FROM conversations c JOIN ({text.ORACLE['judge_scores']}) s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.turn IS NOT DISTINCT FROM s.turn) GROUP BY role",
+    "tune_thresholds": " UNION ALL ".join(f"SELECT '{k}' AS strategy, round(threshold, 6) AS threshold FROM ({tabular.ORACLE[v]})" for k, v in _STRATEGIES.items()),
+    "eda_grid": f"WITH {_SESS}, {', '.join(kcore_grid_sql(*g) for g in _GRID)}, g AS ({' UNION ALL '.join(f'SELECT CAST({a} AS INT) AS min_session_items, CAST({b} AS INT) AS min_item_sessions, count(DISTINCT session) AS sessions, count(DISTINCT itemid) AS items, count(*) AS pairs FROM {n}' for n, a, b in _GRID)}) "
+    "SELECT *, round(100 * pairs / CAST(nullif(sessions * items, 0) AS DOUBLE), 6) AS density_pct, items * items * 8 / 1e9::DOUBLE AS dense_gb FROM g",
+    "rag_evaluate": f"""WITH {_VEC}, rel AS (SELECT a.vec_id AS query, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0), n AS (SELECT query, count(*) AS n FROM rel GROUP BY query), h AS (SELECT vr.query, rank FROM vr JOIN rel ON rel.query = vr.query AND rel.item = vr.vec_id),
+p AS (SELECT n.query, CAST(k AS INT) AS k, n, count(rank) FILTER (WHERE rank <= k) AS h, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= k), 0) AS dcg, min(rank) FILTER (WHERE rank <= k) AS f FROM n CROSS JOIN (VALUES (5), (10)) v(k) LEFT JOIN h ON h.query = n.query GROUP BY 1, 2, 3),
+c AS (SELECT p.*, CAST(label % 2 AS VARCHAR) AS category FROM p JOIN embeddings ON vec_id = query)
+SELECT k, count(*) AS queries, round(avg(h / CAST(n AS DOUBLE)), 6) AS recall, round(avg(h / CAST(k AS DOUBLE)), 6) AS precision, round(avg(dcg / list_sum(list_transform(range(1, least(k, n) + 1), lambda r: 1 / log2(r + 1)))), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, category FROM c GROUP BY GROUPING SETS ((k), (k, category))""",
+}

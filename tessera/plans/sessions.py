@@ -267,3 +267,27 @@ FROM (SELECT * FROM rk WHERE rank <= 20) r LEFT JOIN pop USING (itemid) LEFT JOI
 SELECT m.model, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5 FROM wt CROSS JOIN (VALUES ('itemknn'), ('popularity')) m(model) LEFT JOIN b ON b.model = m.model AND b.session = wt.session AND b.itemid = wt.target GROUP BY m.model""",
     "cold_share": f"WITH {_CUT} SELECT count(*) AS rows, count(DISTINCT session) AS sessions, round(avg(CASE WHEN itemid IN (SELECT itemid FROM si, cut WHERE ts < t) THEN 0.0 ELSE 1.0 END), 6) AS cold_share FROM si, cut WHERE ts >= t",
 }
+
+
+
+def hash01_sql(*values: str) -> str:
+    """The number in [0, 1) that ``functions.common.hash01`` gives."""
+    h = "CAST(0 AS BIGINT)"
+    for v in values:
+        h = f"(({h} * 31 + {v}) % 4294967296 * 1103515245 + 12345) % 4294967296"
+    return f"{h} / 4294967296.0::DOUBLE"
+
+
+ORACLE["sampled_ranks"] = f"""WITH {_KNN}, off AS (SELECT wt.session, v.itemid, wt.target FROM wt CROSS JOIN vocab v LEFT JOIN hist h ON h.session = wt.session AND h.itemid = v.itemid WHERE h.itemid IS NULL AND v.itemid <> wt.target),
+dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY {hash01_sql("0", "session", "itemid")}, itemid) AS r FROM off) WHERE r <= 20),
+s9 AS (SELECT session, itemid, round(score, 9) AS score FROM sc1), j AS (SELECT dr.session, dr.itemid, dr.target, coalesce(a.score, 0) AS score, coalesce(b.score, 0) AS own FROM dr LEFT JOIN s9 a ON a.session = dr.session AND a.itemid = dr.itemid LEFT JOIN s9 b ON b.session = dr.session AND b.itemid = dr.target)
+SELECT session, CAST(1 + sum(CASE WHEN score > own OR (score = own AND itemid < target) THEN 1 ELSE 0 END) AS BIGINT) AS rank FROM j GROUP BY session"""
+
+
+def kcore_grid_sql(name: str, sessions: int, items: int, rounds: int = 8) -> str:
+    out, prev = [], "si"
+    for k in range(rounds):
+        out.append(f"{name}a{k} AS MATERIALIZED (SELECT * FROM {prev} WHERE session IN (SELECT session FROM {prev} GROUP BY session HAVING count(*) >= {sessions}))")
+        out.append(f"{name}b{k} AS MATERIALIZED (SELECT * FROM {name}a{k} WHERE itemid IN (SELECT itemid FROM {name}a{k} GROUP BY itemid HAVING count(*) >= {items}))")
+        prev = f"{name}b{k}"
+    return ", ".join(out) + f", {name} AS (SELECT * FROM {prev})"

@@ -125,3 +125,15 @@ SELECT k, count(*) AS queries, round(avg(h / CAST(n AS DOUBLE)), 6) AS recall, r
     "topic_coverage": "WITH t AS (SELECT conv_id, lower(string_agg(text, ' ')) AS t FROM conversations GROUP BY 1) SELECT conv_id, round((CAST(contains(t, 'the') AS INT) + CAST(contains(t, 'and') AS INT) + CAST(contains(t, 'zzzz') AS INT)) / 3.0::DOUBLE, 6) AS coverage FROM t",
     "citations": "SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: true), ',') AS cited FROM conversations",
 }
+
+_VECTOR_RANKS = ORACLE["rrf_fusion"].partition("SELECT query, vec_id, semantic_rank")[0]
+ORACLE["excerpt"] = """WITH h AS (SELECT doc_id, text, substr(text, 1, 120) AS head FROM documents), e AS (SELECT *, regexp_extract(head, '(?s)^.*\\.', 0) AS sentence, regexp_extract(head, '(?s)^(.*) ', 1) AS words FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN contains(head, '.') AND length(sentence) > 84 THEN sentence WHEN contains(head, ' ') THEN words || '...' ELSE head || '...' END AS excerpt FROM e"""
+ORACLE["judge_scores"] = r"""WITH s AS (SELECT conv_id, turn, text, coalesce(TRY_CAST(nullif(regexp_extract(text, '(?i)score\s*[:=]\s*(\d+(?:\.\d+)?)', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(text, '(\d+(?:\.\d+)?)\s*/\s*5', 1), '') AS DOUBLE),
+TRY_CAST(nullif(regexp_extract(text, '(?i)(\d+(?:\.\d+)?)\s+out\s+of\s+5', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(text, '(\d+(?:\.\d+)?)', 1), '') AS DOUBLE), 3.0) AS x FROM conversations)
+SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN least(greatest(x, 1.0::DOUBLE), 5.0::DOUBLE) END AS score FROM s"""
+ORACLE["prompt_pack"] = """WITH RECURSIVE l AS (SELECT conv_id, list(struct_pack(r := turn, c := text) ORDER BY turn, text) AS l FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, l, 0 AS i, CAST(0 AS BIGINT) AS used, 0 AS n, false AS took, CAST(NULL AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS c FROM l
+UNION ALL SELECT conv_id, l, i + 1, CASE WHEN used + length(l[i + 1].c) <= 2000 THEN used + length(l[i + 1].c) WHEN n = 0 THEN 2000 ELSE used END, CASE WHEN used + length(l[i + 1].c) <= 2000 OR n = 0 THEN n + 1 ELSE n END,
+coalesce(used + length(l[i + 1].c) <= 2000, false) OR n = 0, l[i + 1].r, CASE WHEN used + length(l[i + 1].c) <= 2000 THEN l[i + 1].c ELSE substr(l[i + 1].c, 1, 2000) END FROM f WHERE i < len(l))
+SELECT conv_id, CAST(r AS INT) AS rank, CAST(n AS INT) AS citation, c AS content FROM f WHERE took"""
