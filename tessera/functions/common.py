@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,11 +39,58 @@ def top_k(df: DataFrame, by, order, k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+_folders: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``. Where that is unset, a local master (tests) takes a
+    temporary folder; on a cluster it is an error, as executors share no other folder. It is deleted when the driver ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessera-shared"
+    path = f"{base.rstrip('/')}/tessera-engine/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_at_end, spark, path)
+    return path
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder (``spark.checkpoint.dir``, a local one where it is unset) and
-    read again: what is used several times is computed once, and a lost executor costs a re-read."""
+    """``df`` written as Parquet to the shared folder and read again: what is used several times is computed once, and a
+    lost executor costs a re-read."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tessera-shared"
-    path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ordered_sums(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """``df`` with running sums in ``order``, the row itself included, by name. Rows are range-partitioned; a task adds up its
+    range, and what lies before it comes from one row for each range. So no task sees all rows, however scores are spread."""
+    made = df.withColumns({f"__{k}": v for k, v in sums.items()})
+    placed = stored(made.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = placed.groupBy("__part").agg(*[F.sum(f"__{k}").alias(k) for k in sums])
+    starts = ranges.select("__part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    running = placed.withColumns({k: F.sum(f"__{k}").over(inside) for k in sums}).join(F.broadcast(starts), "__part")
+    return running.select(*df.columns, *[(F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums])
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its place in ``order``, from 1."""
+    return ordered_sums(df, order, {name: F.lit(1).cast("bigint")})
+
+
+def with_totals(df: DataFrame, totals: dict) -> DataFrame:
+    """``df`` with aggregates over all its rows: one row, made by partial sums and broadcast."""
+    return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in totals.items()])))

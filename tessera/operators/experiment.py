@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.common import numbered, ordered_sums, with_totals
+
 CONTROL = "control"
 _NORMAL = NormalDist()
 
@@ -119,28 +121,21 @@ def lin_adjustment(units: DataFrame, outcome: str, numeric: list[str], arm: str,
 
 def deciles(scored: DataFrame, groups: int = 10) -> DataFrame:
     """(bucket, n, uplift, se) of (unit, score, y, t): equal-frequency groups by descending score (ties by unit)."""
-    r, n = F.row_number().over(W.orderBy(F.desc("score"), "unit")), F.count(F.lit(1)).over(W.partitionBy())
     bucket = F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * groups / (F.col("n") - 1))).cast("int")
-    rows = scored.select("y", "t", r.alias("r"), n.alias("n")).withColumn("bucket", bucket)
+    ranked = numbered(scored.select("unit", "score", "y", "t"), [F.desc("score"), F.col("unit")], "r")
+    rows = with_totals(ranked, {"n": F.count(F.lit(1))}).withColumn("bucket", bucket)
     arm = lambda f, t: f(F.when(F.col("t") == t, F.col("y")))
     made = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), arm(F.avg, 1).alias("m1"), arm(F.avg, 0).alias("m0"), arm(F.var_samp, 1).alias("v1"), arm(F.var_samp, 0).alias("v0"), arm(F.count, 1).alias("n1"), arm(F.count, 0).alias("n0"))
     enough = (F.col("n1") >= 2) & (F.col("n0") >= 2)
     return made.select("bucket", "n", F.when(enough, F.col("m1") - F.col("m0")).alias("uplift"), F.when(enough, F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))).alias("se"))
 
 
-def running_totals(scored: DataFrame, buckets: int = 1000) -> DataFrame:
-    """(r, yt, yc, nt, nc): sums over the first r units by descending score (ties by unit), in two levels: sums of
-    score ranges first, then inside a range, so no task sorts all rows."""
+def running_totals(scored: DataFrame) -> DataFrame:
+    """(r, yt, yc, nt, nc): sums over the first r units by descending score (ties by unit), in two levels, so no task sorts
+    all rows."""
     s = scored.select("unit", F.col("score").cast("double").alias("score"), F.col("y").cast("double").alias("y"), F.col("t").cast("int").alias("t"))
-    ends = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    place = F.least(F.floor((F.col("hi") - F.col("score")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    s = s.crossJoin(F.broadcast(ends)).withColumn("b", F.coalesce(place, F.lit(0)))  # one row
     sums = {"yt": F.col("y") * F.col("t"), "yc": F.col("y") * (1 - F.col("t")), "nt": F.col("t").cast("bigint"), "nc": (1 - F.col("t")).cast("bigint"), "r": F.lit(1).cast("bigint")}
-    before = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    starts = s.groupBy("b").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    starts = starts.select("b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}0") for k in sums])
-    inside = W.partitionBy("b").orderBy(F.desc("score"), "unit").rowsBetween(W.unboundedPreceding, 0)
-    return s.select("b", *[F.sum(v).over(inside).alias(k) for k, v in sums.items()]).join(F.broadcast(starts), "b").select(*[(F.col(k) + F.col(f"{k}0")).alias(k) for k in sums])
+    return ordered_sums(s, [F.desc("score"), F.col("unit")], sums).select(*sums)
 
 
 def qini_curve(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .recsys import relevance_metrics
+from .recsys import METRICS, relevance_by_query
 
 
 class Generator(Protocol):
@@ -96,12 +96,9 @@ def judgments(judged: DataFrame, by: str, score: str) -> DataFrame:
 def evaluate(ranked: DataFrame, relevant: DataFrame, attributes: DataFrame, by: str, ks=(5, 10, 20)) -> DataFrame:
     """(by, k, metrics): retrieval metrics over all questions (``by`` null) and for each value of an attribute
     (query, by)."""
-    whole = relevance_metrics(ranked, relevant, ks, "all").withColumn(by, F.lit(None).cast(attributes.schema[by].dataType))
-    values = [r[0] for r in attributes.select(by).distinct().orderBy(by).collect()]
-    for v in values:
-        some = attributes.filter(F.col(by).eqNullSafe(F.lit(v))).select("query")
-        whole = whole.unionByName(relevance_metrics(ranked.join(some, "query", "left_semi"), relevant.join(some, "query", "left_semi"), ks, "all").withColumn(by, F.lit(v)))
-    return whole
+    per = relevance_by_query(ranked, relevant, ks, "all").join(attributes.select("query", by), "query", "left")
+    made = per.groupingSets([["k"], ["k", by]], "k", by).agg(F.grouping(by).alias("__all"), F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS])
+    return made.filter(F.col("__all").cast("boolean") | F.col(by).isNotNull()).select("k", "queries", *METRICS, by)
 
 
 def summary_table(rows: DataFrame, metric: str, strategy: str, value: str, strategies: list[str]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import hash01, small, top_k
+from ..functions.common import hash01, numbered, ordered_sums, small, stored, top_k, with_totals
 
 
 def popularity(pairs: DataFrame) -> DataFrame:
@@ -20,12 +22,32 @@ def popularity_top_k(pairs: DataFrame, k: int) -> DataFrame:
     return top_k(popularity(pairs), [], [F.desc("sessions"), "itemid"], k)
 
 
+#: Items of a session that one task pairs with as many others at most.
+PAIR_BLOCK = 2000
+
+
+def item_pairs(rows: DataFrame) -> DataFrame:
+    """(itemid, neighbour): each unordered pair of a session's items once. Sessions of over PAIR_BLOCK items are cut into
+    blocks by a hash, and each pair of blocks is a group of its own, so that no task pairs all items of a huge session."""
+    other = lambda df, *by: df.select(*by, F.col("itemid").alias("neighbour"))
+    sizes = rows.groupBy("session").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIR_BLOCK)
+    huge = stored(sizes.select("session", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "knn-huge")
+    plain = rows if huge.isEmpty() else rows.join(huge, "session", "left_anti")
+    pairs = plain.join(other(plain, "session"), "session").filter("itemid < neighbour").select("itemid", "neighbour")
+    if huge.isEmpty():
+        return pairs
+    cut = rows.join(huge, "session").withColumn("block", F.pmod(F.xxhash64("itemid"), F.col("blocks")).cast("int"))
+    low = cut.select("session", "itemid", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"))
+    high = cut.select("session", "itemid", F.explode(F.sequence(F.lit(0), "block")).alias("lo"), F.col("block").alias("hi"))
+    found = low.join(other(high, "session", "lo", "hi"), ["session", "lo", "hi"]).filter("lo < hi or itemid < neighbour")
+    return pairs.union(found.select(F.least("itemid", "neighbour").alias("itemid"), F.greatest("itemid", "neighbour").alias("neighbour")))
+
+
 def item_knn(pairs: DataFrame, k: int = 300, shrink: float = 100.0) -> DataFrame:
     """(itemid, neighbour, similarity): co-occurrence / (sqrt(s_i * s_j) + shrink), the k best of each item. The
     self-join on session counts each unordered pair once and mirrors the sums, so half the pairs are shuffled."""
-    rows = pairs.select("session", "itemid").distinct()
-    other = rows.select("session", F.col("itemid").alias("neighbour"))
-    both = rows.join(other, "session").filter("itemid < neighbour").groupBy("itemid", "neighbour").agg(F.count(F.lit(1)).alias("both"))
+    rows = stored(pairs.select("session", "itemid").distinct(), "knn-rows")
+    both = item_pairs(rows).groupBy("itemid", "neighbour").agg(F.count(F.lit(1)).alias("both"))
     support = rows.groupBy("itemid").agg(F.count(F.lit(1)).alias("s"))
     sim = F.col("both") / (F.sqrt(F.col("s1") * F.col("s2")) + shrink)
     half = both.join(support.withColumnRenamed("s", "s1"), "itemid").join(support.select(F.col("itemid").alias("neighbour"), F.col("s").alias("s2")), "neighbour").select("itemid", "neighbour", sim.alias("similarity"))
@@ -49,7 +71,8 @@ def fill_up(recommended: DataFrame, sessions: DataFrame, seen: DataFrame, popula
     have = recommended.groupBy("session").agg(F.max("rank").alias("n"))
     need = sessions.select("session").join(have, "session", "left").fillna(0, ["n"]).filter(F.col("n") < k)
     # of a session's first k + |seen| + n popular items at least k are new, and histories are short
-    pool = small(popular.select("itemid", "sessions"))
+    longest = seen.groupBy("session").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pool = small(top_k(popular.select("itemid", "sessions"), [], [F.desc("sessions"), "itemid"], 2 * k + longest, "p").drop("p"))
     offered = need.crossJoin(pool).join(seen.select("session", "itemid"), ["session", "itemid"], "left_anti").join(recommended.select("session", "itemid"), ["session", "itemid"], "left_anti")
     more = top_k(offered, ["session"], [F.desc("sessions"), "itemid"], k, "r").filter(F.col("r") + F.col("n") <= k)
     extra = more.select("session", "itemid", F.lit(None).cast("double").alias("score"), (F.col("r") + F.col("n")).cast("int").alias("rank"), F.lit("popular").alias("strategy"))
@@ -66,9 +89,9 @@ def rank_metrics(ranked: DataFrame, targets: DataFrame, ks=(10, 20, 50)) -> Data
     )
 
 
-def relevance_metrics(ranked: DataFrame, relevant: DataFrame, ks, normalize: str = "min_k") -> DataFrame:
-    """(k, queries, recall, precision, ndcg, mrr) of ranked (query, item, rank) against sets (query, item); queries
-    without relevant items don't count. Recall is over min(k, |relevant|), or |relevant| with ``normalize="all"``."""
+def relevance_by_query(ranked: DataFrame, relevant: DataFrame, ks, normalize: str = "min_k") -> DataFrame:
+    """(query, k, recall, precision, ndcg, mrr) of ranked (query, item, rank) against sets (query, item); queries
+    without relevant items are left out. Recall is over min(k, |relevant|), or |relevant| with ``normalize="all"``."""
     n = relevant.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     hits = ranked.join(relevant, ["query", "item"]).select("query", "rank")
     base = n.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).join(hits, "query", "left")
@@ -76,7 +99,15 @@ def relevance_metrics(ranked: DataFrame, relevant: DataFrame, ks, normalize: str
     per = base.groupBy("query", "k", "n").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("h"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.min(F.when(inside, F.col("rank"))).alias("first"))
     best = F.aggregate(F.sequence(F.lit(1), F.least("k", "n").cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
     over = F.least("k", "n") if normalize == "min_k" else F.col("n")
-    return per.groupBy("k").agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("h") / over).alias("recall"), F.avg(F.col("h") / F.col("k")).alias("precision"), F.avg(F.col("dcg") / best).alias("ndcg"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    return per.select("query", "k", (F.col("h") / over).alias("recall"), (F.col("h") / F.col("k")).alias("precision"), (F.col("dcg") / best).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+METRICS = ("recall", "precision", "ndcg", "mrr")
+
+
+def relevance_metrics(ranked: DataFrame, relevant: DataFrame, ks, normalize: str = "min_k") -> DataFrame:
+    """(k, queries, recall, precision, ndcg, mrr): means of ``relevance_by_query``."""
+    return relevance_by_query(ranked, relevant, ks, normalize).groupBy("k").agg(F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS])
 
 
 def beyond_accuracy(ranked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -84,9 +115,8 @@ def beyond_accuracy(ranked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     mean popularity percentile of what is recommended. Ties by smaller item."""
     shown = ranked.filter(F.col("rank") <= k).groupBy("itemid").agg(F.count(F.lit(1)).alias("x"))
     items = popularity(pairs).join(shown, "itemid", "left").fillna(0, ["x"])
-    every = W.partitionBy()
-    n = F.count(F.lit(1)).over(every)
-    made = items.select("x", F.row_number().over(W.orderBy("x", "itemid")).alias("i"), ((F.row_number().over(W.orderBy("sessions", "itemid")) - 1) / (n - 1)).alias("pct"), n.alias("n"))
+    ranked = numbered(numbered(items, [F.col("x"), F.col("itemid")], "i"), [F.col("sessions"), F.col("itemid")], "by_popularity")
+    made = with_totals(ranked, {"n": F.count(F.lit(1))}).withColumn("pct", (F.col("by_popularity") - 1) / F.nullif(F.col("n") - 1, F.lit(0)))
     return made.agg(
         F.lit(k).alias("k"), F.avg((F.col("x") > 0).cast("double")).alias("coverage"),
         F.coalesce(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x")) / F.nullif(F.max("n") * F.sum("x"), F.lit(0)), F.lit(0.0)).alias("gini"), (F.sum(F.col("pct") * F.col("x")) / F.sum("x")).alias("popularity"),
@@ -146,8 +176,13 @@ def ranker_features(candidates: DataFrame, histories: DataFrame, pop: DataFrame,
 def spearman(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(n, rho): rank correlation of two values of each key; ties share their mean rank."""
     both = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key)
-    mid = lambda c: F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2
-    return both.select(mid("x").alias("rx"), mid("y").alias("ry")).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    both = stored(both, "spearman")
+
+    def mean_ranks(c: str, out: str) -> DataFrame:
+        by = ordered_sums(both.groupBy(c).agg(F.count(F.lit(1)).alias("m")), [F.col(c)], {"upto": F.col("m")})
+        return by.select(c, (F.col("upto") - (F.col("m") - 1) / 2).alias(out))
+
+    return both.join(mean_ranks("x", "rx"), "x").join(mean_ranks("y", "ry"), "y").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
 #: EASE inverts a dense matrix of items x items; larger catalogues are refused.
@@ -186,7 +221,7 @@ def als_factors(pairs: DataFrame, factors: int = 16, reg: float = 0.1, alpha: fl
     """Item factors (itemid, y) of implicit ALS over counts."""
     from pyspark.ml.recommendation import ALS
 
-    users = pairs.select("session").distinct().withColumn("user", (F.row_number().over(W.orderBy("session")) - 1).cast("int"))
+    users = numbered(pairs.select("session").distinct(), [F.col("session")], "n").select("session", (F.col("n") - 1).cast("int").alias("user"))
     data = pairs.join(users, "session").select("user", F.col("itemid").cast("int").alias("item"), F.col("n_events").cast("float").alias("rating"))
     model = ALS(rank=factors, regParam=reg, alpha=alpha, maxIter=iterations, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(data)
     return model.itemFactors.select(F.col("id").cast("bigint").alias("itemid"), F.col("features").alias("y"))
@@ -215,23 +250,35 @@ def fold_in(histories: DataFrame, factors: DataFrame, alpha: float = 40.0, reg:
     return lists.mapInPandas(solve, "session long, u array<double>")
 
 
+def _draw(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A step of hash01."""
+    big = np.uint64(4294967296)
+    return ((h * np.uint64(31) + value) % big * np.uint64(1103515245) + np.uint64(12345)) % big
+
+
 def bootstrap_ci(values: DataFrame, value: str, key: str, n_boot: int = 1000, alpha: float = 0.05, zeros: int = 0) -> DataFrame:
     """(mean, lo, hi): percentile bootstrap of a mean, with Poisson(1) weights drawn from a hash of (replicate, key),
     so it distributes and repeats. ``zeros`` more values are 0 (forced misses)."""
-    n = values.filter(F.col(value).isNotNull())
-    p, steps = float(np.exp(-1)), []
-    total = 0.0
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    n = n.select(key, F.col(value).cast("double").alias("v"))
-    reps = n.select("v", F.pmod(F.xxhash64(key), F.lit(1 << 31)).alias("__h"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    reps = reps.select("b", "v", F.element_at(F.transform(F.array(hash01("b", "__h")), lambda u: sum((u >= x).cast("int") for x in steps)), 1).alias("w"))
-    # the number of resampled zeros is near its mean for any number of them worth adding
-    means = reps.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / (F.sum("w") + F.lit(zeros))).alias("m"))
+    n = values.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+    def partial(batches):
+        weight, total = np.zeros(n_boot), np.zeros(n_boot)
+        for b in batches:
+            h, v = b["h"].to_numpy().astype(np.uint64), b["v"].to_numpy()
+            for lo in range(0, len(h), 1000):
+                # the arithmetic of hash01 on (replicate, hash of the key)
+                u = (_draw(_draw(np.zeros(1, np.uint64), np.arange(1, n_boot + 1, dtype=np.uint64))[:, None], h[lo : lo + 1000])) / 4294967296.0
+                w = np.searchsorted(steps, u, side="right")
+                weight += w.sum(1)
+                total += w @ v[lo : lo + 1000]
+        yield pd.DataFrame({"b": np.arange(n_boot), "w": weight, "t": total})
+
+    # each task gives one row a replicate; the number of resampled zeros is near its mean for any number worth adding
+    reps = n.select("v", F.pmod(F.xxhash64(key), F.lit(1 << 31)).alias("h")).mapInPandas(partial, "b int, w double, t double")
+    means = reps.groupBy("b").agg((F.sum("t") / F.nullif(F.sum("w") + F.lit(zeros), F.lit(0.0))).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
-    return n.agg((F.sum("v") / (F.count(F.lit(1)) + F.lit(zeros))).alias("mean")).crossJoin(ends)
+    return n.agg((F.sum("v") / F.nullif(F.count(F.lit(1)) + F.lit(zeros), F.lit(0))).alias("mean")).crossJoin(ends)
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, value: str, key: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.common import numbered
+
 
 def as_of(rows: DataFrame, key: str, time: str, value: str, cutoff, tie: str) -> DataFrame:
     """(key, value): the latest value at or before the cutoff; ties by the larger ``tie``. One aggregation."""
@@ -16,7 +18,7 @@ def as_of(rows: DataFrame, key: str, time: str, value: str, cutoff, tie: str) ->
 
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
     """(column, index): distinct values in order, from 1; 0 is kept for unknown ones."""
-    return rows.select(column).distinct().dropna().withColumn("index", F.row_number().over(W.orderBy(column)))
+    return numbered(rows.select(column).distinct().dropna(), [F.col(column)], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def encode(rows: DataFrame, vocab: DataFrame, column: str, out: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import hash01
+from ..functions.common import hash01, shared_dir
 
 EVENT_TYPES = ("view", "click", "purchase")
 #: Session ids are visitor * this + the visitor's running session number.
@@ -52,7 +52,7 @@ def k_core(pairs: DataFrame, min_session_items: int, min_item_sessions: int, mos
     Each round is checkpointed; also returns the row count after each round. (session, itemid) pairs are distinct."""
     spark, trace = pairs.sparkSession, []
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/tessera-checkpoints"))
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
     before = pairs.count()
     for _ in range(most):
         n = F.count(F.lit(1))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.common import ordered_sums, with_totals
+
 FLOOR = 1e-4
 
 
@@ -53,8 +55,8 @@ def curve(scored: DataFrame) -> DataFrame:
     """(score, n, pos, tp, fp, p, total): for each distinct score, true and false positives at it as threshold. Rows
     are summed by score first, so the running sums go over distinct scores only."""
     by = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("pos"))
-    down, every = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    return by.select("score", "n", "pos", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("n").over(every).alias("total"))
+    made = ordered_sums(by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})
+    return with_totals(made, {"p": F.sum("pos"), "total": F.sum("n")})
 
 
 def precision_recall(scored: DataFrame) -> DataFrame:
@@ -140,8 +142,7 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """(d, n1, n2): two-sample Kolmogorov-Smirnov statistic. Rows are summed by value before the running counts."""
     both = a.select(F.col(column).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(F.col(column), F.lit(0), F.lit(1))).filter("v is not null")
     by = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    up, every = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    made = by.select(F.sum("x").over(up).alias("cx"), F.sum("y").over(up).alias("cy"), F.sum("x").over(every).alias("n1"), F.sum("y").over(every).alias("n2"))
+    made = with_totals(ordered_sums(by, [F.col("v")], {"cx": F.col("x"), "cy": F.col("y")}), {"n1": F.sum("x"), "n2": F.sum("y")})
     return made.agg(F.max(F.abs(F.col("cx") / F.col("n1") - F.col("cy") / F.col("n2"))).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import small
 from ..operators import recsys as R
 from ..operators import sessions as S
 from ..sources.tables import event_log
@@ -73,8 +74,10 @@ def _ranked(spark, d, k):
 
 
 def _popular_ranked(split, targets, hist, k):
-    pop = R.popularity(split.train)
-    rows = targets.select("session").crossJoin(F.broadcast(pop)).join(hist, ["session", "itemid"], "left_anti")
+    # of the k + |history| most popular items at least k are new to a session
+    longest = hist.groupBy("session").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pop = R.popularity_top_k(split.train, k + longest).drop("rank")
+    rows = targets.select("session").crossJoin(small(pop)).join(hist, ["session", "itemid"], "left_anti")
     return R.top_k(rows, ["session"], [F.desc("sessions"), "itemid"], k)
 
 

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.common import shared_dir
 from ..streaming.monitors import stream_sessions
 
 
-def _base(spark):
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tessera-shared"
-
-
 def _sessions(spark, d):
     """The events end with one far in the future, so that the watermark closes all sessions."""
-    name, place = f"sessions_{uuid.uuid4().hex}", f"{_base(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    name, place = f"sessions_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     last = rows.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), "ts")
     rows.write.parquet(f"{place}/in/part=0")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera import config
+from tessera.functions.common import hash01, ordered_sums
 from tessera.operators import experiment, neural, panel, recsys, sessions, tabular, text
 from tessera.sources import formats, store
 
@@ -203,3 +204,36 @@ def test_entry_works_without_llm():
 
     code = "import re, sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; assert 'sessionize' in e.queries() and not any(re.match('op[0-9]+_', k) for k in e.queries()); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_pairs_of_huge_sessions(spark, monkeypatch):
+    monkeypatch.setattr(recsys, "PAIR_BLOCK", 4)
+    rows = [(1, i) for i in range(19)] + [(2, 3), (2, 5), (3, 7)]
+    got = sorted(map(tuple, recsys.item_pairs(spark.createDataFrame(rows, "session long, itemid long")).collect()))
+    assert got == sorted([(a, b) for a in range(19) for b in range(a + 1, 19)] + [(3, 5)])
+
+
+def test_ordered_sums_and_numbers(spark):
+    rows = [(k * 37 % 101, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "x long, y long").repartition(5)
+    got = {r["y"]: (r["n"], r["s"]) for r in ordered_sums(df, [F.desc("x"), F.col("y")], {"n": F.lit(1), "s": F.col("y")}).collect()}
+    total = 0
+    for n, (_, y) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1):
+        total += y
+        assert got[y] == (n, total)
+    assert ordered_sums(df.limit(0), [F.col("x")], {"n": F.lit(1)}).count() == 0
+
+
+def test_bootstrap_equals_plain_resampling(spark):
+    """The replicates' weights are drawn by the same arithmetic as hash01, row by row."""
+    values = [(k, float(k % 7)) for k in range(40)]
+    df = spark.createDataFrame(values, "id long, v double")
+    got = recsys.bootstrap_ci(df, "v", "id", 50).first()
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    drawn = df.select("v", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(50)))).select("b", "v", hash01("b", "h").alias("u")).collect()
+    means = []
+    for b in range(1, 51):
+        w = [(int(np.searchsorted(steps, r["u"], side="right")), r["v"]) for r in drawn if r["b"] == b]
+        means.append(sum(n * v for n, v in w) / sum(n for n, _ in w))
+    assert math.isclose(got["mean"], sum(v for _, v in values) / 40)
+    assert math.isclose(got["lo"], np.percentile(means, 2.5)) and math.isclose(got["hi"], np.percentile(means, 97.5))
