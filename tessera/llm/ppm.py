@@ -44,7 +44,9 @@ from .repeats import unpack
 ORDER = 6
 BUNDLE = 32 << 20
 #: Requests to a part, about.
-PART_STEPS = 1_500_000
+PART_STEPS = 1_000_000
+#: Steps (or words) that a bundle gathers before it adds up equal ones.
+GATHERED = 1_000_000
 #: Requests to a row.
 ROW_STEPS = 1 << 18
 #: Rows of requests, and values of each, that the cuts are taken from.
@@ -178,9 +180,15 @@ def requests(packed: DataFrame) -> DataFrame:
                 step.sort()
                 first = starts_of_runs(step)
                 steps.append((step[first], np.diff(first, append=len(step)) * kind))
+                compact(steps)
         (h1, h2), first = text_words(texts)
-        key, n, more = add_up(h1, np.repeat(np.array(train, np.int64), np.diff(first)), h2)
-        words.append((key, n, more))
+        words.append(add_up(h1, np.repeat(np.array(train, np.int64), np.diff(first)), h2))
+        compact(words)
+
+    def compact(parts):
+        """Equal ones are added up when there are twice as many as after the last time."""
+        if sum(len(p[0]) for p in parts) > max(GATHERED, 2 * len(parts[0][0])):
+            parts[:] = [add_up(*together(parts))]
 
     def asked(chunk, held):
         if held is None:
