@@ -44,9 +44,9 @@ from .repeats import unpack
 ORDER = 6
 BUNDLE = 32 << 20
 #: Requests to a part, about.
-PART_STEPS = 1_000_000
+PART_STEPS = 700_000
 #: Steps (or words) that a bundle gathers before it adds up equal ones.
-GATHERED = 1_000_000
+GATHERED = 500_000
 #: Requests to a row.
 ROW_STEPS = 1 << 18
 #: Rows of requests, and values of each, that the cuts are taken from.
@@ -152,6 +152,22 @@ def plain(z: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).ravel().view(kind)
 
 
+def shrink_scores(column: np.ndarray) -> bytes:
+    """Values of which many are equal: their number, the distinct ones, and each one's place among them."""
+    distinct, place = np.unique(column, return_inverse=True)
+    kind = np.uint8 if len(distinct) <= 1 << 8 else np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+    raw = place.astype(kind).view(np.uint8).reshape(len(place), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(distinct).to_bytes(8, "little") + distinct.tobytes() + raw)
+
+
+def expand_scores(z: bytes, of) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(z)
+    n = int.from_bytes(raw[:8], "little")
+    kind = np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+    places = np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(np.dtype(kind).itemsize, -1).T
+    return np.frombuffer(raw, of, n, 8)[np.ascontiguousarray(places).ravel().view(kind)]
+
+
 def expand(z: bytes) -> np.ndarray:
     return np.cumsum(plain(z, np.uint64), dtype=np.uint64)
 
@@ -163,7 +179,7 @@ def requests(packed: DataFrame) -> DataFrame:
 
     def rows(batches):
         now, held = None, None
-        for b in pieces(batches, "z", 1 << 20):
+        for b in pieces(batches, "z", 1 << 19):
             chunks, train, texts = b["chunk"].to_pylist(), b["train"].to_pylist(), unpack(b["z"])
             cuts = [0, *(k for k in range(1, len(chunks)) if chunks[k] != chunks[k - 1]), len(chunks)]
             for x, y in zip(cuts, cuts[1:], strict=False):
@@ -403,7 +419,7 @@ def answers(dealt: DataFrame) -> DataFrame:
             ends = iter(np.split(of, np.cumsum([len(k) for k in keys])[:-1]))
             find_in = lambda key, _: next(ends)
         for kind, chunk, z, key, *_ in asked:
-            values = shrink(find_in(key, kind))
+            values = shrink_scores(find_in(key, kind))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, z, values, seen, total), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
             seen = total = 0
 
@@ -427,11 +443,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     none = F.lit(None)
     told = answered.select("chunk", "kind", "keys", F.col("values").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"))
     texts = packed.select("chunk", F.lit(WORDS + 1).alias("kind"), none.cast("binary").alias("keys"), "z", "doc_id", "train")
-    both = told.union(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # a partition for each bundle, about, whose size is bounded, however many there are
+    chunks = packed.select("chunk").distinct().count()
+    both = told.union(texts).repartition(max(2 * chunks, 1), "chunk").sortWithinPartitions("chunk", "kind")
 
     def rows(batches):
         now, held, table = None, [], None
-        for b in pieces(batches, "z", 1 << 20):
+        for b in pieces(batches, "z", 1 << 19):
             some = []
             for chunk, kind, keys, z, doc, train in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if chunk != now:
@@ -450,7 +468,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def look_up(held):
         out = []
         for kind, of in ((STEPS, np.float64), (WORDS, np.int64)):
-            some = [(expand(keys), plain(z, of)) for k, keys, z in held if k == kind] or [(np.zeros(0, np.uint64), np.zeros(0, of))]
+            some = [(expand(keys), expand_scores(z, of)) for k, keys, z in held if k == kind] or [(np.zeros(0, np.uint64), np.zeros(0, of))]
             key, value = together(some)
             if (key[1:] < key[:-1]).any():
                 order = np.argsort(key, kind="stable")
