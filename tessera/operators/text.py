@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -188,6 +188,10 @@ def _is_token(t: Column) -> Column:
     return t.rlike("^[a-z0-9_]{2,}$") & ~t.isin(STOP_WORDS)
 
 
+#: The tables of a stored keyword index.
+INDEX_PARTS = ("postings", "terms", "lengths")
+
+
 def bm25_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0. The
     postings are stored; the rest is computed from them."""
@@ -201,10 +205,29 @@ def bm25_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return postings, raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), lengths
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 50) -> DataFrame:
+def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """A keyword index as three Parquet tables; what was there before is replaced."""
+    for name, part in zip(INDEX_PARTS, index, strict=True):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether all tables of an index were written to the end."""
+    files = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS") for name in INDEX_PARTS]
+    return all(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in files)
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of a stored index; FileNotFoundError if one isn't there."""
+    if not index_exists(spark, path):
+        raise FileNotFoundError(path)
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in INDEX_PARTS)
+
+
+def search_index(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, key: str, query_key: str, query_text: str, k: int = 50) -> DataFrame:
     """(query, key, score, rank): the k best of each query; scores of 0 and less are dropped, repeated query terms
     count each time, ties by smaller key."""
-    postings, terms, lengths = bm25_index(docs, key, text)
+    postings, terms, lengths = index
     mean = F.broadcast(lengths.agg(F.avg("length").alias("mean")))
     asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(query_text)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(terms, "term")
@@ -214,6 +237,11 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     return top_k(scored, ["query"], [F.desc(F.round("score", 9)), key], k).filter("score > 0")
 
 
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 50) -> DataFrame:
+    """``search_index`` over an index of ``docs``."""
+    return search_index(bm25_index(docs, key, text), queries, key, query_key, query_text, k)
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

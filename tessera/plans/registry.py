@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import experiment, models, rag, relational, sessions, streams, tabular, text
+from . import experiment, jobs, models, rag, relational, sessions, streams, tabular, text
 
-MODULES = (sessions, relational, rag, experiment, tabular, text, models, streams)
+MODULES = (sessions, relational, rag, experiment, tabular, text, models, streams, jobs)
 
 
 def queries():

@@ -20,6 +20,11 @@ def read_csv(spark: SparkSession, path, schema: str, replace: dict[str, dict[str
     return df
 
 
+def write_csv(df: DataFrame, path: str, compressed: bool = False) -> None:
+    """A result as CSV with a header, gzip-compressed on demand; an earlier result of that name is replaced."""
+    df.write.mode("overwrite").option("header", True).csv(path, compression="gzip" if compressed else "none")
+
+
 def read_events(spark: SparkSession, path) -> DataFrame:
     """Event log with ``ts`` (UTC) from epoch milliseconds; ValueError on null keys."""
     df = read_csv(spark, path, EVENT_SCHEMA).withColumn("ts", F.timestamp_millis("timestamp"))
