@@ -33,16 +33,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import documents, pieces, staged, unstage, utf8
-from .repeats import unpack
+from .common import documents, pieces, staged, utf8
 
 #: Bytes of context: a step (context, byte, number of context bytes) fits a long.
 ORDER = 6
 BUNDLE = 32 << 20
+#: Bytes of text that are compressed together, about.
+GROUP = 1 << 16
 #: Requests to a part, about.
 PART_STEPS = 700_000
 #: Steps (or words) that a bundle gathers before it adds up equal ones.
@@ -52,33 +54,52 @@ ROW_STEPS = 1 << 18
 #: Rows of requests, and values of each, that the cuts are taken from.
 SAMPLED_ROWS, SAMPLED_VALUES = 512, 200
 #: Bytes of running text that are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 BLANK = 0x20
 
 STATS, STEPS, WORDS = 0, 1, 2
 REQUEST = "part int, kind int, chunk long, keys binary, more binary, n binary"
-ANSWER = "chunk long, kind int, keys binary, values binary, seen long, total long"
+ANSWER = "chunk long, kind int, keys binary, values binary"
 
 
 def bundles(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, train, z): compressed texts; consecutive documents of about BUNDLE bytes share a chunk."""
-    names = ["chunk", "doc_id", "train", "z"]
+    """(chunk, ids, train, sizes, z): texts compressed in groups of about GROUP bytes, with their doc_ids, whether they are
+    trained on, and lengths; consecutive groups of about BUNDLE bytes share a chunk."""
+    names = ["chunk", "ids", "train", "sizes", "z"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
 
     def rows(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        chunk, total = None, 0
+        pack, task, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        held, size, total = [], 0, 0
+
+        def group(held):
+            ids, train, texts = (list(c) for c in zip(*held, strict=True))
+            chunk = hashlib.sha256(f"{task} {number}".encode()).digest()[:8]
+            made = (int.from_bytes(chunk, "little", signed=True), ids, train, [len(t) for t in texts], pack.compress(b"".join(texts)))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds, strict=True)], names)
+
         for b in pieces(batches, "t"):
-            texts = b["t"].to_pylist()
-            packed, chunks = [pack.compress(t) for t in texts], []
-            for d, z, t in zip(b["doc_id"].to_pylist(), packed, texts, strict=True):
-                if chunk is None or total >= BUNDLE:
-                    chunk, total = int.from_bytes(hashlib.sha256(z + repr(d).encode()).digest()[:8], "little", signed=True), 0
-                total += len(t)
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), b["doc_id"], b["train"], pa.array(packed, pa.binary())], names)
+            for row in zip(*(b[c].to_pylist() for c in ("doc_id", "train", "t")), strict=True):
+                held.append(row)
+                size += len(row[2])
+                if size >= GROUP:
+                    yield group(held)
+                    total += size
+                    held, size = [], 0
+                    if total >= BUNDLE:
+                        number, total = number + 1, 0
+        if held:
+            yield group(held)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), utf8().alias("t")).mapInArrow(rows, "chunk long, doc_id long, train boolean, z binary")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), utf8().alias("t"))
+    return wanted.mapInArrow(rows, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, z binary")
+
+
+def texts_of(z: bytes, sizes: list[int]) -> list[bytes]:
+    """The texts of a group."""
+    data, ends = zstandard.ZstdDecompressor().decompress(z, max_output_size=max(sum(sizes), 1)), np.cumsum([0, *sizes]).tolist()
+    return [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
 
 
 def running(text: bytes) -> bytes:
@@ -180,13 +201,17 @@ def requests(packed: DataFrame) -> DataFrame:
     def rows(batches):
         now, held = None, None
         for b in pieces(batches, "z", 1 << 19):
-            chunks, train, texts = b["chunk"].to_pylist(), b["train"].to_pylist(), unpack(b["z"])
-            cuts = [0, *(k for k in range(1, len(chunks)) if chunks[k] != chunks[k - 1]), len(chunks)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if chunks[x] != now:
+            trained, texts = [], []
+            for chunk, train, sizes, z in zip(*(b[c].to_pylist() for c in ("chunk", "train", "sizes", "z")), strict=True):
+                if chunk != now:
+                    if texts:
+                        gather(held, trained, texts)
                     yield from asked(now, held)
-                    now, held = chunks[x], ([], [])
-                gather(held, train[x:y], texts[x:y])
+                    now, held, trained, texts = chunk, ([], []), [], []
+                trained += train
+                texts += texts_of(z, sizes)
+            if texts:
+                gather(held, trained, texts)
         yield from asked(now, held)
 
     def gather(held, train, texts):
@@ -202,9 +227,11 @@ def requests(packed: DataFrame) -> DataFrame:
         compact(words)
 
     def compact(parts):
-        """Equal ones are added up when there are twice as many as after the last time."""
-        if sum(len(p[0]) for p in parts) > max(GATHERED, 2 * len(parts[0][0])):
-            parts[:] = [add_up(*together(parts))]
+        """Equal ones are added up when there are half as many again as after the last time."""
+        if sum(len(p[0]) for p in parts) > max(GATHERED, 1.5 * len(parts[0][0])):
+            whole = together(parts)
+            parts.clear()
+            parts.append(add_up(*whole))
 
     def asked(chunk, held):
         if held is None:
@@ -212,12 +239,14 @@ def requests(packed: DataFrame) -> DataFrame:
         for kind, some in zip((STEPS, WORDS), held, strict=True):
             if not some:
                 continue
-            key, n, *more = add_up(*together(some))
+            whole = together(some)
+            some.clear()
+            key, n, *more = add_up(*whole)
             for lo in range(0, len(key), ROW_STEPS):
                 part = [c[lo : lo + ROW_STEPS] for c in (key, *(more or [n[:0]]), n)]
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([len(part[0])], pa.int64()), *(pa.array([z], pa.binary()) for z in squeeze(*part))], names)
 
-    return packed.select("chunk", "train", "z").mapInArrow(rows, "kind int, chunk long, size long, keys binary, more binary, n binary")
+    return packed.select("chunk", "train", "sizes", "z").mapInArrow(rows, "kind int, chunk long, size long, keys binary, more binary, n binary")
 
 
 def cuts_of(asked: DataFrame) -> np.ndarray:
@@ -378,52 +407,71 @@ class Model:
         return out
 
 
-def answers(dealt: DataFrame) -> DataFrame:
-    """(chunk, kind, keys, values, seen, total): the log10 probabilities of the steps, and the training counts of the words,
-    that a bundle asked for. Each word part also tells its trained words (seen) and their occurrences (total), once."""
-    names = ["chunk", "kind", "keys", "values", "seen", "total"]
+def word_sums(h1: list, h2: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the distinct words, each request's place among them). Words of one first hash are told apart by their second."""
+    h1, h2, n = (np.concatenate(c) for c in (h1, h2, n))
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return np.add.reduceat(n[order], np.flatnonzero(new)) if len(order) else n, place
+
+
+def by_part(batches):
+    """(rows of one part) of batches that are sorted by part; the rows are without it."""
+    now, held = None, []
+    for b in batches:
+        for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part != now and held:
+                yield held
+                held = []
+            now = part
+            held.append(row)
+    if held:
+        yield held
+
+
+def answers(dealt: DataFrame, parts: int) -> DataFrame:
+    """(chunk, kind, keys, values): the log10 probabilities of the steps, and the training counts of the words, that a bundle
+    asked for."""
 
     def rows(batches):
-        now, held = None, []
-        for b in batches:
-            for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if part != now:
-                    yield from answer(held)
-                    now, held = part, []
-                held.append(row)
-        yield from answer(held)
+        for held in by_part(batches):
+            yield from answer(held)
 
     def answer(held):
         asked = [(kind, chunk, z, expand(z), more, n) for kind, chunk, z, more, n in held if kind != STATS]
         if not asked:
             return
-        seen = total = 0
         keys, counts = [a[3] for a in asked], [plain(a[5]) for a in asked]
         if asked[0][0] == STEPS:
             shared = [(expand(z), plain(n)) for kind, _, z, _, n in held if kind == STATS]
             code, more = add_up(*together(shared)) if shared else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             step, n = add_up(np.concatenate(keys), np.concatenate(counts))
             value = Model(step, n, code, more).code(step)
-            find_in = lambda key, _: value[np.searchsorted(step, key)]
+            values = (value[np.searchsorted(step, key)] for key in keys)
         else:
-            # words of one first hash are told apart by their second: the place in the order of both
-            second = [plain(a[4], np.uint64) for a in asked]
-            h1, h2, n = np.concatenate(keys), np.concatenate(second), np.concatenate(counts)
-            order = np.lexsort((h2, h1))
-            new = np.ones(len(order), bool)
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-            sums = np.add.reduceat(n[order], np.flatnonzero(new))
-            of = np.empty(len(order), np.int64)
-            of[order] = sums[np.cumsum(new) - 1]
-            seen, total = int((sums > 0).sum()), int(sums.sum())
-            ends = iter(np.split(of, np.cumsum([len(k) for k in keys])[:-1]))
-            find_in = lambda key, _: next(ends)
-        for kind, chunk, z, key, *_ in asked:
-            values = shrink_scores(find_in(key, kind))
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, kind, z, values, seen, total), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
-            seen = total = 0
-
-    return dealt.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(rows, ANSWER)
+            sums, place = word_sums(keys, [plain(a[4], np.uint64) for a in asked], counts)
+            values = np.split(sums[place], np.cumsum([len(k) for k in keys])[:-1])
+        for (kind, chunk, z, *_), v in zip(asked, values, strict=True):
+            made = zip((chunk, kind, z, shrink_scores(v)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in made], ["chunk", "kind", "keys", "values"])
+
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(rows, ANSWER)
+
+
+def word_totals(dealt: DataFrame, parts: int) -> tuple[int, int]:
+    """(distinct trained words, their occurrences)"""
+
+    def rows(batches):
+        for held in by_part(batches):
+            sums, _ = word_sums([expand(r[2]) for r in held], [plain(r[3], np.uint64) for r in held], [plain(r[4]) for r in held])
+            yield pa.RecordBatch.from_arrays([pa.array([int((sums > 0).sum())]), pa.array([int(sums.sum())])], ["seen", "total"])
+
+    words = dealt.filter(F.col("kind") == WORDS).repartition(parts, "part").sortWithinPartitions("part")
+    found = words.mapInArrow(rows, "seen long, total long").agg(F.sum("seen"), F.sum("total")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -431,18 +479,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     packed = staged(bundles(docs), "ppm-bundles")
     asked = staged(requests(packed), "ppm-requests")
     cuts = cuts_of(asked)
-    dealt = dealt_requests(asked, cuts)
-    if len(cuts):
-        dealt = dealt.union(cut_followers(asked, cuts))
-    answered = staged(answers(dealt), "ppm-answers")
-    unstage(asked)
-    seen = answered.agg(F.sum("seen"), F.sum("total")).first()
-    ends = packed.filter("train").count()
-    total, distinct = (seen[1] or 0) + ends, (seen[0] or 0) + (ends > 0)
+    requested = dealt_requests(asked, cuts)
+    parts = 2 * (len(cuts) + 1)
+    seen, total = word_totals(requested, parts)
+    answered = answers(requested.union(cut_followers(asked, cuts)) if len(cuts) else requested, parts)
+    ends = packed.select(F.explode("train").alias("train")).filter("train").count()
+    total, distinct = total + ends, seen + (ends > 0)
     low = np.log10(total + 0.5 * (distinct + 1))
     none = F.lit(None)
-    told = answered.select("chunk", "kind", "keys", F.col("values").alias("z"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("train"))
-    texts = packed.select("chunk", F.lit(WORDS + 1).alias("kind"), none.cast("binary").alias("keys"), "z", "doc_id", "train")
+    empty = [none.cast("array<long>").alias("ids"), none.cast("array<boolean>").alias("train"), none.cast("array<int>").alias("sizes")]
+    told = answered.select("chunk", "kind", "keys", F.col("values").alias("z"), *empty)
+    texts = packed.select("chunk", F.lit(WORDS + 1).alias("kind"), none.cast("binary").alias("keys"), "z", "ids", "train", "sizes")
     # a partition for each bundle, about, whose size is bounded, however many there are
     chunks = packed.select("chunk").distinct().count()
     both = told.union(texts).repartition(max(2 * chunks, 1), "chunk").sortWithinPartitions("chunk", "kind")
@@ -451,7 +498,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         now, held, table = None, [], None
         for b in pieces(batches, "z", 1 << 19):
             some = []
-            for chunk, kind, keys, z, doc, train in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for chunk, kind, keys, z, ids, train, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if chunk != now:
                     if some:
                         yield score(some, table)
@@ -461,7 +508,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     continue
                 if table is None:
                     table, held = look_up(held), []
-                some.append((doc, train, zstandard.ZstdDecompressor().decompress(z)))
+                some += zip(ids, train, texts_of(z, sizes), strict=True)
             if some:
                 yield score(some, table)
 

@@ -103,6 +103,8 @@ def test_ppm_of_running_text(spark, rows, monkeypatch, tmp_path):
     monkeypatch.setattr(ppm, "ROW_STEPS", 150)
     monkeypatch.setattr(ppm, "BUNDLE", 5000)  # many bundles
     monkeypatch.setattr(ppm, "SLICE", 1000)  # texts in slices
+    monkeypatch.setattr(ppm, "GROUP", 700)
+    monkeypatch.setattr(ppm, "GATHERED", 300)
     check()
     untrained = [(d, t) for d, t in some if held(d)]
     none = spark.createDataFrame(untrained, "doc_id long, text string")
