@@ -48,20 +48,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage ends there, so a lost
-    executor costs a re-read and not the steps before."""
+    executor costs a re-read and not the steps before. ``by``: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the folder of a staged table that nothing reads any more."""
-    remove_path(df.sparkSession, df.staged_path)
+def unstage(df: DataFrame, part: str = "") -> None:
+    """Delete the folder of a staged table, or of a part of it, that nothing reads any more."""
+    remove_path(df.sparkSession, f"{df.staged_path}/{part}".rstrip("/"))
 
 
 def pieces(batches, column: str, limit: int = PIECE):

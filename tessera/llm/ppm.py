@@ -23,7 +23,7 @@ bundles' distinct steps, and so with the input.
 
 Defined results: null or empty texts are the end alone; rows with a null doc_id count as training rows; rows that occur
 again count again; without training documents N and V are 0, every count too, and all bytes are alike; no rows give no
-rows. Words are told apart by 128 bits of hash (64 inside a bundle), steps by their bytes.
+rows. Words are told apart by 96 bits of hash (64 inside a bundle), steps by their bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import documents, pieces, staged, utf8
+from .common import documents, pieces, staged, unstage, utf8
 
 #: Bytes of context: a step (context, byte, number of context bytes) fits a long.
 ORDER = 6
@@ -59,7 +59,7 @@ BLANK = 0x20
 
 STATS, STEPS, WORDS = 0, 1, 2
 REQUEST = "part int, kind int, chunk long, keys binary, more binary, n binary"
-ANSWER = "chunk long, kind int, keys binary, values binary"
+ANSWER = "chunk long, kind int, keys binary, values binary, seen long, total long"
 
 
 def bundles(docs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def requests(packed: DataFrame) -> DataFrame:
                 steps.append((step[first], np.diff(first, append=len(step)) * kind))
                 compact(steps)
         (h1, h2), first = text_words(texts)
-        words.append(add_up(h1, np.repeat(np.array(train, np.int64), np.diff(first)), h2))
+        words.append(add_up(h1, np.repeat(np.array(train, np.int64), np.diff(first)), h2 >> np.uint64(32)))
         compact(words)
 
     def compact(parts):
@@ -332,8 +332,8 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "chunk", "keys", "more", "n"])
 
 
-def dealt_requests(asked: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """The requests cut at the parts' ends. Word parts come after step parts."""
+def dealt_requests(asked: DataFrame, cuts: np.ndarray):
+    """A function that gives the requests of a kind, cut at the parts' ends. Word parts come after step parts."""
     sizes = {r["kind"]: r["n"] for r in asked.groupBy("kind").agg(F.sum("size").alias("n")).collect()}
     word_parts = max(1, -(-sizes.get(WORDS, 0) // PART_STEPS))
     # the first hash of each word part but the first
@@ -348,7 +348,7 @@ def dealt_requests(asked: DataFrame, cuts: np.ndarray) -> DataFrame:
                 made = [(base + p, kind, chunk, *squeeze(key[x:y], more[x:y], n[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
                 yield _dealt(made)
 
-    return asked.select("kind", "chunk", "keys", "more", "n").mapInArrow(rows, REQUEST)
+    return lambda kind: asked.filter(F.col("kind") == kind).select("kind", "chunk", "keys", "more", "n").mapInArrow(rows, REQUEST)
 
 
 class Model:
@@ -433,8 +433,10 @@ def by_part(batches):
 
 
 def answers(dealt: DataFrame, parts: int) -> DataFrame:
-    """(chunk, kind, keys, values): the log10 probabilities of the steps, and the training counts of the words, that a bundle
-    asked for."""
+    """(chunk, kind, keys, values, seen, total): the log10 probabilities of the steps, and the training counts of the words,
+    that a bundle asked for. Each word part also tells its trained words (seen) and their occurrences (total), once."""
+    names = ["chunk", "kind", "keys", "values", "seen", "total"]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def rows(batches):
         for held in by_part(batches):
@@ -444,7 +446,7 @@ def answers(dealt: DataFrame, parts: int) -> DataFrame:
         asked = [(kind, chunk, z, expand(z), more, n) for kind, chunk, z, more, n in held if kind != STATS]
         if not asked:
             return
-        keys, counts = [a[3] for a in asked], [plain(a[5]) for a in asked]
+        keys, counts, seen, total = [a[3] for a in asked], [plain(a[5]) for a in asked], 0, 0
         if asked[0][0] == STEPS:
             shared = [(expand(z), plain(n)) for kind, _, z, _, n in held if kind == STATS]
             code, more = add_up(*together(shared)) if shared else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -454,35 +456,28 @@ def answers(dealt: DataFrame, parts: int) -> DataFrame:
         else:
             sums, place = word_sums(keys, [plain(a[4], np.uint64) for a in asked], counts)
             values = np.split(sums[place], np.cumsum([len(k) for k in keys])[:-1])
+            seen, total = int((sums > 0).sum()), int(sums.sum())
         for (kind, chunk, z, *_), v in zip(asked, values, strict=True):
-            made = zip((chunk, kind, z, shrink_scores(v)), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in made], ["chunk", "kind", "keys", "values"])
+            made = zip((chunk, kind, z, shrink_scores(v), seen, total), kinds, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in made], names)
+            seen = total = 0
 
     return dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(rows, ANSWER)
 
 
-def word_totals(dealt: DataFrame, parts: int) -> tuple[int, int]:
-    """(distinct trained words, their occurrences)"""
-
-    def rows(batches):
-        for held in by_part(batches):
-            sums, _ = word_sums([expand(r[2]) for r in held], [plain(r[3], np.uint64) for r in held], [plain(r[4]) for r in held])
-            yield pa.RecordBatch.from_arrays([pa.array([int((sums > 0).sum())]), pa.array([int(sums.sum())])], ["seen", "total"])
-
-    words = dealt.filter(F.col("kind") == WORDS).repartition(parts, "part").sortWithinPartitions("part")
-    found = words.mapInArrow(rows, "seen long, total long").agg(F.sum("seen"), F.sum("total")).first()
-    return found[0] or 0, found[1] or 0
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
     packed = staged(bundles(docs), "ppm-bundles")
-    asked = staged(requests(packed), "ppm-requests")
+    asked = staged(requests(packed), "ppm-requests", by="kind")
     cuts = cuts_of(asked)
     requested = dealt_requests(asked, cuts)
     parts = 2 * (len(cuts) + 1)
-    seen, total = word_totals(requested, parts)
-    answered = answers(requested.union(cut_followers(asked, cuts)) if len(cuts) else requested, parts)
+    # the words' counts come first, as every base score needs their sums; what was asked of them is then done with
+    counted = staged(answers(requested(WORDS), parts), "ppm-words")
+    unstage(asked, f"kind={WORDS}")
+    seen, total = (x or 0 for x in counted.agg(F.sum("seen"), F.sum("total")).first())
+    steps = requested(STEPS)
+    answered = answers(steps.union(cut_followers(asked, cuts)) if len(cuts) else steps, parts).union(counted)
     ends = packed.select(F.explode("train").alias("train")).filter("train").count()
     total, distinct = total + ends, seen + (ends > 0)
     low = np.log10(total + 0.5 * (distinct + 1))
