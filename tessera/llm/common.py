@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of texts that a step in Python takes at once.
 PIECE = 4 << 20
 
+#: Spark's setting that a finished command's shuffle files are deleted at once and not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: set[str] = set()
 
 
@@ -50,10 +53,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage ends there, so a lost
-    executor costs a re-read and not the steps before. ``by``: a column whose values get folders of their own."""
+    executor costs a re-read and not the steps before. The shuffle files of the write are deleted after it, as nothing reads
+    them again. ``by``: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
