@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, ranges
-from .common import documents, pieces, utf8
+from .common import documents, pieces, tidy, utf8
 
 _INF = np.int32(2**31 - 1)
 #: Pieces of up to this many bytes are merged in rows.
@@ -209,7 +209,7 @@ def encode_documents(docs: DataFrame, ranks: str, digests: bool = False) -> Data
 
     text = utf8("text").alias("__text")
     wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text).toDF(*names, "__text")
-    return wide.mapInArrow(rows, schema).toDF(*docs.columns, *(n for n, _ in extra))
+    return wide.mapInArrow(tidy(rows), schema).toDF(*docs.columns, *(n for n, _ in extra))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

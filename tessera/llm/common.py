@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -86,6 +87,20 @@ def pieces(batches, column: str, limit: int = PIECE):
             lo = hi
 
 
+def tidy(rows):
+    """``rows``, a function for mapInArrow, after whose last batch the worker's allocators give unused memory back: Spark keeps
+    idle Python workers for later stages, and what they hold counts against the executor all the while."""
+
+    def run(batches):
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+        if trim:
+            trim(0)
+
+    return run
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Catalyst's estimate of the size of ``df``: the size of its files where it is a scan. Where Spark has no estimate, the
     bytes of ``column`` are counted."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import pieces, staged, unstage, utf8
+from .common import pieces, staged, tidy, unstage, utf8
 
 _FIELDS = ["sure", "hot", "key", "name", "doc_id", "row", "start", "windows", "inner"]
 SEGMENT = "sure boolean, hot boolean, key long, name long, doc_id long, row long, start int, windows int, inner boolean"
@@ -129,7 +129,7 @@ def hot_keys(docs: DataFrame, segments) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.diff(first, append=len(key)))], ["key", "n"])
 
-    found = some.mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    found = some.mapInArrow(tidy(rows), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
     return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64))
 
 
@@ -159,7 +159,7 @@ def segment_rows(docs: DataFrame, segments, hot: np.ndarray) -> DataFrame:
         if held:
             yield from combine(held)
 
-    return rows_of(docs).mapInArrow(rows, SEGMENT)
+    return rows_of(docs).mapInArrow(tidy(rows), SEGMENT)
 
 
 def compare_segments(rows: DataFrame, inside: bool) -> DataFrame:
@@ -216,7 +216,7 @@ def compare_segments(rows: DataFrame, inside: bool) -> DataFrame:
 
     spread = F.when(F.col("sure"), F.xxhash64("doc_id", "start")).when(F.col("hot"), F.xxhash64("key", "name")).otherwise(F.col("key"))
     ordered = rows.repartition(spread).sortWithinPartitions("sure", "key", "name", "doc_id", "row", "start")
-    return ordered.mapInArrow(stream, "repeat boolean, hot boolean, key long, doc_id long, row long, start int, windows int, inner boolean")
+    return ordered.mapInArrow(tidy(stream), "repeat boolean, hot boolean, key long, doc_id long, row long, start int, windows int, inner boolean")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for b in pieces(batches, "t"):
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array([pack.compress(t) for t in b["t"].to_pylist()], pa.binary())], ["doc_id", "row", "z"])
 
-    return rows_of(docs).mapInArrow(rows, "doc_id long, row long, z binary")
+    return rows_of(docs).mapInArrow(tidy(rows), "doc_id long, row long, z binary")
 
 
 def unpack(column) -> list[bytes]:
@@ -271,7 +271,7 @@ def remove(docs: DataFrame, ranges: DataFrame, make, schema: str) -> DataFrame:
             cols = list(zip(*made, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
-    return joined.mapInArrow(rows, f"doc_id long, {schema}")
+    return joined.mapInArrow(tidy(rows), f"doc_id long, {schema}")
 
 
 def repeats(docs: DataFrame, segments, confirm, name: str, inside: bool) -> DataFrame:

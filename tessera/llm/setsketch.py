@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import documents, pieces, staged, unstage
+from .common import documents, pieces, staged, tidy, unstage
 from .components import connected
 from .repeats import packed, rows_of, unpack
 
@@ -225,7 +225,7 @@ def describe(docs: DataFrame, k: int = K) -> DataFrame:
                 made = [pa.array(map(len, sets), pa.int64()), name(0x1234567), name(0x7654321ABC), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b["doc_id"][lo : lo + n], b["row"][lo : lo + n], *made], names)
 
-    return rows_of(docs).mapInArrow(rows, "doc_id long, row long, n_shingles long, h1 long, h2 long, sketch binary")
+    return rows_of(docs).mapInArrow(tidy(rows), "doc_id long, row long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def links(members: DataFrame, percent: int, k: int = K) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [[]] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "row").mapInArrow(rows, "a long, b long")
+    return members.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "row").mapInArrow(tidy(rows), "a long, b long")
 
 
 def near_components(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:

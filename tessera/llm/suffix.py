@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import documents, pieces, utf8
+from .common import documents, pieces, tidy, utf8
 from .repeats import Spans, covered, packed, remove, repeats, runs, unpack
 
 WIDTH = 100
@@ -376,11 +376,11 @@ def confirm(rows: DataFrame, docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "start", "windows"])
 
-    parts = joined.select("doc_id", "row", "z", "wanted").mapInArrow(cut, "sure boolean, key long, doc_id long, row long, start int, part binary")
+    parts = joined.select("doc_id", "row", "z", "wanted").mapInArrow(tidy(cut), "sure boolean, key long, doc_id long, row long, start int, part binary")
     parts = parts.select("sure", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "doc_id", "row", "start", "part")
     spread = F.when(F.col("sure"), F.xxhash64("doc_id", "start")).otherwise(F.col("shard"))
     ordered = parts.repartition(spread).sortWithinPartitions("sure", "shard", "doc_id", "row", "start")
-    return ordered.mapInArrow(sort, "doc_id long, row long, start int, windows int")
+    return ordered.mapInArrow(tidy(sort), "doc_id long, row long, start int, windows int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -429,7 +429,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     same = (wide[names[key]] == ranges["doc_id"]) & (F.xxhash64(utf8(names[at])) == ranges["row"])
     joined = wide.join(ranges, same, "left").select(*names, "starts", "windows")
-    return joined.mapInArrow(rows, schema).toDF(*docs.columns)
+    return joined.mapInArrow(tidy(rows), schema).toDF(*docs.columns)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, staged, unstage
+from .common import documents, pieces, staged, tidy, unstage
 
 MAX_LEXICON_ROWS = 12_000
 MAX_FIT_ROWS = 16_000
@@ -193,6 +193,10 @@ class ToxicityModel:
             self._features = Featurizer(self.lexicon)
         return np.clip(np.interp(self.trees.margin(self._features.matrix(texts)), *self.knots), 0, 1)
 
+    def forget(self) -> None:
+        """Drop the codes of the words seen so far."""
+        self._features = None
+
     def __getstate__(self):
         return {**self.__dict__, "_features": None}
 
@@ -216,7 +220,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     least = 5 if n_toxic >= 200 else 3 if n_toxic >= 30 else 2
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     found = (
-        sample.mapInArrow(rows, "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        sample.mapInArrow(tidy(rows), "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .filter(F.col("t") >= least).withColumn("odds", odds).filter((F.col("odds") >= 3) & (F.col("c") * 4 <= F.col("t")))
         .orderBy(F.desc(F.col("odds") * F.sqrt("t")), "unit").limit(MAX_LEXICON).collect()
     )
@@ -242,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             x = features.matrix([t or "" for t in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["toxic"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    fit = sample.filter("part = 1").select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id long, toxic int, x array<double>").collect()
+    fit = sample.filter("part = 1").select("doc_id", "toxic", "text").mapInArrow(tidy(rows), "doc_id long, toxic int, x array<double>").collect()
     fit.sort(key=lambda r: r["doc_id"])
     unstage(sample)
     unstage(picked)
@@ -267,11 +271,12 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
         for b in pieces(batches, inner[at]):
             s = model.score([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*inner, "score"])
+        model.forget()
 
     # names that may clash are taken off meanwhile
     inner, at = [f"c{k}" for k in range(len(names))], names.index(text)
     schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, docs.schema, strict=True)), T.StructField("score", T.DoubleType())])
-    return docs.toDF(*inner).mapInArrow(rows, schema).toDF(*names, out)
+    return docs.toDF(*inner).mapInArrow(tidy(rows), schema).toDF(*names, out)
 
 
 def held_out(doc_id: str = "doc_id"):
