@@ -24,6 +24,9 @@ PIECE = 4 << 20
 #: Spark's setting that a finished command's shuffle files are deleted at once and not when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's bound on the bytes of a batch that it hands to Python; by default it is 64 MB, in the JVM and in the worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _folders: set[str] = set()
 
 
@@ -55,15 +58,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage ends there, so a lost
     executor costs a re-read and not the steps before. The shuffle files of the write are deleted after it, as nothing reads
-    them again. ``by``: a column whose values get folders of their own."""
+    them again, and steps in Python get batches of about PIECE bytes. ``by``: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
+    meanwhile = {CLEAN_UP: "true", BATCH_BYTES: str(PIECE)}
+    before = {k: spark.conf.get(k) for k in meanwhile}
     try:
+        for k, v in meanwhile.items():
+            spark.conf.set(k, v)
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
