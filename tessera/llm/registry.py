@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, ppm, recompression, records, setsketch, spotsigs, suffix, toxicity
+from . import avi, bpe, mixing, periodic, ppm, recompression, records, setsketch, spotsigs, suffix, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_near_dedup": setsketch.op10_near_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 
