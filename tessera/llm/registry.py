@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, mixing, periodic, ppm, recompression, records, setsketch, spotsigs, suffix, toxicity
+from . import avi, bpe, divergence, mixing, packing, periodic, ppm, recompression, records, setsketch, spotsigs, suffix, toxicity
 
 QUERIES = {
     "op1_token_records": records.op1_token_records,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_near_dedup": setsketch.op10_near_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_packing": packing.op13_packing,
 }
 
 
@@ -24,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op12_source_divergence": divergence.SQL}
