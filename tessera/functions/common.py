@@ -70,7 +70,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def unstored(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ordered_sums(df: DataFrame, order: list, sums: dict) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from ..operators import models as M
@@ -10,8 +9,9 @@ from ..operators import neural as N
 from ..operators import panel as P
 from ..operators import recsys as R
 from ..operators import sessions as S
+from ..operators import training
 from ..sources.tables import sales_panel, table
-from .sessions import _knn, _warm
+from .sessions import _knn, _split, _warm
 
 
 def _window(s, d):
@@ -55,13 +55,34 @@ def _ann_recall(s, d):
     return M.search_recall(_ann(s, d), exact, "vec_id")
 
 
+def _neural(s, d):
+    """(training sequences, histories in order, catalogue) of one split."""
+    split, targets, _ = _warm(s, d)
+    histories = S.prefix_target(split.test, split.vocabulary).join(targets.select("session"), "session", "left_semi").select("session", F.col("prefix").alias("items"))
+    items = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"), F.pmod("itemid", F.lit(3)).alias("parent"))
+    return S.sequences(split.train, split.train.select("session").distinct()), histories, N.catalogue_of(split.train, items)
+
+
 def _two_tower(s, d):
-    split, _, hist = _warm(s, d)
-    histories = hist.groupBy("session").agg(F.array_sort(F.collect_list("itemid")).alias("items"))
-    cats = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
-    train = S.sequences(split.train, split.train.select("session").distinct())
-    return N.two_tower_top_k(train, histories, cats, 10)
+    return N.recommend(N.TwoTower(), *_neural(s, d), 10)
+
+
+def _sasrec(s, d):
+    return N.recommend(N.SASRec(), *_neural(s, d), 10)
+
+
+def _two_tower_cold(s, d):
+    """Sessions whose target isn't in the training vocabulary, ranked among all such targets by content alone."""
+    split = _split(s, d)
+    sequences, _, catalogue = _neural(s, d)
+    found = S.prefix_target(split.test, split.vocabulary).join(split.vocabulary.select(F.col("itemid").alias("target")), "target", "left_anti")
+    items = found.select(F.col("target").alias("itemid")).distinct()
+    items = items.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"), F.pmod("itemid", F.lit(3)).alias("parent"))
+    model = N.TwoTower(tower="content_only")
+    trained = training.fit(model, sequences, catalogue, 4, 4, 0.01)
+    histories = found.select("session", F.col("prefix").alias("items"))
+    return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
 
 
-QUERIES = {"two_tower_topk": _two_tower, "boosted_forecast": _boosted, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
+QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
 ORACLE: dict[str, str] = {}
