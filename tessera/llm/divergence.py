@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import ranges
 from .common import documents, pieces, staged, tidy, unstage, utf8
 from .flat import lower
 
@@ -43,7 +42,9 @@ SCALE = 1_000_000_000
 #: Terms of an automaton, about.
 BLOCK_TERMS = 60_000
 #: Bytes of words that an automaton reads in one group, about, and of one row of them.
-PORTION, ROW = 4 << 20, 128 << 10
+PORTION, ROW = 12 << 20, 128 << 10
+#: Rows of document frequencies that a task adds up before it gives them away, about.
+MERGED_ROWS = 1 << 20
 
 _TERM = np.ones(256, bool)
 _TERM[:128] = False
@@ -60,7 +61,8 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     offsets = np.zeros(len(start) + 1, np.int32)
     np.cumsum(end - start, out=offsets[1:])
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(lower(data[inside]))])
-    return np.searchsorted(ends, start, side="right"), words.dictionary_encode()
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    return np.repeat(np.arange(len(ends)), counts), words.dictionary_encode()
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -76,21 +78,36 @@ def prepared(docs: DataFrame) -> DataFrame:
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(lang, term, docs): in how many rows of the language the term occurs. Tasks count their batches before the shuffle."""
 
+    def merged(parts):
+        return pa.Table.from_batches(parts).group_by(["lang", "term"]).aggregate([("n", "sum")]).rename_columns(["lang", "term", "n"])
+
     def count(batches):
+        parts, held = [], 0
         for b in pieces(batches, "text"):
             row, words = _terms(b["text"])
+            if not len(words):
+                continue
             terms, (lang, langs) = words.dictionary, _codes(b["lang"])
-            key = np.unique(row * len(terms) + words.indices.to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
-            found, n = np.unique(lang[key // max(1, len(terms))] * len(terms) + key % max(1, len(terms)), return_counts=True)
-            made = [pa.array(langs, pa.string()).take(pa.array(found // max(1, len(terms)))), terms.take(pa.array(found % max(1, len(terms)))).cast(pa.string()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, ["lang", "term", "n"])
+            key = np.unique(row * len(terms) + words.indices.to_numpy(zero_copy_only=False))
+            found, n = np.unique(lang[key // len(terms)] * len(terms) + key % len(terms), return_counts=True)
+            made = [pa.array(langs, pa.string()).take(pa.array(found // len(terms))), terms.take(pa.array(found % len(terms))).cast(pa.string()), pa.array(n, pa.int64())]
+            parts.append(pa.RecordBatch.from_arrays(made, ["lang", "term", "n"]))
+            held += len(n)
+            if held > MERGED_ROWS:
+                parts = merged(parts).to_batches()
+                held = sum(map(len, parts))
+                if held > MERGED_ROWS // 2:
+                    yield from parts
+                    parts, held = [], 0
+        if parts:
+            yield from merged(parts).to_batches(max_chunksize=200_000)
 
     return rows.mapInArrow(tidy(count), "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("docs"))
 
 
 def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(lang, source, block, portion, words) of texts with their language's numbers of blocks and portions: the words of a
-    batch by language, source and block of their checksum, each after a blank and one blank at the end, in rows of about ROW bytes."""
+    batch by language, source and block of their checksum, joined by blanks, in rows of about ROW bytes."""
 
     def deal(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -104,25 +121,22 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
             block = np.array([crc32(t) for t in terms.to_pylist()], np.int64)[code] % n_blocks
             key = (lang[row] * len(sources) + source[row]) * (int(n_blocks.max()) + 1) + block
             size = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")  # 16 bits are sorted by radix
             key, code, row = key[order], code[order], row[order]
             ends = np.cumsum(size[code] + 1)
             cut = np.flatnonzero(np.diff(key, prepend=-1))
             # a new row at each new key, and within a key after every ROW bytes
             inside = (ends - np.repeat(ends[cut] - size[code[cut]] - 1, np.diff(cut, append=len(key)))) // ROW
             cut = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(inside, prepend=-1) != 0))
-            text = np.full(int(ends[-1]), 32, np.uint8)
-            flat = np.frombuffer(terms.buffers()[2], np.uint8)
-            at = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms)].astype(np.int64)
-            text[ranges(ends - size[code], size[code])] = flat[ranges(at[code], size[code])]
-            text, bounds = text.tobytes(), [0, *ends[cut[1:] - 1].tolist(), len(text)]
+            bounds = pa.array(np.append(cut, len(code)).astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(bounds, terms.take(pa.array(code))), b" ")
             r = row[cut]
             numbers = number + np.arange(len(cut))
             number += len(cut)
             portion = np.array([crc32(b"%d %d" % (part, k)) for k in numbers.tolist()], np.int64) % n_portions[order][cut]
             made = [
                 b["lang"].take(pa.array(r)), b["source"].take(pa.array(r)), pa.array((block[order])[cut], pa.int64()), pa.array(portion, pa.int64()),
-                pa.array([text[x:y].decode() + " " for x, y in zip(bounds, bounds[1:], strict=False)], pa.string()),
+                joined.cast(pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(made, ["lang", "source", "block", "portion", "words"])
 
@@ -149,7 +163,7 @@ def _recounted(key, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         for s, several in by_source.items():
             total = np.zeros(len(terms), np.int64)
             for words in several:
-                total += np.bincount(np.fromiter(map(itemgetter(1), machine.iter(words)), np.int64), minlength=len(terms))
+                total += np.bincount(np.fromiter(map(itemgetter(1), machine.iter(f" {words} ")), np.int64), minlength=len(terms))
             hit = np.flatnonzero(total)
             parts.append((hit, total[hit]))
             source += [s] * len(hit)
