@@ -210,18 +210,23 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     groups = groups.join(size, "lang", "left").join(per_group, key, "left").na.fill(0, ["v", "total", "here"])
     none = F.when(F.col("v") > 0, _share(zero, F.col("total"), F.col("v"))).otherwise(1)
     groups = staged(groups.withColumn("none", none), "audit-totals")
+    # a row for each term, with all sources that have it: pairs, steps and outstanding terms come from the same rows
     with_p = counts.join(groups.select(*key, "total", "v", "none"), key).withColumn("p", _share(F.col("n"), F.col("total"), F.col("v")))
-    with_p = staged(with_p.select(*key, "term", "p", "none"), "audit-postings")
+    by_term = with_p.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "none")).alias("all"))
+    langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
+    by_term = by_term.join(langs, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"), "all")
+    by_term = staged(by_term, "audit-terms")
+    each = by_term.select("lang", "term", "q", F.inline("all"))
 
     side = lambda df, s, *cols: df.select("lang", *[F.col(c).alias(c + s) for c in cols])
     # a: the group, b: the other source; values by distinct p, of which a group has far fewer than terms
-    steps = with_p.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("times"))
+    steps = each.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("times"))
     one = side(steps, "_a", "source", "p", "times").join(side(groups, "_b", "source", "none"), "lang").filter("source_a != source_b")
     one = one.select("lang", "source_a", "source_b", (F.col("times_a") * f("p_a", "none_b")).alias("value"))
     two = side(steps, "_b", "source", "p", "times").join(side(groups, "_a", "source", "none"), "lang").filter("source_a != source_b")
     two = two.select("lang", "source_a", "source_b", (F.col("times_b") * f("none_a", "p_b")).alias("value"))
-    both = side(with_p, "_a", "source", "term", "p", "none").withColumnRenamed("term_a", "term")
-    both = both.join(side(with_p, "_b", "source", "term", "p", "none").withColumnRenamed("term_b", "term"), ["lang", "term"]).filter("source_a != source_b")
+    both = by_term.select("lang", "all", F.explode("all").alias("a")).select("lang", "a", F.explode("all").alias("b"))
+    both = both.select("lang", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("source", "p", "none")]).filter("source_a != source_b")
     both = both.select("lang", "source_a", "source_b", (f("p_a", "p_b") - f("p_a", "none_b") - f("none_a", "p_b") + f("none_a", "none_b")).alias("value"))
     rest = side(groups, "_a", "source", "none", "here", "v").join(side(groups, "_b", "source", "none", "here"), "lang").filter("source_a != source_b")
     rest = rest.select("lang", "source_a", "source_b", ((F.col("v_a") - F.col("here_a") - F.col("here_b")) * f("none_a", "none_b")).alias("value"))
@@ -230,10 +235,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     pairs = summed[0].unionByName(summed[1]).unionByName(summed[2]).unionByName(rest).groupBy("lang", "source_a", "source_b").agg(F.sum("value").alias("value"))
     pairs = pairs.select("lang", F.col("source_a").alias("source"), F.lit("pair").alias("part"), F.col("source_b").alias("item"), "value")
 
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    whole = whole.join(langs, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
-    terms = with_p.join(whole, ["lang", "term"]).filter("p > q")
+    terms = each.filter("p > q")
     terms = terms.select(*key, F.lit("term").alias("part"), F.col("term").alias("item"), f("p", "q").alias("value"))
 
     w = W.partitionBy(*key).orderBy(F.col("value").desc(), "item")
