@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import numbered, ordered_sums, with_totals
+from ..functions.common import hash01, numbered, ordered_sums, stored, with_totals
 
 CONTROL = "control"
 _NORMAL = NormalDist()
@@ -190,3 +190,37 @@ def uplift_scores(df: DataFrame, features: list[str], learner: str = "t") -> Dat
     t0 = linear_learner(zero.withColumn("d", predict(m1, features) - F.col("y")), features, "d")
     g = one.count() / max(df.count(), 1)
     return df.withColumn("score", g * predict(t0, features) + (1 - g) * predict(t1, features))
+
+
+def boosted_uplift(df: DataFrame, features: list[str], learner: str = "x", kind: str = "l2", folds: int = 3, key: str = "unit", seed: int = 0, **settings) -> DataFrame:
+    """``df`` (``key``, t, y, features) with ``score``: an S, T or X learner over boosted trees. A unit's score comes from models that
+    didn't see its fold, and the models of all folds and arms grow in the same jobs. ``kind``: logistic for outcomes of 0 and 1,
+    or l2. Effects that the X learner imputes are always fitted by l2; the share of treated units blends them."""
+    from . import trees
+    from .trees import Objective
+
+    if learner not in ("s", "t", "x"):
+        raise ValueError(f"no such learner: {learner}")
+    settings = {"rounds": 20, "depth": 3, "rate": 0.15} | settings
+    fold = (hash01(F.lit(seed), key) * folds).cast("int")
+    rows = df.withColumn("__fold", fold)
+    named = [(k, a) for k in range(folds) for a in ((0, 1) if learner != "s" else (None,))]
+    weights = {f"__w{k}_{a}": ((F.col("__fold") != k) & (F.lit(True) if a is None else F.col("t") == a)).cast("double") for k, a in named}
+    own = lambda prefix, a: F.element_at(F.array(*[F.col(f"{prefix}{k}_{a}") for k in range(folds)]), F.col("__fold") + 1)
+    rows = stored(rows.withColumns(weights), "uplift-rows")
+    objectives = [Objective(kind, "y", f"__w{k}_{a}") for k, a in named]
+    names = [f"__p{k}_{a}" for k, a in named]
+    if learner == "s":
+        model = trees.fit(rows, [*features, "t"], objectives, **settings)
+        one = model.predict(rows.withColumn("__t", F.col("t")).withColumn("t", F.lit(1)), names).withColumn("__one", own("__p", None)).drop(*names)
+        both = model.predict(one.withColumn("t", F.lit(0)), names)
+        return both.withColumn("score", F.col("__one") - own("__p", None)).withColumn("t", F.col("__t")).select(*df.columns, "score")
+    rows = trees.fit(rows, features, objectives, **settings).predict(rows, names)
+    rows = rows.withColumn("__m0", own("__p", 0)).withColumn("__m1", own("__p", 1)).drop(*names)
+    if learner == "t":
+        return rows.select(*df.columns, (F.col("__m1") - F.col("__m0")).alias("score"))
+    # effects that weren't seen: what a treated unit gained over its untreated model, and the other way round
+    rows = stored(rows.withColumn("__d", F.when(F.col("t") == 1, F.col("y") - F.col("__m0")).otherwise(F.col("__m1") - F.col("y"))), "uplift-effects")
+    share = rows.agg(F.avg(F.col("t").cast("double"))).first()[0] or 0.0
+    second = trees.fit(rows, features, [Objective("l2", "__d", f"__w{k}_{a}") for k, a in named], **settings).predict(rows, names)
+    return second.withColumn("score", share * own("__p", 0) + (1 - share) * own("__p", 1)).select(*df.columns, "score")

@@ -10,27 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import panel
-
-FORECAST_FEATURES = [*[f"lag_{n}" for n in panel.LAGS[:6]], "mean_7", "mean_28", "mean_91", "std_28", "zero_share_28", "promo", "weekday", "month"]
-
-
-def boosted_forecast(long: DataFrame, train_end, test_end, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """(date, sku, y_true, y_pred): one boosted-tree model over all series on features whose lags are at least the
-    horizon, fitted on rows up to ``train_end`` and applied up to ``test_end``. ValueError if the horizon is longer than
-    the base lag."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = panel.features(long, parity=False).withColumn("weekday", F.weekday("date")).withColumn("month", F.month("date"))
-    rows = rows.dropna(subset=FORECAST_FEATURES).withColumn("label", F.log1p("qty"))
-    horizon = rows.filter((F.col("date") > F.lit(train_end)) & (F.col("date") <= F.lit(test_end))).select("date").distinct().count()
+from . import panel, trees
+from .trees import Objective
+
+FORECAST_FEATURES = [
+    *[f"lag_{n}" for n in panel.LAGS], *[f"mean_{n}" for n in panel.WINDOWS], "std_28", "zero_share_28", "promo", "promo_lag1", "promo_lead1", "promo_next7",
+    "weekday", "month", "day", "week", "weekend", "holiday", "holiday_eve", "sku", "brand",
+]
+
+
+def boosted_forecast(long: DataFrame, train_end, test_end, objective: str = "tweedie", quantiles=(0.1, 0.5, 0.9), rounds: int = 40, depth: int = 4, **settings) -> DataFrame:
+    """(date, sku, y_true, y_pred, y_q10, ...): boosted trees over all series for the mean (``objective``: tweedie, poisson or
+    l2) and for each quantile, grown side by side. Features of sales are at least the base lag old; ValueError if the test
+    days are more than that. The last days of training, as many as the base lag, decide when each model stops. Predictions
+    aren't negative, and a row's quantiles are sorted, so they don't cross."""
+    if objective not in ("tweedie", "poisson", "l2"):
+        raise ValueError(f"no such forecast objective: {objective}")
+    rows = panel.features(long, parity=False).join(panel.calendar(long.select("date").distinct()), "date")
+    rows = rows.join(long.select("sku", "brand").distinct(), "sku") if "brand" in long.columns else rows.withColumn("brand", F.lit(None).cast("string"))
+    rows = rows.filter(F.col("lag_28").isNotNull()).withColumn("qty", F.col("qty").cast("double"))
+    test = rows.filter((F.col("date") > F.lit(train_end)) & (F.col("date") <= F.lit(test_end)))
+    horizon = test.select("date").distinct().count()
     if horizon > panel.BASE_LAG:
         raise ValueError(f"a horizon of {horizon} days needs values that aren't known yet")
-    data = VectorAssembler(inputCols=FORECAST_FEATURES, outputCol="features").transform(rows)
-    model = GBTRegressor(maxIter=rounds, maxDepth=5, seed=seed).fit(data.filter(F.col("date") <= F.lit(train_end)))
-    test = model.transform(data.filter((F.col("date") > F.lit(train_end)) & (F.col("date") <= F.lit(test_end))))
-    return test.select("date", "sku", F.col("qty").alias("y_true"), F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("y_pred"))
+    past = rows.filter(F.col("date") <= F.lit(train_end))
+    last = past.select("date").distinct().orderBy(F.desc("date")).limit(panel.BASE_LAG).agg(F.min("date")).first()[0]
+    past = past.withColumn("__valid", F.col("date") >= F.lit(last))
+    objectives = [Objective(objective, "qty"), *[Objective("quantile", "qty", alpha=q) for q in quantiles]]
+    names = ["y_pred", *[f"y_q{round(100 * q)}" for q in quantiles]]
+    model = trees.fit(past, FORECAST_FEATURES, objectives, rounds, depth, categorical=["sku", "brand"], valid="__valid", **settings)
+    made = model.predict(test.select("date", "sku", "brand", F.col("qty").alias("y_true"), *[c for c in FORECAST_FEATURES if c not in ("sku", "brand")]), names)
+    made = made.select("date", "sku", "y_true", *[F.greatest(c, F.lit(0.0)).alias(c) for c in names])
+    return panel.rearranged(made, [f"y_q{round(100 * q)}" for q in sorted(quantiles)]) if len(quantiles) > 1 else made
 
 
 def autoregression(long: DataFrame, train_end, test_end, orders=((1,), (1, 7), (1, 2, 7, 14))) -> DataFrame:
@@ -82,6 +93,33 @@ def reranked(model, frame: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def tree_rerankers(frame: DataFrame, features: list[str], kinds=("logistic", "lambdarank"), rounds: int = 20, depth: int = 4, **settings) -> trees.Boosted:
+    """Boosted rerankers of candidates (session, features, label), grown side by side: the pointwise one gives probabilities, the
+    pairwise one scores that only order the candidates of a session."""
+    return trees.fit(frame, features, [Objective(k) for k in kinds], rounds, depth, group="session", **settings)
+
+
+def reranked_by_trees(model: trees.Boosted, frame: DataFrame, k: int) -> dict[str, DataFrame]:
+    """For each objective its (session, itemid, score, rank), ties by smaller item."""
+    names = [f"__{o.kind}" for o in model.objectives]
+    scored = model.predict(frame.select("session", "itemid", *model.features), names)
+    out = {}
+    for o, name in zip(model.objectives, names, strict=True):
+        rows = scored.select("session", "itemid", F.round(name, 9).alias("score"))
+        w = W.partitionBy("session").orderBy(F.desc("score"), "itemid")
+        out[o.kind] = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out
+
+
+def per_session(ranked: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(session, hit, ndcg, mrr) at ``k`` of each session of ``targets`` (session, target), 0 where the target isn't ranked so
+    high: rows of two orderings of the same candidates are paired by session."""
+    hit = targets.join(ranked.select("session", F.col("itemid").alias("target"), "rank"), ["session", "target"], "left")
+    inside = F.coalesce(F.col("rank") <= k, F.lit(False))
+    value = lambda x: F.when(inside, x).otherwise(F.lit(0.0))
+    return hit.select("session", value(F.lit(1.0)).alias("hit"), value(1 / F.log2(F.col("rank") + 1)).alias("ndcg"), value(1 / F.col("rank")).alias("mrr"))
+
+
 def sampled_frame(candidates: DataFrame, targets: DataFrame, negatives: int, seed: int = 0) -> DataFrame:
     """Candidates with ``label`` (the session's target); all positives and ``negatives`` others a session, by a hash."""
     from ..functions.common import hash01

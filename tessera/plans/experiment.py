@@ -69,6 +69,11 @@ def _uplift(s, d):
     return X.uplift_scores(u, ["acctbal", "nation"], "x").select("unit", "score")
 
 
+def _uplift_boosted(s, d):
+    u = X.two_arm(experiment_units(s, d), "arm_a").select("unit", "t", F.col("visit").cast("double").alias("y"), "acctbal", "nation")
+    return X.boosted_uplift(u, ["acctbal", "nation"], "x", "logistic").select("unit", "score")
+
+
 def _lin(s, d):
     r = X.lin_adjustment(experiment_units(s, d), "spend", ["acctbal", "nation"], "arm_a")
     return s.createDataFrame([(r["effect"], r["se"], r["n"])], "effect double, se double, n long")
@@ -84,6 +89,7 @@ QUERIES = {
     "cuped": lambda s, d: _r(X.cuped(experiment_units(s, d), "spend", "acctbal", "arm_a"), "theta", "effect", "se", "raw_effect", "raw_se", "variance_reduction"),
     "lin_ols": _lin,
     "uplift_scores": _uplift,
+    "uplift_boosted": _uplift_boosted,
     "uplift_deciles": lambda s, d: _r(X.deciles(_scored(s, d)), "uplift", "se"),
     "qini_curve": lambda s, d: _r(X.qini_curve(_scored(s, d)), "q"),
     "qini_coefficient": lambda s, d: _r(X.qini_coefficient(_scored(s, d)), "area", "perfect", "qini"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import stored
 from ..operators import models as M
 from ..operators import neural as N
 from ..operators import panel as P
@@ -42,6 +43,36 @@ def _two_stage(s, d):
     return one.unionByName(R.rank_metrics(after, targets, (10, 20)).withColumn("model", F.lit("two_stage")))
 
 
+def _rerankers(s, d):
+    """(retrieval, orderings by both tree rerankers, targets) of one split's warm sessions."""
+    split, targets, hist = _warm(s, d)
+    candidates = stored(R.recommend(hist, _knn(split), 50), "candidates")
+    cats = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
+    frame = stored(R.ranker_features(candidates, hist, R.popularity(split.train), cats), "ranker-frame")
+    model = M.tree_rerankers(M.sampled_frame(frame, targets, 20), FEATURES)
+    return candidates, M.reranked_by_trees(model, frame, 20), targets
+
+
+def _two_stage_trees(s, d):
+    candidates, made, targets = _rerankers(s, d)
+    out = R.rank_metrics(candidates, targets, (10, 20)).withColumn("model", F.lit("retrieval"))
+    for name, ranked in made.items():
+        out = out.unionByName(R.rank_metrics(ranked, targets, (10, 20)).withColumn("model", F.lit(name)))
+    return out
+
+
+def _rerank_difference(s, d):
+    """(metric, mean, lo, hi, resolved): pairwise less pointwise, paired by session."""
+    _, made, targets = _rerankers(s, d)
+    one, two = (stored(M.per_session(made[k], targets, 10), k) for k in ("lambdarank", "logistic"))
+    out = [R.paired_bootstrap(one, two, m, "session").withColumn("metric", F.lit(m)) for m in ("hit", "ndcg", "mrr")]
+    return out[0].union(out[1]).union(out[2])
+
+
+def _forecast_quantiles(s, d):
+    return P.pinball(_boosted(s, d), {"y_q10": 0.1, "y_q50": 0.5, "y_q90": 0.9})
+
+
 def _ann(s, d):
     e = table(s, d, "embeddings")
     return M.approximate_top_k(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10)
@@ -84,5 +115,5 @@ def _two_tower_cold(s, d):
     return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
 
 
-QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
+QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
 ORACLE: dict[str, str] = {}
