@@ -3,7 +3,7 @@
 Terms are runs of ASCII letters and characters beyond ASCII, A-Z lower-cased. Two passes over the texts: the first finds
 exact document frequencies, and a language keeps the terms of at least MIN_DOCS of its documents. The second recounts
 the kept terms by Aho-Corasick automata over terms that are padded with a blank on both sides. A vocabulary grows with
-the corpus, so it is cut into blocks of about BLOCK_TERMS terms by a checksum; the words of the texts, put together by
+the corpus, so it is cut into blocks of about BLOCK_TERMS terms by a hash; the words of the texts, put together by
 (language, source, block), go to the automaton of their block, in portions of about PORTION bytes, so that a frequent
 language, source or word is spread over as many tasks as its text needs. No vocabulary is broadcast or collected.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, pieces, staged, tidy, unstage, utf8
-from .flat import lower
+from .flat import hash_spans, lower
 
 #: A term is kept from so many documents of its language.
 MIN_DOCS = 3
@@ -65,6 +65,13 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return np.repeat(np.arange(len(ends)), counts), words.dictionary_encode()
 
 
+def _number(terms: pa.Array) -> np.ndarray:
+    """A hash of each term, of 63 bits, that deals the terms out to blocks."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return (hash_spans(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]) >> np.uint64(1)).astype(np.int64)
+
+
 def _codes(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     made = column.dictionary_encode()
     return made.indices.to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary.to_pylist()
@@ -88,7 +95,8 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
             if not len(words):
                 continue
             terms, (lang, langs) = words.dictionary, _codes(b["lang"])
-            key = np.unique(row * len(terms) + words.indices.to_numpy(zero_copy_only=False))
+            key = np.sort(row * len(terms) + words.indices.to_numpy(zero_copy_only=False))
+            key = key[np.diff(key, prepend=-1) != 0]  # a term once a row
             found, n = np.unique(lang[key // len(terms)] * len(terms) + key % len(terms), return_counts=True)
             made = [pa.array(langs, pa.string()).take(pa.array(found // len(terms))), terms.take(pa.array(found % len(terms))).cast(pa.string()), pa.array(n, pa.int64())]
             parts.append(pa.RecordBatch.from_arrays(made, ["lang", "term", "n"]))
@@ -107,7 +115,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(lang, source, block, portion, words) of texts with their language's numbers of blocks and portions: the words of a
-    batch by language, source and block of their checksum, joined by blanks, in rows of about ROW bytes."""
+    batch by language, source and block of their hash, joined by blanks, in rows of about ROW bytes."""
 
     def deal(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -118,7 +126,7 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
             terms, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             (lang, langs), (source, sources) = _codes(b["lang"]), _codes(b["source"])
             n_blocks, n_portions = (b[c].to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("blocks", "portions"))
-            block = np.array([crc32(t) for t in terms.to_pylist()], np.int64)[code] % n_blocks
+            block = _number(terms)[code] % n_blocks
             key = (lang[row] * len(sources) + source[row]) * (int(n_blocks.max()) + 1) + block
             size = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")  # 16 bits are sorted by radix
@@ -143,6 +151,12 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(blocks, "lang").select("lang", "source", "text", "blocks", "portions").mapInArrow(tidy(deal), "lang string, source string, block long, portion long, words string")
 
 
+def _with_block(batches):
+    for b in batches:
+        block = pa.array(_number(b["term"].cast(pa.binary())) % b["blocks"].to_numpy())
+        yield pa.RecordBatch.from_arrays([b["lang"], b["term"], b["portions"], block], ["lang", "term", "portions", "block"])
+
+
 def _recounted(key, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
     """Occurrences of one block's kept terms in one portion of words, by source. Padded terms overlap in their blanks, and the
     automaton finds overlapping matches."""
@@ -184,7 +198,7 @@ def postings(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Data
     blocks = groups.groupBy("lang").agg(F.sum("bytes").alias("bytes")).join(vocabulary, "lang")
     blocks = blocks.withColumn("blocks", F.ceil(F.col("v") / BLOCK_TERMS)).withColumn("portions", F.ceil(F.col("bytes") / F.col("blocks") / PORTION)).drop("bytes", "v")
     blocks = staged(blocks, "audit-blocks")
-    terms = kept.join(blocks, "lang").withColumn("block", F.crc32(F.col("term").cast("binary")) % F.col("blocks"))
+    terms = kept.join(blocks, "lang").mapInArrow(_with_block, "lang string, term string, portions long, block long")
     terms = terms.groupBy("lang", "block", "portions").agg(F.collect_list("term").alias("terms"))
     terms = terms.withColumn("portion", F.explode(F.expr("sequence(0L, portions - 1)"))).select("lang", "block", "portion", "terms")
     by = ["lang", "block", "portion"]
