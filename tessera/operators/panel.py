@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,35 +147,3 @@ def select_series(long: DataFrame, n: int = 8, most_zero: float = 0.1) -> DataFr
     """(sku, mean, zero_share): the n largest series by mean with few zero days."""
     s = long.groupBy("sku").agg(F.avg("qty").alias("mean"), F.avg((F.col("qty") == 0).cast("double")).alias("zero_share"))
     return s.filter(F.col("zero_share") <= most_zero).orderBy(F.desc("mean"), "sku").limit(n)
-
-
-def poisson_effect(long: DataFrame, rounds: int = 30) -> DataFrame:
-    """(beta, se, lift_pct, clusters): promo effect by Poisson pseudo-maximum likelihood with series, weekday and month
-    effects, its error clustered by series. Rows are first summed to cells of equal regressors (series x 7 x 12 x 2 at
-    most), which one task fits by Newton steps."""
-    cells = long.groupBy("sku", F.weekday("date").alias("wd"), F.month("date").alias("mo"), "promo").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
-
-    def fit(batches):
-        c = pd.concat(list(batches))
-        if not len(c):
-            return
-        names = [("sku", sorted(c["sku"].unique())[1:]), ("wd", range(1, 7)), ("mo", range(2, 13))]
-        x = np.column_stack([np.ones(len(c)), c["promo"].to_numpy(float), *[(c[k] == v).to_numpy(float) for k, vs in names for v in vs]])
-        x = x[:, [0, 1, *[k for k in range(2, x.shape[1]) if x[:, k].any()]]]
-        y, n = c["q"].to_numpy(float), c["n"].to_numpy(float)
-        beta = np.zeros(x.shape[1])
-        beta[0] = np.log(max(y.sum() / n.sum(), 1e-9))
-        for _ in range(rounds):
-            mu = n * np.exp(x @ beta)
-            step = np.linalg.lstsq((x * mu[:, None]).T @ x, x.T @ (y - mu), rcond=None)[0]
-            beta += step
-            if abs(step).max() < 1e-10:
-                break
-        mu = n * np.exp(x @ beta)
-        bread = np.linalg.pinv((x * mu[:, None]).T @ x)
-        score = np.stack([(x * (y - mu)[:, None])[(c["sku"] == s).to_numpy()].sum(0) for s in sorted(c["sku"].unique())])
-        g = len(score)
-        cov = bread @ (score.T @ score) @ bread * g / max(g - 1, 1)
-        yield pd.DataFrame({"beta": [beta[1]], "se": [np.sqrt(max(cov[1, 1], 0))], "lift_pct": [100 * np.expm1(beta[1])], "clusters": [g]})
-
-    return cells.repartition(1).mapInPandas(fit, "beta double, se double, lift_pct double, clusters long")

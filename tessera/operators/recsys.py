@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.common import hash01, numbered, ordered_sums, small, stored, top_k, with_totals
+from . import blocks
 
 
 def popularity(pairs: DataFrame) -> DataFrame:
@@ -185,36 +186,36 @@ def spearman(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.join(mean_ranks("x", "rx"), "x").join(mean_ranks("y", "ry"), "y").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
-#: EASE inverts a dense matrix of items x items; larger catalogues are refused.
-EASE_MOST_GB = 4.0
-
-
 def ease_memory_gb(n_items: int) -> float:
     return n_items * n_items * 8 / 1e9
 
 
-def ease(pairs: DataFrame, reg: float = 500.0) -> DataFrame:
-    """(itemid, neighbour, similarity): B = -P / diag(P), P = (X'X + reg I)^-1, zero diagonal. The Gram matrix is a
-    self-join; one task inverts it if n^2 * 8 bytes are at most EASE_MOST_GB, else ValueError."""
-    rows = pairs.select("session", "itemid").distinct()
-    n = rows.select("itemid").distinct().count()
-    if ease_memory_gb(n) > EASE_MOST_GB:
-        raise ValueError(f"EASE over {n} items needs {ease_memory_gb(n):.1f} GB")
-    gram = rows.join(rows.select("session", F.col("itemid").alias("j")), "session").groupBy("itemid", "j").agg(F.count(F.lit(1)).alias("n"))
-
-    def invert(batches):
-        g0 = pd.concat(list(batches))
-        items = np.sort(g0["itemid"].unique())
-        g = np.zeros((len(items), len(items)))
-        g[np.searchsorted(items, g0["itemid"]), np.searchsorted(items, g0["j"])] = g0["n"]
-        p = np.linalg.inv(g + reg * np.eye(len(items)))
-        b = -p / np.diag(p)
-        np.fill_diagonal(b, 0)
-        for lo in range(0, len(items), 500):
-            i, j = np.nonzero(b[lo : lo + 500])
-            yield pd.DataFrame({"itemid": items[lo + i], "neighbour": items[j], "similarity": b[lo + i, j]})
+def ease(pairs: DataFrame, reg: float = 500.0, size: int = blocks.SIZE) -> DataFrame:
+    """(itemid, neighbour, similarity): B = -P / diag(P), P = (X'X + reg I)^-1, zero diagonal. The Gram matrix is counted by pairs
+    of a session's items and inverted in blocks of ``size`` items, so no task holds it, however large the catalogue."""
+    rows = stored(pairs.select("session", "itemid").distinct(), "ease-rows")
+    items = stored(numbered(rows.select("itemid").distinct(), [F.col("itemid")], "n").select("itemid", (F.col("n") - 1).alias("n")), "ease-items")
+    n = items.count()
+    numbers = lambda a, b: items.select(F.col("itemid").alias(a), F.col("n").alias(b))
+    both = item_pairs(rows).groupBy("itemid", "neighbour").agg(F.count(F.lit(1)).alias("value"))
+    both = both.join(numbers("itemid", "r"), "itemid").join(numbers("neighbour", "c"), "neighbour").select("r", "c", "value")
+    own = rows.groupBy("itemid").agg(F.count(F.lit(1)).alias("value")).join(numbers("itemid", "r"), "itemid").select("r", F.col("r").alias("c"), "value")
+    p = blocks.inverse(blocks.symmetric(both.union(own), n, reg, size), n, size)
+    names = items.groupBy(F.floor(F.col("n") / size).cast("int").alias("i")).agg(F.array_sort(F.collect_list("itemid")).alias("items"))
+    diagonal = p.filter("i = j").select("j", F.col("block").alias("own"))
+    whole = p.join(names, "i").join(names.select(F.col("i").alias("j"), F.col("items").alias("others")), "j").join(diagonal, "j")
+
+    def rows_of(batches):
+        for b in batches:
+            for i, j, block, items_, others, own_ in zip(*(b[c] for c in ("i", "j", "block", "items", "others", "own")), strict=True):
+                a, d = (np.frombuffer(x).reshape(size, size) for x in (block, own_))
+                made = (-a / np.diag(d))[: len(items_), : len(others)]
+                if i == j:
+                    np.fill_diagonal(made, 0)
+                r, c = np.nonzero(made)
+                yield pd.DataFrame({"itemid": np.array(items_)[r], "neighbour": np.array(others)[c], "similarity": made[r, c]})
 
-    return gram.repartition(1).mapInPandas(invert, "itemid long, neighbour long, similarity double")
+    return whole.mapInPandas(rows_of, "itemid long, neighbour long, similarity double")
 
 
 def als_factors(pairs: DataFrame, factors: int = 16, reg: float = 0.1, alpha: float = 40.0, iterations: int = 8, seed: int = 0):
@@ -228,26 +229,37 @@ def als_factors(pairs: DataFrame, factors: int = 16, reg: float = 0.1, alpha: fl
 
 
 def fold_in(histories: DataFrame, factors: DataFrame, alpha: float = 40.0, reg: float = 0.1) -> DataFrame:
-    """(session, u): solves (Y'Y + alpha Ys'Ys + reg I) u = (1 + alpha) sum Ys for each session; without known items u
-    is zero. Item factors are broadcast to the tasks after their number is checked."""
-    rows = factors.orderBy("itemid").collect() if factors.count() <= 1_000_000 else None
-    if rows is None:
-        raise ValueError("too many items to broadcast their factors")
-    items, y = np.array([r["itemid"] for r in rows]), np.array([r["y"] for r in rows], float)
-    gram = y.T @ y
+    """(session, u): solves (Y'Y + alpha Ys'Ys + reg I) u = (1 + alpha) sum Ys for each session; without known items u is zero.
+    A session's items meet their factors by a join and come to its task one after another, which keeps a sum of products only."""
+    width = factors.select(F.size("y").alias("d")).first()
+    d = width["d"] if width else 0
+
+    def products(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            y = np.array([list(x) for x in b["y"]], float).reshape(-1, d)
+            total += y.T @ y
+        yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+    gram = sum((np.array(r["g"]) for r in factors.select("y").mapInPandas(products, "g array<double>").collect()), np.zeros(d * d)).reshape(d, d)
+    rows = histories.select("session", "itemid").distinct().join(factors, "itemid", "left").select("session", "y")
 
     def solve(batches):
+        now, left, right = None, None, None
+        answer = lambda: (now, np.linalg.solve(gram + reg * np.eye(d) + alpha * left, (1 + alpha) * right).tolist())
         for b in batches:
             out = []
-            for history in b["items"]:
-                at = np.searchsorted(items, history)
-                ok = [k for k, x in zip(at, history, strict=True) if k < len(items) and items[k] == x]
-                ys = y[ok]
-                out.append(np.linalg.solve(gram + alpha * ys.T @ ys + reg * np.eye(y.shape[1]), (1 + alpha) * ys.sum(0)).tolist() if ok else [0.0] * y.shape[1])
-            yield pd.DataFrame({"session": b["session"], "u": out})
-
-    lists = histories.groupBy("session").agg(F.array_sort(F.collect_set("itemid")).alias("items"))
-    return lists.mapInPandas(solve, "session long, u array<double>")
+            for session, y in zip(b["session"], b["y"], strict=True):
+                if session != now:
+                    out += [answer()] if now is not None else []
+                    now, left, right = session, np.zeros((d, d)), np.zeros(d)
+                if y is not None:
+                    y = np.array(y, float)
+                    left, right = left + np.outer(y, y), right + y
+            yield pd.DataFrame(out, columns=["session", "u"])
+        yield pd.DataFrame([answer()] if now is not None else [], columns=["session", "u"])
+
+    return rows.repartition("session").sortWithinPartitions("session").mapInPandas(solve, "session long, u array<double>")
 
 
 def _draw(h: np.ndarray, value: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import experiment as X
 from ..operators import panel as P
+from ..operators import promo
 from ..sources.tables import experiment_units, sales_panel
 
 ARMS, OUTCOMES = ["arm_a", "arm_b"], ["visit", "conversion", "spend"]
@@ -106,7 +107,9 @@ QUERIES = {
     "pinball": lambda s, d: _r(P.pinball(_quantiles(s, d).dropna(), {"y_q10": 0.1, "y_q50": 0.5, "y_q90": 0.9}), "pinball", "below"),
     "interval_coverage": lambda s, d: _r(P.coverage(_quantiles(s, d).dropna(), "y_q10", "y_q90"), "coverage"),
     "select_skus": lambda s, d: _r(P.select_series(sales_panel(s, d)), "mean", "zero_share"),
-    "ppml": lambda s, d: P.poisson_effect(sales_panel(s, d)),
+    "ppml": lambda s, d: promo.lift(sales_panel(s, d)),
+    "promo_lift_ols": lambda s, d: promo.lift(sales_panel(s, d), estimator="ols"),
+    "promo_lift_by_brand": lambda s, d: promo.lift(sales_panel(s, d), by="brand"),
 }
 
 _F = "feat AS (SELECT *, lag(qty, 28) OVER w AS base, row_number() OVER w AS r FROM p WINDOW w AS (PARTITION BY sku ORDER BY date))"
