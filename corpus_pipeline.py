@@ -6,7 +6,8 @@ depends on the executors that made the one before. SQL can't express the trained
 ORACLE_SQL is None; tests/llm/test_pipeline.py holds the stages against brute force.
 
 Defined results, for every stage: null texts pass as they are, but for the mix, which takes none of them, as they have no
-words; null doc_ids are documents of their own; rows that occur again are handled alike, and near-dedup keeps one of them;
+words; null doc_ids are documents of their own; rows that share a doc_id are told apart by their texts; rows that occur again
+are handled alike, and near-dedup keeps one of them;
 empty tables stay empty; very long texts are handled whole; further columns of any name pass through (encode returns
 those it names).
 """
@@ -14,6 +15,7 @@ those it names).
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, setsketch, suffix, toxicity
@@ -36,20 +38,47 @@ def drop_toxic(spark, docs, sf_dir):
     return scored.filter(F.col("score") < TOXIC_FROM).drop("score").toDF(*docs.columns)
 
 
-def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of near copies (similarity NEAR_PERCENT and more) the document with the smallest doc_id; of rows that share a doc_id, the one with
-    the smallest text (null first). Rows with a null doc_id and texts without words link with nothing."""
-    found = setsketch.near_components(docs, percent=NEAR_PERCENT)
-    gone = staged(found.filter("doc_id != component_id").select("doc_id").distinct(), "pipeline-gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # few doc_ids occur again; only their rows are grouped, and partly so before the shuffle
-    again = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "pipeline-again")
+def distinct_ids(docs):
+    """``docs`` (doc_id, text, ...) with ``sid``, which tells rows apart by doc_id and text. It is the doc_id, but where a doc_id
+    occurs with several texts, all texts but one (that with the least hash) get numbers beyond the largest doc_id, or below the
+    smallest where there is no room. Rows of null doc_ids have none. Also the doc_ids that occur again, or None."""
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = staged(again.filter("n > 1").select("doc_id"), "pipeline-again")
     if again.isEmpty():
-        return left
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    place = F.struct(F.col("text"), *[F.col(c).cast("string") for c in ("lang", "source", "n_chars") if c in docs.columns])
-    one = left.join(again, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(F.min_by(row, place).alias("row")).select("row.*")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return docs.withColumn("sid", F.col("doc_id")), None
+    # few doc_ids occur again; only their keys are numbered, by range, so that no task has all rows of one
+    key = ["doc_id", "t1", "t2"]
+    hashed = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    pairs = staged(hashed.join(again, "doc_id", "left_semi").select(*key).distinct(), "pipeline-pairs")
+    first = pairs.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("f")).select("doc_id", "f.t1", "f.t2")
+    others = pairs.join(first, key, "left_anti").repartitionByRange(*key).withColumn("part", F.spark_partition_id())
+    others = staged(others, "pipeline-others")
+    starts = others.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n"))
+    number = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(*key))
+    lo, hi, n = (*docs.agg(F.min("doc_id"), F.max("doc_id")).first(), others.count())
+    named = F.lit(hi) + number if hi + n < 1 << 63 else F.lit(lo) - number
+    numbered = staged(others.join(F.broadcast(starts.select("part", "before")), "part").select(*key, named.alias("own")), "pipeline-numbers")
+    return hashed.join(numbered, key, "left").withColumn("sid", F.coalesce("own", "doc_id")).drop("t1", "t2", "own"), again
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Of each group of near copies (similarity NEAR_PERCENT and more) one row: that with the smallest doc_id, where the further
+    texts of a doc_id that has several come after all doc_ids. Rows are known by doc_id and text, so rows that share a doc_id
+    and aren't near copies stay, and rows that are equal in both are one. Rows with a null doc_id and texts without words link
+    with nothing."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column's name can clash with those used here
+    at = [names[docs.columns.index(c)] for c in ("doc_id", "text")]
+    wide, again = distinct_ids(docs.toDF(*names).withColumnsRenamed(dict(zip(at, ("doc_id", "text"), strict=True))))
+    names = [{at[0]: "doc_id", at[1]: "text"}.get(c, c) for c in names]
+    found = setsketch.near_components(wide.select(F.col("sid").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = staged(found.filter("doc_id != component_id").select(F.col("doc_id").alias("sid")).distinct(), "pipeline-gone")
+    left = wide.join(gone, "sid", "left_anti")
+    if again is None:
+        return left.select(*names).toDF(*docs.columns)
+    rest = [c for c, kind in docs.toDF(*names).dtypes if c not in ("doc_id", "text") and kind in ("string", "int", "bigint", "double", "float", "boolean", "date")]
+    one = left.join(again, "doc_id", "left_semi").groupBy("sid").agg(F.min_by(F.struct(*names), F.struct(F.lit(0), *rest)).alias("row")).select("row.*")
+    once = left.join(again, "doc_id", "left_anti").select(*names)
+    return once.unionByName(one).toDF(*docs.columns)
 
 
 def drop_repeated_passages(spark, docs, sf_dir):
