@@ -1,6 +1,7 @@
 """The corpus pipeline's stages, each on its own input, against brute force."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
@@ -66,14 +67,62 @@ def odd_rows():
         (rows[20][0], "another text for this id " * 9, "en", None, 0), (500, long, None, "s2", None), (501, None, "en", "s0", 0)]
 
 
+def brute_near(rows):
+    """Groups of near copies over distinct (doc_id, text); the smallest doc_id stays, all texts of a doc_id but one coming last."""
+    shared = {}
+    for d, t, *_ in rows:
+        if d is not None:
+            shared.setdefault(d, set()).add(t)
+    named = {(d, t): (d, None) for d, ts in shared.items() for t in ts}
+    keys = sorted(named, key=repr)
+    n = {k: j for j, k in enumerate(keys)}
+    found = brute_components([(n[k], k[1]) for k in keys], 80)
+    groups = {}
+    for k in keys:
+        groups.setdefault(found[n[k]][1], []).append(k)
+    return groups, shared
+
+
+def check_near(got, rows):
+    """Each group keeps one row, and one of a smallest doc_id if that has a single text; null doc_ids all stay."""
+    groups, shared = brute_near(rows)
+    nulls = lambda rs: sorted((r for r in rs if r[0] is None), key=repr)
+    assert nulls(got) == nulls(rows) and set(got) <= set(rows)
+    kept = [(r[0], r[1]) for r in got if r[0] is not None]
+    assert len(kept) == len(set(kept)) == len(groups)
+    for members in groups.values():
+        stays = [k for k in members if k in set(kept)]
+        assert len(stays) == 1
+        single = [d for d, _ in members if len(shared[d]) == 1]
+        if len(single) == len(members):
+            assert stays[0][0] == min(single)
+
+
+def test_near_duplicates_keep_other_texts_of_a_doc_id(spark, folder):
+    r = random.Random(11)
+    one, two = (" ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(80)) for _ in range(2))
+    near = " ".join([*one.split()[:-1], "end"])
+    rows = [(1, ""), (1, one), (2, two), (2, None), (3, near), (3, two.upper()), (1, one), (2**63 - 1, "last words"), (2**63 - 1, "other last words here")]
+    rows = [(d, t, "en", "s", 0) for d, t in rows]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("a.b", F.lit(1)).withColumn("sid", F.lit(2)).withColumn("t1", F.lit(3))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert out.columns == docs.columns
+    got = [tuple(x)[:5] for x in out.collect()]
+    check_near(got, rows)
+    texts = {t for _, t, *_ in got}
+    assert {"", None} < texts and (one in texts) != (near in texts) and (two in texts) != (two.upper() in texts)
+    one_id = spark.createDataFrame([(4, f"text number {k} of one doc id {k * k}", "en", "s", 0) for k in range(300)], SCHEMA)
+    assert corpus_pipeline.drop_near_duplicates(spark, one_id, folder).count() == 300
+
+
 def test_stages_with_odd_rows(spark, folder):
     """Extra columns whose names the stages use themselves pass through, and no stage fails on odd rows."""
     stages, rows = dict(corpus_pipeline.STAGES), odd_rows()
-    clash = ["score", "__toxicity", "starts", "windows", "row", "key", "position", "positions", "__at", "k1", "c0", "component", "z"]
+    clash = ["score", "__toxicity", "starts", "windows", "row", "key", "position", "positions", "__at", "k1", "c0", "component", "z", "sid", "t1", "own", "part"]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     for c in clash:
         docs = docs.withColumn(c, F.lit(c))
-    docs = docs.cache()
+    docs = docs.withColumn("a.b", F.lit("dot")).cache()
     plain = lambda df: sorted((tuple(r)[:5] for r in df.collect()), key=repr)
     for name in ("toxicity", "near_dedup", "suffix_dedup", "mixing"):
         out = stages[name](spark, docs, folder)
@@ -81,11 +130,7 @@ def test_stages_with_odd_rows(spark, folder):
         assert all(r[c] == c for r in out.select(*clash).collect() for c in clash)
     assert stages["encode"](spark, docs, folder).count() == len(rows)
     assert set(plain(stages["toxicity"](spark, docs, folder))) <= set(rows)
-    near = plain(stages["near_dedup"](spark, docs, folder))
-    want = brute_components([r for r in rows if r[0] is not None][::-1], 80)
-    ids = [r[0] for r in near if r[0] is not None]
-    assert len(ids) == len(set(ids)) and sum(r[0] is None for r in near) == 3
-    assert {d for d, (_, c) in want.items() if c == d} >= set(ids) - {rows[20][0]}
+    check_near(plain(stages["near_dedup"](spark, docs, folder)), rows)
     mixed = stages["mixing"](spark, docs, folder).collect()
     plan = mixing.mix(docs.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("text").alias("row"))).collect()
     words = lambda t: len((t or "").split())
