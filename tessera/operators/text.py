@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.common import small, stored, top_k
-
-#: Stop words of keyword search.
-STOP_WORDS = "a an and are as at be by for from has have he her his how i in is it its of on or that the this to was we were what when where which who will with you your".split()
+from ..functions.stem import stem
+from . import html as html_tree
+
+#: English stop words of keyword search.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its "
+    "itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has had having do does did "
+    "doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in "
+    "out on off over under again further then once here there when where why how all each few more most other some such no nor not only own same so than too very "
+    "s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven "
+    "haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
+).split()
 #: Okapi parameters; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words for a token: chunk sizes are given in tokens.
@@ -36,67 +44,17 @@ def document_type(path: str) -> Column:
     return F.when(has("api", "modules", "generated"), "api").when(has("guide", "user_guide", "tutorial"), "guide").when(has("examples", "auto_examples"), "example").otherwise("other")
 
 
-class _Page(HTMLParser):
-    """Title, headings and flat text of a page, without boilerplate elements."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-    SKIP = frozenset("script style nav footer header aside noscript template".split())
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack, self.skip, self.pieces, self.title, self.h1, self.sections = [], 0, [], "", "", []
-        self.now: tuple[str, list[str]] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        self.stack.append(tag)
-        self.skip += tag in self.SKIP
-        if tag in ("title", "h1", "h2", "h3"):
-            self.now = (tag, [])
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack:
-            top = self.stack.pop()
-            self.skip -= top in self.SKIP
-            if self.now and top == self.now[0]:
-                text = " ".join(self.now[1]).strip()
-                if top == "title":
-                    self.title = self.title or text
-                elif 0 < len(text) < 200 and not self.skip:
-                    self.sections.append(text)
-                if top == "h1":
-                    self.h1 = self.h1 or text
-                self.now = None
-            if top == tag:
-                break
-
-    def handle_data(self, data):
-        piece = " ".join(data.split())
-        if not piece:
-            return
-        if self.now:
-            self.now[1].append(piece)
-        if not self.skip and "title" not in self.stack:
-            self.pieces.append(piece)
-
-
-def extract_page(html: str | None) -> tuple[str, str, list[str]]:
-    p = _Page()
-    p.feed(html or "")
-    p.close()
-    return p.h1 or p.title or "Untitled Document", " ".join(p.pieces), p.sections
-
-
-def extract_html(pages: DataFrame, html: str, least: int = 50) -> DataFrame:
-    """``pages`` with (title, content, sections) in place of ``html``; pages of under ``least`` characters go."""
+extract_page = html_tree.page
+
+
+def extract_html(pages: DataFrame, html: str, least: int = 50, site: str | None = None) -> DataFrame:
+    """``pages`` with (title, content, sections) in place of ``html``; pages of under ``least`` characters go. ``site``: a name that
+    titles end with."""
     keep = [c for c in pages.columns if c != html]
 
     def rows(batches):
         for b in batches:
-            made = [extract_page(x) for x in b[html]]
+            made = [extract_page(x, site) for x in b[html]]
             out = b[keep].copy()
             out["title"], out["content"], out["sections"] = ([m[k] for m in made] for k in range(3))
             yield out
@@ -192,11 +150,27 @@ def _is_token(t: Column) -> Column:
 INDEX_PARTS = ("postings", "terms", "lengths")
 
 
-def bm25_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0. The
-    postings are stored; the rest is computed from them."""
+def _stems(terms: DataFrame) -> DataFrame:
+    """(term, stem) of distinct terms: Python sees the vocabulary and not the texts."""
+
+    def rows(batches):
+        for b in batches:
+            yield pd.DataFrame({"term": b["term"], "stem": [stem(t) for t in b["term"]]})
+
+    return terms.select("term").distinct().mapInPandas(rows, "term string, stem string")
+
+
+def stemmed(postings: DataFrame, *by: str, count: str = "tf") -> DataFrame:
+    """Rows of (by, term, count) with stems for terms, counts added up."""
+    return postings.join(_stems(postings), "term").groupBy(*by, F.col("stem").alias("term")).agg(F.sum(count).alias(count))
+
+
+def bm25_index(docs: DataFrame, key: str, text: str, stems: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0. With ``stems``
+    the terms are Porter stems. The postings are stored; the rest is computed from them."""
     words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+")).alias("term")).filter(_is_token(F.col("term")))
-    postings = stored(words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    postings = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(stemmed(stored(postings, "words"), key) if stems else postings, "postings")
     found = postings.groupBy(key).agg(F.sum("tf").alias("length"))
     lengths = docs.select(key).join(found, key, "left").select(key, F.coalesce("length", F.lit(0)).alias("length"))
     n = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))
@@ -224,19 +198,72 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{name}") for name in INDEX_PARTS)
 
 
-def search_index(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, key: str, query_key: str, query_text: str, k: int = 50) -> DataFrame:
+def _asked(terms: DataFrame, queries: DataFrame, query_key: str, query_text: str, stems: bool) -> DataFrame:
+    """(query, term, weight): idf times how often the query has the term."""
+    asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(query_text)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+    if stems:
+        asked = stemmed(stored(asked, "asked"), "query", count="times")
+    return asked.join(terms, "term").select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
+
+
+def search_index(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, key: str, query_key: str, query_text: str, k: int = 50, stems: bool = False) -> DataFrame:
     """(query, key, score, rank): the k best of each query; scores of 0 and less are dropped, repeated query terms
-    count each time, ties by smaller key."""
+    count each time, ties by smaller key. ``stems``: as the index was made."""
     postings, terms, lengths = index
     mean = F.broadcast(lengths.agg(F.avg("length").alias("mean")))
-    asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(query_text)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(terms, "term")
-    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    asked = _asked(terms, queries, query_key, query_text, stems)
     hits = postings.join(small(asked), "term").join(lengths, key).crossJoin(mean)
-    scored = hits.groupBy("query", key).agg(F.sum(F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)).alias("score"))
+    scored = hits.groupBy("query", key).agg(F.sum(F.col("weight") * _impact()).alias("score"))
     return top_k(scored, ["query"], [F.desc(F.round("score", 9)), key], k).filter("score > 0")
 
 
+def _impact() -> Column:
+    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    return tf * (K1 + 1) / (tf + norm)
+
+
+#: Documents of a segment, about; a posting block has a term's documents of one segment.
+SEGMENT_DOCS = 1024
+#: Segments of each query that are scored before any are skipped.
+FIRST_SEGMENTS = 4
+
+
+def block_index(index: tuple[DataFrame, DataFrame, DataFrame], key: str, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
+    """(term, segment, best, entries (key, impact)): postings in blocks, each with the largest impact that a document of it has.
+    All terms share the segments, so that a query's bounds of a segment add up."""
+    postings, _, lengths = index
+    mean = F.broadcast(lengths.agg(F.avg("length").alias("mean"), F.ceil(F.count(F.lit(1)) / segment_docs).alias("n")))
+    placed = postings.join(lengths, key).crossJoin(mean).select("term", F.pmod(F.xxhash64(key), F.greatest(F.col("n"), F.lit(1))).alias("segment"), F.col(key).alias("key"), _impact().alias("impact"))
+    return placed.groupBy("term", "segment").agg(F.max("impact").alias("best"), F.collect_list(F.struct("key", "impact")).alias("entries"))
+
+
+def search_blocks(blocks: DataFrame, terms: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str, k: int = 50, stems: bool = False) -> DataFrame:
+    """What ``search_index`` gives, without reading all blocks: the segments of a query with the largest bounds are scored first,
+    and then only those whose bound reaches the k-th best score by then."""
+    rows, asked = _search_rows(blocks, terms, queries, query_key, query_text, k, stems)
+    scored = _scored(rows, asked, blocks)
+    return top_k(scored.withColumnRenamed("key", key), ["query"], [F.desc(F.round("score", 9)), key], k).filter("score > 0")
+
+
+def _scored(rows: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    hits = blocks.join(asked, "term").join(rows.select("query", "segment"), ["query", "segment"])
+    return hits.select("query", "weight", F.inline("entries")).groupBy("query", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+
+
+def _search_rows(blocks: DataFrame, terms: DataFrame, queries: DataFrame, query_key: str, query_text: str, k: int, stems: bool) -> tuple[DataFrame, DataFrame]:
+    """((query, segment) to score, (query, term, weight))."""
+    asked = stored(_asked(terms, queries, query_key, query_text, stems), "asked")
+    bounds = blocks.select("term", "segment", "best").join(asked, "term")
+    bounds = bounds.groupBy("query", "segment").agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound")).filter("bound > 0")
+    bounds = stored(bounds.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bound"), "segment"))), "bounds")
+    first = bounds.filter(F.col("place") <= FIRST_SEGMENTS)
+    reached = top_k(_scored(first, asked, blocks), ["query"], [F.desc("score")], k).filter(F.col("rank") == k).select("query", F.col("score").alias("reached"))
+    rest = bounds.filter(F.col("place") > FIRST_SEGMENTS).join(reached, "query", "left")
+    # scores are compared by nine digits
+    rest = rest.filter(F.col("bound") >= F.coalesce(F.col("reached"), F.lit(0.0)) - 1e-8)
+    return first.select("query", "segment").union(rest.select("query", "segment")), asked
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 50) -> DataFrame:
     """``search_index`` over an index of ``docs``."""
     return search_index(bm25_index(docs, key, text), queries, key, query_key, query_text, k)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import stored
 from ..operators import recsys as R
 from ..operators import text as T
 from ..sources.tables import table
 
 SIZE, LAP = 384, 37
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-z0-9_]{{2,}}') AND NOT list_contains([{1}], t))"
 _W = lambda c: _TOK.format(c, _STOP)
 _BM = f"""w AS (SELECT doc_id, {_W("text")} AS w FROM documents), ln AS (SELECT doc_id, len(w) AS length FROM w), post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2),
@@ -25,6 +26,12 @@ def _bm25(s, d):
     return T.bm25(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text", 20)
 
 
+def _bm25_blocks(s, d, stems=False):
+    index = T.bm25_index(table(s, d, "documents"), "doc_id", "text", stems)
+    blocks = stored(T.block_index(index, "doc_id"), "posting-blocks")
+    return T.search_blocks(blocks, index[1], table(s, d, "benchmark"), "doc_id", "item_id", "text", 20, stems)
+
+
 def _vectors(s, d):
     e = table(s, d, "embeddings")
     return T.vector_top_k(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", 20)
@@ -93,6 +100,8 @@ QUERIES = {
     "hier_chunks": _hier,
     "bm25_index": lambda s, d: (lambda p: p[0].join(p[1], "term").select("doc_id", "term", "tf", F.round("idf", 6).alias("idf")))(T.bm25_index(table(s, d, "documents"), "doc_id", "text")),
     "bm25_topk": lambda s, d: _bm25(s, d).withColumn("score", F.round("score", 6)),
+    "bm25_blocks_topk": lambda s, d: _bm25_blocks(s, d).withColumn("score", F.round("score", 6)),
+    "bm25_stemmed_topk": lambda s, d: _bm25_blocks(s, d, True).withColumn("score", F.round("score", 6)),
     "vector_topk": lambda s, d: _vectors(s, d).withColumn("similarity", F.round("similarity", 6)),
     "vector_filtered": _filtered,
     "rrf_fusion": _rrf,
@@ -112,6 +121,7 @@ c AS (SELECT doc_id, w, CAST(unnest(range(1 + CAST(ceil(greatest(n - {SIZE}, 0)
 SELECT doc_id, doc_id || '__chunk_' || chunk_index AS chunk_id, chunk_index, CAST(len(part) AS INT) AS n_words, md5(array_to_string(part, ' ')) AS md5 FROM p""",
     "bm25_index": f"WITH {_BM} SELECT doc_id, term, tf, round(idf, 6) AS idf FROM post JOIN idf USING (term)",
     "bm25_topk": f"WITH {_BM} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm",
+    "bm25_blocks_topk": f"WITH {_BM} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm",
     "vector_topk": f"WITH {_VEC} SELECT query, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM vr",
     "vector_filtered": f"WITH {_VEC}, f AS (SELECT query, vs.vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, vs.vec_id) AS rank FROM vs JOIN embeddings e ON e.vec_id = vs.vec_id AND label < 5) SELECT query, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM f WHERE rank <= 5",
     "rrf_fusion": f"""WITH {_VEC}, hs AS (SELECT query, vec_id, list_sum(list_transform(list_zip(embedding[1:32], qe[1:32]), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM embeddings, vq), hr AS (SELECT * FROM (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS rank FROM hs) WHERE rank <= 20),
