@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.common import stored
+from ..operators import ann
 from ..operators import models as M
 from ..operators import neural as N
 from ..operators import panel as P
@@ -86,6 +87,21 @@ def _ann_recall(s, d):
     return M.search_recall(_ann(s, d), exact, "vec_id")
 
 
+def _graph_sweep(s, d):
+    """Recall of the best 200 of graph search, by the width of its beam."""
+    from ..operators.text import vector_top_k
+
+    e = table(s, d, "embeddings")
+    q = e.filter("vec_id % 20 = 0")
+    exact = stored(vector_top_k(e, q, "vec_id", "embedding", "vec_id", "embedding", 200), "exact")
+    return ann.sweep(ann.build_index(e, "vec_id", "embedding"), q, exact, "vec_id", "embedding", "vec_id", 200, (200, 300, 400))
+
+
+def _graph(s, d):
+    e = table(s, d, "embeddings")
+    return ann.search(ann.build_index(e, "vec_id", "embedding"), e.filter("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", 10, 128)
+
+
 def _neural(s, d):
     """(training sequences, histories in order, catalogue) of one split."""
     split, targets, _ = _warm(s, d)
@@ -115,5 +131,5 @@ def _two_tower_cold(s, d):
     return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
 
 
-QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall}
+QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
 ORACLE: dict[str, str] = {}
