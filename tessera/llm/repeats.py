@@ -31,8 +31,8 @@ from .common import pieces, staged, tidy, unstage, utf8
 
 _FIELDS = ["sure", "hot", "key", "name", "doc_id", "row", "start", "windows", "inner"]
 SEGMENT = "sure boolean, hot boolean, key long, name long, doc_id long, row long, start int, windows int, inner boolean"
-#: Segments that a task combines at once.
-COMBINED = 1 << 20
+#: Segments that a task combines at once, and bytes of texts whose segments it finds at once; each byte takes some 100 meanwhile.
+COMBINED, AT_ONCE = 1 << 18, 1 << 18
 #: Documents, about, in which hot keys are looked for, and how often a hot key is in them at least. This only decides
 #: where rows are compared, not which.
 HOT_SAMPLE, HOT_LEAST = 4000, 16
@@ -93,7 +93,7 @@ def _segments_of(batches, segments):
     """Segments of the texts of (doc_id, row, t), as arrays key, name, doc_id, row, start, windows, inner."""
     for b in pieces(batches, "t"):
         ids, rows = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
-        for lo, data, offsets in flat.groups(b["t"], 1 << 20):
+        for lo, data, offsets in flat.groups(b["t"], AT_ONCE):
             doc, start, count, key, name, inner = segments(data, offsets)
             yield key.view(np.int64), name.view(np.int64), ids[lo + doc], rows[lo + doc], start.astype(np.int32), count.astype(np.int32), inner
 
