@@ -11,7 +11,7 @@ from ..operators import neural as N
 from ..operators import panel as P
 from ..operators import recsys as R
 from ..operators import sessions as S
-from ..operators import training
+from ..operators import sarimax, training
 from ..sources.tables import sales_panel, table
 from .sessions import _knn, _split, _warm
 
@@ -87,6 +87,10 @@ def _ann_recall(s, d):
     return M.search_recall(_ann(s, d), exact, "vec_id")
 
 
+def _sarimax(s, d):
+    return sarimax.forecasts(sales_panel(s, d), *_window(s, d))
+
+
 def _graph_sweep(s, d):
     """Recall of the best 200 of graph search, by the width of its beam."""
     from ..operators.text import vector_top_k
@@ -131,5 +135,5 @@ def _two_tower_cold(s, d):
     return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
 
 
-QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
+QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "sarimax": _sarimax, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
 ORACLE: dict[str, str] = {}
