@@ -13,7 +13,8 @@ where the blocks are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,26 @@ class Boosted:
         return sorted(zip(self.features, self.gain[objective].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def dumps(model: Boosted) -> str:
+    """A fitted model as JSON text."""
+    cut = lambda c: {"values": list(c), "bins": list(c.values())} if isinstance(c, dict) else np.asarray(c).tolist()
+    tree = lambda t: {"feature": t.feature.tolist(), "value": t.value.tolist(), "goes_left": np.packbits(t.goes_left).tobytes().hex()}
+    return json.dumps({
+        "features": model.features, "cuts": [cut(c) for c in model.cuts], "n_bins": model.n_bins, "depth": model.depth, "objectives": [asdict(o) for o in model.objectives],
+        "start": model.start, "trees": [[tree(t) for t in ts] for ts in model.trees], "gain": model.gain.tolist(), "losses": model.losses,
+    })
+
+
+def loads(text: str) -> Boosted:
+    """What ``dumps`` wrote."""
+    r = json.loads(text)
+    size = 2 ** (r["depth"] + 1)
+    mask = lambda x: np.unpackbits(np.frombuffer(bytes.fromhex(x), np.uint8))[: size * r["n_bins"]].reshape(size, -1).astype(bool)
+    cuts = [dict(zip(c["values"], c["bins"], strict=True)) if isinstance(c, dict) else np.array(c, float) for c in r["cuts"]]
+    grown = [[Tree(np.array(t["feature"]), mask(t["goes_left"]), np.array(t["value"])) for t in ts] for ts in r["trees"]]
+    return Boosted(r["features"], cuts, r["n_bins"], r["depth"], [Objective(**o) for o in r["objectives"]], r["start"], grown, np.array(r["gain"]), r["losses"])
+
+
 def _cut_points(df: DataFrame, features: list[str], categorical: list[str], n_bins: int) -> list:
     """Bounded by features x bins: approximate quantiles of numbers in one aggregation, and the most frequent categories."""
     numbers = [f for f in features if f not in categorical]

@@ -11,7 +11,7 @@ from ..operators import neural as N
 from ..operators import panel as P
 from ..operators import recsys as R
 from ..operators import sessions as S
-from ..operators import sarimax, training
+from ..operators import sarimax, serving, training
 from ..sources.tables import sales_panel, table
 from .sessions import _knn, _split, _warm
 
@@ -114,6 +114,15 @@ def _neural(s, d):
     return S.sequences(split.train, split.train.select("session").distinct()), histories, N.catalogue_of(split.train, items)
 
 
+def _service(s, d):
+    """A service trained on one split, for the histories of its warm sessions."""
+    split, targets, _ = _warm(s, d)
+    sequences, histories, _ = _neural(s, d)
+    items = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
+    made = serving.build(N.SASRec(), split.train, sequences, items, targets, histories, rounds=8, depth=3)
+    return serving.recommend(made, histories, 10)
+
+
 def _two_tower(s, d):
     return N.recommend(N.TwoTower(), *_neural(s, d), 10)
 
@@ -135,5 +144,5 @@ def _two_tower_cold(s, d):
     return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
 
 
-QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "sarimax": _sarimax, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
+QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "service_topk": _service, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "sarimax": _sarimax, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
 ORACLE: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.common import stored
+from ..operators import corpus
 from ..operators import recsys as R
 from ..operators import text as T
 from ..sources.tables import table
@@ -102,6 +103,7 @@ QUERIES = {
     "bm25_topk": lambda s, d: _bm25(s, d).withColumn("score", F.round("score", 6)),
     "bm25_blocks_topk": lambda s, d: _bm25_blocks(s, d).withColumn("score", F.round("score", 6)),
     "bm25_stemmed_topk": lambda s, d: _bm25_blocks(s, d, True).withColumn("score", F.round("score", 6)),
+    "text_embeddings": lambda s, d: corpus.embed(table(s, d, "documents"), "doc_id", "text"),
     "vector_topk": lambda s, d: _vectors(s, d).withColumn("similarity", F.round("similarity", 6)),
     "vector_filtered": _filtered,
     "rrf_fusion": _rrf,
