@@ -80,7 +80,10 @@ def innovations(data: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.nd
 
 def profile(data: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
     """(log-likelihood, beta, variance, state after the end) of the columns [y, X]."""
-    e, f, state = innovations(data, ar, ma)
+    with np.errstate(all="ignore"):
+        e, f, state = innovations(data, ar, ma)
+    if not (np.isfinite(f).all() and (f > 0).all() and np.isfinite(state).all()):  # too close to a unit root for numbers
+        return -np.inf, np.zeros(data.shape[1] - 1), np.inf, state
     ok = ~np.isnan(e[:, 0])
     w = 1 / np.sqrt(f[ok])
     y, x = e[ok, 0] * w, e[ok, 1:] * w[:, None]
@@ -126,7 +129,7 @@ def fit(y: np.ndarray, x: np.ndarray, order: tuple, seasonal: tuple) -> dict:
     data = differenced(np.column_stack([y, x]), d, sd, s)
     if (~np.isnan(data).any(1)).sum() <= p + q + sp + sq + x.shape[1] + 2:
         raise ValueError("the series is too short")
-    ll = lambda u: -profile(data, *polynomials(u, order, seasonal))[0]
+    ll = lambda u: min(-profile(data, *polynomials(u, order, seasonal))[0], 1e12)
     u, value, converged = minimize(ll, np.full(p + sp + q + sq, 0.1))
     ar, ma = polynomials(u, order, seasonal)
     _, beta, variance, state = profile(data, ar, ma)
