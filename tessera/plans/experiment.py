@@ -56,7 +56,7 @@ def _quantiles(s, d):
 
 
 def _wide(s, d):
-    long = sales_panel(s, d).filter("sku < 'Brand#2'").withColumn("sku", F.regexp_replace("sku", "Brand#", "B_"))
+    long = sales_panel(s, d).withColumn("sku", F.regexp_replace("sku", "Brand#", "B_"))
     skus = [r[0] for r in long.select("sku").distinct().orderBy("sku").collect()]
     return P.to_long(long.groupBy(F.col("date").alias("DATE")).agg(*[F.coalesce(F.sum(F.when(F.col("sku") == x, F.col(c))), F.lit(0)).alias(f"{n}_{x}") for x in skus for n, c in (("QTY", "qty"), ("PROMO", "promo"))]))
 
@@ -129,7 +129,7 @@ SELECT bucket, count(*) AS n, round(avg(y) FILTER (WHERE t = 1) - avg(y) FILTER
     "incremental_topk": f"""WITH {_RUN}, k AS (SELECT CAST(share AS DOUBLE) AS share, greatest(1, CAST(round_even(share * (SELECT max(r) FROM r), 0) AS BIGINT)) AS m FROM (VALUES (0.1), (0.2), (0.3), (0.4), (0.5)) v(share))
 SELECT share, m, round(yt / nullif(nt, 0) - yc / nullif(nc, 0), 6) AS uplift, round((yt / nullif(nt, 0) - yc / nullif(nc, 0)) * m, 6) AS incremental FROM k JOIN r ON r.r = k.m""",
     "sales_panel": f"WITH {_PANEL} SELECT * FROM p",
-    "unpivot_panel": f"WITH {_PANEL}, q AS (SELECT date, replace(sku, 'Brand#', 'B_') AS sku, qty, promo FROM p WHERE sku < 'Brand#2') SELECT d.date, s.sku, 'B' AS brand, CAST(coalesce(qty, 0) AS DOUBLE) AS qty, CAST(coalesce(promo, 0) AS INT) AS promo FROM (SELECT DISTINCT date FROM q) d CROSS JOIN (SELECT DISTINCT sku FROM q) s LEFT JOIN q ON q.date = d.date AND q.sku = s.sku",
+    "unpivot_panel": f"WITH {_PANEL}, q AS (SELECT date, replace(sku, 'Brand#', 'B_') AS sku, qty, promo FROM p) SELECT d.date, s.sku, 'B' AS brand, CAST(coalesce(qty, 0) AS DOUBLE) AS qty, CAST(coalesce(promo, 0) AS INT) AS promo FROM (SELECT DISTINCT date FROM q) d CROSS JOIN (SELECT DISTINCT sku FROM q) s LEFT JOIN q ON q.date = d.date AND q.sku = s.sku",
     "calendar_features": f"WITH {_PANEL} SELECT DISTINCT date, CAST(isodow(date) - 1 AS INT) AS weekday, CAST(month(date) AS INT) AS month, CAST(day(date) AS INT) AS day, CAST(week(date) AS INT) AS week, CAST(isodow(date) >= 6 AS INT) AS weekend FROM p",
     "panel_features": f"""WITH {_PANEL}, {_F} SELECT date, sku, qty, promo, {", ".join(f"lag(qty, {n}) OVER w AS lag_{n}" for n in P.LAGS)},
 {", ".join(f"round(CASE WHEN count(base) OVER w{n} = {n} THEN avg(base) OVER w{n} END, 6) AS mean_{n}" for n in P.WINDOWS)}, round(CASE WHEN count(base) OVER w28 = 28 THEN stddev_samp(base) OVER w28 END, 6) AS std_28,

@@ -57,8 +57,9 @@ def _stats(s, d):
 
 
 def _wide(s, d):
-    long = sales_panel(s, d)
-    skus = [f"Brand#{k}" for k in range(11, 16)]
+    # quantities net of 20, and promotions that count twice on days of more than 40, so that there is something to find
+    long = sales_panel(s, d).select("date", "sku", (F.col("qty") - 20).alias("qty"), (F.col("promo") + (F.col("qty") > 40).cast("int")).alias("promo"))
+    skus = [r["sku"] for r in long.select("sku").distinct().orderBy("sku").collect()]  # columns of the wide table
     cells = lambda x, c: F.coalesce(F.sum(F.when(F.col("sku") == x, F.col(c))), F.lit(0))
     wide = long.groupBy(F.col("date").alias("DATE")).agg(*[cells(x, c).alias(f"{n}_{x}") for x in skus for n, c in (("QTY", "qty"), ("PROMO", "promo"))])
     return J.wide_violations(wide)
@@ -113,7 +114,7 @@ SELECT session, itemid FROM (SELECT *, row_number() OVER (PARTITION BY session O
     "feature_coverage": "SELECT 'section' AS feature, round(avg(CAST(regexp_extract(url, '/([a-z]+)/', 1) <> '' AS DOUBLE)), 6) AS known FROM pages UNION ALL SELECT 'page', round(avg(CAST(html IS NOT NULL AS DOUBLE)), 6) FROM pages",
     "risk_bands": f"WITH {_S} SELECT CASE WHEN score >= 0.7 THEN 'High' WHEN score >= 0.2 THEN 'Medium' ELSE 'Low' END AS risk, CAST(score >= 0.2 AS INT) AS prediction, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM s GROUP BY 1, 2",
     "processing_stats": "SELECT source, count(*) AS documents, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS characters, CAST(max(coalesce(length(text), 0)) AS INT) AS longest, CAST(count(*) FILTER (WHERE coalesce(length(text), 0) = 0) AS BIGINT) AS empty FROM documents GROUP BY source",
-    "wide_violations": f"WITH {_PANEL} SELECT count(DISTINCT date) AS rows, CAST(0 AS BIGINT) AS repeated_dates, CAST(0 AS BIGINT) AS negative_qty, CAST(0 AS BIGINT) AS bad_promo FROM p",
+    "wide_violations": f"WITH {_PANEL} SELECT count(DISTINCT date) AS rows, CAST(0 AS BIGINT) AS repeated_dates, count(*) FILTER (WHERE qty < 20) AS negative_qty, count(*) FILTER (WHERE promo + CAST(qty > 40 AS INT) NOT IN (0, 1)) AS bad_promo FROM p",
     "example_series": f"WITH {_NAIVE}, f AS (SELECT p.sku, sum(p.qty) AS volume, sum(p.promo) AS days FROM p WHERE EXISTS (SELECT 1 FROM te WHERE te.fold = 2 AND te.sku = p.sku AND te.date = p.date) GROUP BY 1) SELECT sku, volume FROM f WHERE days >= 1 ORDER BY volume DESC, sku LIMIT 1",
     "ablation_summary": """WITH per AS (SELECT event_type AS arm, user_id AS q, avg(value) AS v, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS step FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2)
 SELECT a.arm, count(*) AS n, round(avg(a.v), 6) AS mean, round(quantile_cont(a.v, 0.5), 6) AS median_cost, round(avg(a.v - b.v), 6) AS delta FROM per a LEFT JOIN per b ON b.step = a.step - 1 AND b.q = a.q GROUP BY a.arm""",
