@@ -13,7 +13,7 @@ from ..operators import recsys as R
 from ..operators import sessions as S
 from ..operators import sarimax, serving, training
 from ..sources.tables import sales_panel, table
-from .sessions import _knn, _split, _warm
+from .sessions import _items, _knn, _warm
 
 
 def _window(s, d):
@@ -132,16 +132,19 @@ def _sasrec(s, d):
 
 
 def _two_tower_cold(s, d):
-    """Sessions whose target isn't in the training vocabulary, ranked among all such targets by content alone."""
-    split = _split(s, d)
-    sequences, _, catalogue = _neural(s, d)
-    found = S.prefix_target(split.test, split.vocabulary).join(split.vocabulary.select(F.col("itemid").alias("target")), "target", "left_anti")
-    items = found.select(F.col("target").alias("itemid")).distinct()
-    items = items.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"), F.pmod("itemid", F.lit(3)).alias("parent"))
+    """Every fifth item is held out of training and so is cold: sessions that end with such an item rank all of them by content
+    alone, for the known items that they saw before."""
+    pairs = _items(s, d)
+    held = F.col("itemid") % 5 == 0
+    past = pairs.filter(~held)
+    sequences = S.sequences(past, past.select("session").distinct())
+    content = lambda rows: rows.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"), F.pmod("itemid", F.lit(3)).alias("parent")).distinct()
+    catalogue, cold = N.catalogue_of(past, content(past)), N.catalogue_of(past, content(pairs.filter(held)))
+    last = pairs.groupBy("session").agg(F.max(F.struct("ts", "itemid")).alias("l")).select("session", F.col("l.itemid").alias("target"))
+    found = stored(last.filter(F.col("target") % 5 == 0).join(sequences.filter(F.size("items") > 0), "session"), "cold-targets")
     model = N.TwoTower(tower="content_only")
-    trained = training.fit(model, sequences, catalogue, 4, 4, 0.01)
-    histories = found.select("session", F.col("prefix").alias("items"))
-    return N.cold_recall(model, trained, histories, found.select("session", "target"), catalogue, N.catalogue_of(split.train, items))
+    trained = training.fit(model, sequences, stored(catalogue, "catalogue"), 4, 4, 0.01)
+    return N.cold_recall(model, trained, found.select("session", "items"), found.select("session", "target"), catalogue, cold, (1, 5, 10))
 
 
 QUERIES = {"two_tower_topk": _two_tower, "two_tower_cold": _two_tower_cold, "sasrec_topk": _sasrec, "service_topk": _service, "boosted_forecast": _boosted, "boosted_pinball": _forecast_quantiles, "two_stage_trees": _two_stage_trees, "rerank_difference": _rerank_difference, "autoregression": _series, "sarimax": _sarimax, "two_stage_rank": _two_stage, "ann_topk": _ann, "ann_recall": _ann_recall, "hnsw_topk": _graph, "hnsw_sweep": _graph_sweep}
