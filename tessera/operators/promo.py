@@ -29,7 +29,8 @@ def cells(long: DataFrame, by: str | None = None) -> DataFrame:
     """(group, sku, cells): a row for each series; a cell has the regressors, the number of days, and sums of the quantity, its
     square, its log(1 + x) and that one's square. Rows without quantity or promo don't count."""
     days = calendar(long.select("date").distinct()).select("date", "weekday", "month", F.year("date").alias("year"), "holiday", "holiday_eve")
-    rows = long.select("date", "sku", (F.col(by) if by else F.lit("all")).cast("string").alias("group"), F.col("promo").cast("double").alias("promo"), F.col("qty").cast("double").alias("q"))
+    group = (F.col(by) if by else F.lit("all")).cast("string").alias("group")
+    rows = long.select("date", "sku", group, F.col("promo").cast("double").alias("promo"), F.col("qty").cast("double").alias("q"))
     rows = rows.dropna(subset=["q", "promo"]).join(days, "date").withColumn("l", F.log1p("q"))
     sums = rows.groupBy("group", "sku", *_CELL).agg(
         F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum("l").alias("l"), F.sum(F.col("l") * F.col("l")).alias("ll")
@@ -149,5 +150,5 @@ def lift(long: DataFrame, by: str | None = None, estimator: str = "ppml", rounds
         ends = (b - _Z * se, b + _Z * se) if known else (None, None)
         percent = [None if x is None else float(100 * np.expm1(x)) for x in (b, *ends)]
         out.append((group, estimator, b, se, *ends, *percent, int(n), int(series), float(treated / n), bool(series < FEW_SERIES)))
-    schema = "group string, estimator string, beta double, se double, ci_low double, ci_high double, lift_pct double, lift_low_pct double, lift_high_pct double, n long, series long, promo_share double, few_series boolean"
-    return spark.createDataFrame(out, schema)
+    numbers = "beta double, se double, ci_low double, ci_high double, lift_pct double, lift_low_pct double, lift_high_pct double"
+    return spark.createDataFrame(out, f"group string, estimator string, {numbers}, n long, series long, promo_share double, few_series boolean")

@@ -29,7 +29,10 @@ class Service:
     ranker: trees.Boosted | None = None
 
 
-def build(model, train: DataFrame, sequences: DataFrame, items: DataFrame, targets: DataFrame | None = None, histories: DataFrame | None = None, candidates: int = 100, epochs: int = 4, steps: int = 4, rate: float = 0.01, **ranking) -> Service:
+def build(
+    model, train: DataFrame, sequences: DataFrame, items: DataFrame, targets: DataFrame | None = None, histories: DataFrame | None = None,
+    candidates: int = 100, epochs: int = 4, steps: int = 4, rate: float = 0.01, **ranking,
+) -> Service:
     """A service whose encoder is trained on ``sequences`` (session, items). With ``histories`` (session, items) and their ``targets``
     (session, target) a pairwise ranker is trained on what the encoder retrieves for them."""
     catalogue = stored(neural.catalogue_of(train, items), "service-catalogue")
