@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, ranges
-from .common import documents, pieces, tidy, utf8
+from .common import PIECE, documents, pieces, tidy, utf8
 
 _INF = np.int32(2**31 - 1)
 #: Pieces of up to this many bytes are merged in rows.
@@ -190,17 +190,18 @@ def encoder(path: str) -> tuple[SegmentTreeBpe, ChunkTable]:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, ranks: str, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, digests: bool = False, portion: int = PIECE) -> DataFrame:
     """Each document's ids and their decoded bytes, after all columns of ``docs``: (ids, decoded), both binary, ids as
     little-endian unsigned 32-bit integers; or with ``digests`` (n_tokens, ids_sha256, decoded_sha256), taken where
-    the ids are made, so that no ids cross to the JVM. No shuffle."""
+    the ids are made, so that no ids cross to the JVM. ``portion``: bytes of texts encoded at once, of which each takes some 50
+    bytes meanwhile. No shuffle."""
     extra = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "binary"), ("decoded", "binary")]
     names, kept = [f"c{k}" for k in range(len(docs.columns))], [f.dataType.simpleString() for f in docs.schema]
     schema = ", ".join(f"`{n}` {t}" for n, t in [*zip(names, kept, strict=True), *extra])
 
     def rows(batches):
         bpe, table = encoder(ranks)
-        for b in pieces(batches, "__text"):
+        for b in pieces(batches, "__text", portion):
             ids = table.encode_each(b.column(len(names)).to_pylist())
             raw, decoded = [x.astype("<u4").tobytes() for x in ids], [bpe.decode(x) for x in ids]
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
