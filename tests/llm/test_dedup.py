@@ -208,3 +208,55 @@ def test_spotsigs_matches(docs, rows):
     want = {(a, b) for a, b in itertools.combinations(reps, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert found == want
     assert all(sets[d] == sets[c] for d, c in cls.items())
+
+
+def plain_signatures(text, common):
+    """The set of signatures by loops over words; ``common(word)`` says which are anchors."""
+    import regex
+    import xxhash
+
+    def name(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
+    out = []
+    for i, x in enumerate(w):
+        following = [y for y in w[i + 1 :] if not common(y)][: spotsigs.CHAIN]
+        if common(x) and len(following) == spotsigs.CHAIN:
+            out.append(name(x, *following))
+    if w and len(out) < spotsigs.FEW:
+        n = spotsigs.CHAIN + 1
+        out += [name(*w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [name(" ".join(w))]
+    return set(out)
+
+
+def test_op3_equals_plain_signatures(spark, tmp_path, rows):
+    from tessera.llm import registry
+
+    everything = [*rows, (9001, "The cat and the dog sat on a mat with you; cats can do it.", "en", "s", 0), (9002, None, None, None, None), (9003, "Hello!", "en", "s", 0)]
+    docs = spark.createDataFrame(everything, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    order = sorted(everything, reverse=True, key=lambda r: r[0])
+    texts = [r[1] or "" for r in order]
+    edited = []
+    for k, t in enumerate(texts):
+        cut = len(t) // 3
+        edited.append(t[: len(t) - cut] + texts[(k + 1) % len(texts)][:cut])
+    every = spark.createDataFrame([(t,) for t in {*texts, *edited}], "t string").select(F.explode(spotsigs.words(F.col("t"))).alias("w")).distinct()
+    extra = {r["w"] for r in every.filter(F.pmod(F.hash("w"), F.lit(spotsigs.EXTRA)) == 0).collect()}
+    common = lambda x: x in spotsigs.ANCHOR_LIST or x in extra
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    finger = lambda s: hashlib.sha256(",".join(map(str, sorted(s))).encode()).hexdigest()
+    own, other = [plain_signatures(t, common) for t in texts], [plain_signatures(t, common) for t in edited]
+    want = []
+    for k, (r, t) in enumerate(zip(order, texts, strict=True)):
+        near = like(own[k], other[k]), like(own[k], own[(k + 1) % len(own)])
+        want.append((r[0], len(t), hashlib.sha256(edited[k].encode()).hexdigest(), finger(own[k]), finger(other[k]), *near))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = {x["doc_id"]: tuple(x[c] for c in names) for x in registry.queries()["op3_spotsigs"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(want)
+    for x in want:
+        assert got[x[0]][:5] == x[:5] and got[x[0]][5:] == pytest.approx(x[5:])
