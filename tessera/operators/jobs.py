@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.common import hash01, small, top_k
-from ..sources.store import verify_manifest, write_manifest
+from ..sources.store import exists, folders, read_text, verify_manifest, write_manifest, write_text
 from . import experiment, recsys
 
 #: A probability from which a risk is high, whatever the threshold.
@@ -224,8 +224,7 @@ def source_path(name: str, variable: str, root: str) -> str:
 def save_model(model, folder: str, metadata: dict) -> None:
     """A fitted pipeline, its metadata beside it, and checksums of both."""
     model.write().overwrite().save(f"{folder}/model")
-    with open(f"{folder}/metadata.json", "w") as f:
-        json.dump(metadata, f, sort_keys=True, indent=1)
+    write_text(f"{folder}/metadata.json", json.dumps(metadata, sort_keys=True, indent=1))
     write_manifest(folder)
 
 
@@ -235,15 +234,14 @@ def load_model(folder: str):
 
     if not verify_manifest(folder):
         raise ValueError("a model without checksums is not loaded")
-    with open(f"{folder}/metadata.json") as f:
-        return PipelineModel.load(f"{folder}/model"), json.load(f)
+    return PipelineModel.load(f"{folder}/model"), json.loads(read_text(f"{folder}/metadata.json"))
 
 
 def latest_version(root: str) -> str | None:
     """The newest stored model's folder: the greatest number at the end of a name, else the last name; None without any."""
-    names = [n for n in os.listdir(root) if os.path.exists(os.path.join(root, n, "metadata.json"))] if os.path.isdir(root) else []
+    names = [n for n in folders(root) if exists(f"{root}/{n}/metadata.json")]
     number = lambda n: int(m[0]) if (m := re.search(r"\d+$", n)) else -1
-    return os.path.join(root, max(names, key=lambda n: (number(n), n))) if names else None
+    return f"{root}/{max(names, key=lambda n: (number(n), n))}" if names else None
 
 
 def diagnostics_report(metrics: dict[str, float], counts: dict[str, int], name: str = "validation") -> str:

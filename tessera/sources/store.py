@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,22 +63,64 @@ def checksum(path: str, kind: str = "sha256") -> str:
     return h.hexdigest()
 
 
+def _hadoop(path: str):
+    """(file system, path) of any scheme that Hadoop knows; a path without one is of the default file system."""
+    context = SparkSession.active().sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(context._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str) -> bool:
+    fs, p = _hadoop(path)
+    return fs.exists(p)
+
+
+def folders(path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    fs, p = _hadoop(path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(path: str, text: str) -> None:
+    fs, p = _hadoop(path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(path: str) -> str:
+    return bytes(SparkSession.active().read.format("binaryFile").load(path).first()["content"]).decode()
+
+
+def checksums(folder: str) -> dict[str, str]:
+    """SHA-256 of each file of a folder by its name there, computed where Spark reads it; hidden files don't count."""
+    fs, p = _hadoop(folder)
+    if not fs.exists(p):
+        return {}
+    root = fs.makeQualified(p).toString().rstrip("/") + "/"
+    files = SparkSession.active().read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return {r["path"].removeprefix(root): r["sum"] for r in files.select("path", F.sha2("content", 256).alias("sum")).collect()}
+
+
 def write_manifest(folder: str) -> dict[str, str]:
     """Checksums of all files of a folder, beside it."""
-    files = {os.path.relpath(os.path.join(d, n), folder): checksum(os.path.join(d, n)) for d, _, names in os.walk(folder) for n in names}
-    with open(f"{folder}.manifest.json", "w") as f:
-        json.dump(files, f, sort_keys=True, indent=1)
+    files = checksums(folder)
+    write_text(f"{folder}.manifest.json", json.dumps(files, sort_keys=True, indent=1))
     return files
 
 
 def verify_manifest(folder: str) -> bool:
-    """False without a manifest; ValueError if a file is missing or differs."""
-    if not os.path.exists(f"{folder}.manifest.json"):
+    """False without a manifest; ValueError if a file is missing or differs, or can't be read any more."""
+    if not exists(f"{folder}.manifest.json"):
         return False
-    with open(f"{folder}.manifest.json") as f:
-        for name, value in json.load(f).items():
-            if not os.path.exists(f"{folder}/{name}") or checksum(f"{folder}/{name}") != value:
-                raise ValueError(f"{name} differs from its manifest")
+    wanted = json.loads(read_text(f"{folder}.manifest.json"))
+    try:
+        found = checksums(folder)
+    except (PySparkException, Py4JJavaError) as broken:
+        raise ValueError(f"{folder} can't be read") from broken
+    for name, value in wanted.items():
+        if found.get(name) != value:
+            raise ValueError(f"{name} differs from its manifest")
     return True
 
 
