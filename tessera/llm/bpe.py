@@ -182,15 +182,19 @@ _PATTERN = regex.compile(public_tokenizers.PATTERN)
 _loaded: dict = {}
 
 
-def encoder(path: str) -> tuple[SegmentTreeBpe, ChunkTable]:
-    """One for each worker process and rank file."""
-    if path not in _loaded:
+#: Chunks that a worker remembers at most, of some 50 bytes each.
+KNOWN = 2_000_000
+
+
+def encoder(path: str, known: int = KNOWN) -> tuple[SegmentTreeBpe, ChunkTable]:
+    """One for each worker process, rank file and size of its table."""
+    if (path, known) not in _loaded:
         bpe = SegmentTreeBpe(path)
-        _loaded[path] = bpe, ChunkTable(bpe.encode_chunks, bpe.encode_whole)
-    return _loaded[path]
+        _loaded[path, known] = bpe, ChunkTable(bpe.encode_chunks, bpe.encode_whole, known)
+    return _loaded[path, known]
 
 
-def encode_documents(docs: DataFrame, ranks: str, digests: bool = False, portion: int = PIECE) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, digests: bool = False, portion: int = PIECE, known: int = KNOWN) -> DataFrame:
     """Each document's ids and their decoded bytes, after all columns of ``docs``: (ids, decoded), both binary, ids as
     little-endian unsigned 32-bit integers; or with ``digests`` (n_tokens, ids_sha256, decoded_sha256), taken where
     the ids are made, so that no ids cross to the JVM. ``portion``: bytes of texts encoded at once, of which each takes some 50
@@ -200,7 +204,7 @@ def encode_documents(docs: DataFrame, ranks: str, digests: bool = False, portion
     schema = ", ".join(f"`{n}` {t}" for n, t in [*zip(names, kept, strict=True), *extra])
 
     def rows(batches):
-        bpe, table = encoder(ranks)
+        bpe, table = encoder(ranks, known)
         for b in pieces(batches, "__text", portion):
             ids = table.encode_each(b.column(len(names)).to_pylist())
             raw, decoded = [x.astype("<u4").tobytes() for x in ids], [bpe.decode(x) for x in ids]
