@@ -106,7 +106,8 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row; null and empty texts have no ids."""
-    made = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), portion=1 << 19)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    made = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), ranks, portion=1 << 19, known=400_000)
     n = (F.length("ids") / 4).cast("long").alias("n_tokens")
     made = made.select("doc_id", "lang", "source", n, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
     return staged(made, "pipeline-encode")  # staged steps get their texts in small batches
