@@ -22,7 +22,7 @@ def _window(s, d):
 
 
 def _boosted(s, d):
-    return M.boosted_forecast(sales_panel(s, d), *_window(s, d))
+    return M.boosted_forecast(sales_panel(s, d), *_window(s, d), rounds=15, depth=3, rate=0.3)
 
 
 def _series(s, d):
