@@ -14,6 +14,7 @@ _STEP = 1024
 _AT_ONCE = 1 << 20
 _POW = _rng.integers(1, 2**64, (2, _STEP), np.uint64) | np.uint64(1)
 _FAR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_NEAR = np.array([pow(int(x), -1, 1 << 64) for x in _FAR], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     value += np.uint64(1)
     if size.max() > _STEP:
         block = rel // _STEP
-        far = np.cumprod(np.full(int(block.max()) + 1, _FAR[seed], np.uint64))
+        far = np.cumprod(np.full(int(block.max()) + 1, _FAR[seed], np.uint64)) * _NEAR[seed]  # 1 for the first block: a short span has one hash in any company
         value *= _POW[seed][rel % _STEP] * far[block]
     else:
         value *= _POW[seed][rel]

@@ -169,3 +169,16 @@ def test_inverse_demand(spark):
     g = np.interp(grid, *zip(*knots, strict=True))
     done = np.concatenate([[0], np.cumsum((g[1:] + g[:-1]) / 2)]) / ((g[1:] + g[:-1]) / 2).sum()
     assert np.allclose(t, np.interp(np.linspace(0, 1, 101), done, grid), atol=1e-3)
+
+
+def test_ppm_counts_words_beside_long_ones(spark):
+    """A word has one count whether or not a word of over 1,024 bytes is read with it."""
+    some = [(d, "the cat the dog") for d in range(40)] + [(100 + d, "the " + "x" * (1500 + d % 2)) for d in range(20)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    c = collections.Counter(w for d, t in some if not held(d) for w in [*t.split(), ""])
+    n, v = sum(c.values()), len(c)
+    want = {d: (sum(c[w] > 0 for w in [*t.split(), ""]), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), ""])) for d, t in some}
+    got = ppm.score_documents(spark.createDataFrame(some, "doc_id long, text string").repartition(1)).collect()
+    apart = ppm.score_documents(spark.createDataFrame(some, "doc_id long, text string").repartitionByRange(2, "doc_id")).collect()
+    for x in [*got, *apart]:
+        assert (x["n_known"], x["train_tokens"]) == want[x["doc_id"]][:2] and math.isclose(x["base_score"], want[x["doc_id"]][2], rel_tol=1e-9)
