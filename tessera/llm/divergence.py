@@ -43,6 +43,8 @@ SCALE = 1_000_000_000
 BLOCK_TERMS = 60_000
 #: Bytes of words that an automaton reads in one group, about, and of one row of them.
 PORTION, ROW = 12 << 20, 128 << 10
+#: Characters of a term that the automaton reads; longer ones, whose nodes would nest too deeply for it, are looked up whole.
+LONG = 1000
 #: Rows of document frequencies that a task adds up before it gives them away, about.
 MERGED_ROWS = 1 << 20
 
@@ -166,9 +168,10 @@ def _recounted(key, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
     names = pa.array([], pa.string())
     source, found, counts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     if terms and texts.num_rows:
-        machine = ahocorasick.Automaton()
+        machine, whole = ahocorasick.Automaton(), {t: k for k, t in enumerate(terms) if len(t) > LONG}
         for k, t in enumerate(terms):
-            machine.add_word(f" {t} ", k)
+            if len(t) <= LONG:
+                machine.add_word(f" {t} ", k)
         machine.make_automaton()
         by_source: dict[str, list[str]] = {}
         for s, words in zip(texts["source"].to_pylist(), texts["words"].to_pylist(), strict=True):
@@ -177,7 +180,11 @@ def _recounted(key, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         for s, several in by_source.items():
             total = np.zeros(len(terms), np.int64)
             for words in several:
-                total += np.bincount(np.fromiter(map(itemgetter(1), machine.iter(f" {words} ")), np.int64), minlength=len(terms))
+                if len(machine):
+                    total += np.bincount(np.fromiter(map(itemgetter(1), machine.iter(f" {words} ")), np.int64), minlength=len(terms))
+                for t in words.split(" ") if whole else ():
+                    if t in whole:
+                        total[whole[t]] += 1
             hit = np.flatnonzero(total)
             parts.append((hit, total[hit]))
             source += [s] * len(hit)

@@ -4,8 +4,9 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
-from tessera.llm import divergence, registry
+from tessera.llm import divergence, flat, registry
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -69,3 +70,18 @@ def test_other_columns_and_empty_tables(spark, empty):
 def test_large_counts_are_exact(spark):
     got = spark.sql("select 9000000000000000000L as n, 9100000000000000000L as total, 12L as v").select(divergence._share(*(divergence.F.col(c) for c in ("n", "total", "v"))))
     assert got.first()[0] == 1 + 10**9 * (9 * 10**18 + 1) // (91 * 10**17 + 12)
+
+
+def test_hashes_do_not_depend_on_neighbours():
+    data = np.frombuffer(b"abcthe" + b"x" * 3000, np.uint8)
+    start, end = np.array([0, 3, 6]), np.array([3, 6, 3006])
+    assert (flat.hash_spans(data[:6], start[:2], end[:2]) == flat.hash_spans(data, start, end)[:2]).all()
+
+
+@pytest.mark.parametrize("block, size", [(7, 1500), (60_000, 2_000_000)])
+def test_long_terms(spark, rows, monkeypatch, block, size):
+    """Terms of over 1,024 bytes among many blocks, and ones too long for an automaton."""
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", block)
+    everything = odd_rows(rows) + [(3000 + k, f"{'X' * size} the {rows[k][1]}", "en", "s1", 0) for k in range(20, 24)]
+    got = divergence.audit(spark.createDataFrame(everything, SCHEMA).repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute(everything)
