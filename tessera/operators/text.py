@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.common import small, stored, top_k
 from ..functions.stem import stem
 from . import html as html_tree
+from . import topk
 
 #: English stop words of keyword search.
 STOP_WORDS = (
@@ -275,11 +276,17 @@ def dot(a: str, b: str) -> Column:
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int = 10, where: Column | None = None) -> DataFrame:
     """(query, key, similarity, rank): exact search by inner product; ties by smaller key. ``where`` filters on the
-    vectors' own columns. A block of queries meets all rows; Spark keeps k rows of each query before the shuffle."""
+    vectors' own columns. Rows with integer keys meet the queries in blocks (``topk``); of others Spark keeps k rows of each query
+    before the shuffle."""
     vectors = vectors.filter(where) if where is not None else vectors
+    order = [F.desc(F.round("similarity", 9)), key]
+    if topk.fits(vectors, key, vector, queries, query_key, query_vector):
+        pick = lambda df, c, v: df.select(F.col(c).alias("key"), F.col(v).alias("v"), F.lit(None).cast("array<bigint>").alias("codes"))
+        found = topk.best_rows(pick(vectors, key, vector).withColumn("key", F.col("key").cast("bigint")), pick(queries, query_key, query_vector), k)
+        return top_k(found.select("query", F.col("key").cast(vectors.schema[key].dataType).alias(key), "similarity"), ["query"], order, k)
     q = small(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")))
     scored = vectors.select(key, vector).crossJoin(q).select("query", key, dot(vector, "__q").alias("similarity"))
-    return top_k(scored, ["query"], [F.desc(F.round("similarity", 9)), key], k)
+    return top_k(scored, ["query"], order, k)
 
 
 def distance_to_similarity(distance: Column) -> Column:
