@@ -96,7 +96,12 @@ def judgments(judged: DataFrame, by: str, score: str) -> DataFrame:
 def evaluate(ranked: DataFrame, relevant: DataFrame, attributes: DataFrame, by: str, ks=(5, 10, 20)) -> DataFrame:
     """(by, k, metrics): retrieval metrics over all questions (``by`` null) and for each value of an attribute
     (query, by)."""
-    per = relevance_by_query(ranked, relevant, ks, "all").join(attributes.select("query", by), "query", "left")
+    return evaluated(relevance_by_query(ranked, relevant, ks, "all"), attributes, by)
+
+
+def evaluated(per: DataFrame, attributes: DataFrame, by: str) -> DataFrame:
+    """``evaluate`` of metrics by query."""
+    per = per.join(attributes.select("query", by), "query", "left")
     made = per.groupingSets([["k"], ["k", by]], "k", by).agg(F.grouping(by).alias("__all"), F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS])
     return made.filter(F.col("__all").cast("boolean") | F.col(by).isNotNull()).select("k", "queries", *METRICS, by)
 
