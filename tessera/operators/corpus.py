@@ -25,10 +25,12 @@ def embed(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION, seed
     n = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
     weight = (1 + F.log("tf")) * F.col("idf")
-    signs = F.expr(f"transform(sequence(0, {dimension - 1}), j -> if(xxhash64({seed}, term, j) & 1 = 1, 1D, -1D))")
-    signed = terms.select("term", "idf", signs.alias("signs"))  # once a term, not once a posting
-    parts = postings.join(signed, "term").select(key, F.transform("signs", lambda s: s * weight).alias("v"))
-    sums = parts.groupBy(key).agg(F.array(*[F.sum(F.col("v")[j]) for j in range(dimension)]).alias("v"))
+    # a bit a sign, once a term; a posting is shuffled with its bits, and the sums are made where all postings of a row are
+    bit = lambda b: F.expr(f"aggregate(sequence(0, 63), 0L, (a, j) -> a | if(xxhash64({seed}, term, j + {64 * b}) & 1 = 1, shiftleft(1L, j), 0L))")
+    signed = terms.select("term", "idf", *[bit(b).alias(f"__{b}") for b in range(-(-dimension // 64))])
+    parts = postings.join(signed, "term").select(key, weight.alias("__w"), *[c for c in signed.columns if c.startswith("__")]).repartition(F.col(key))
+    value = lambda j: F.when(F.col(f"__{j // 64}").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), j % 64)) != 0, F.col("__w")).otherwise(-F.col("__w"))
+    sums = parts.groupBy(key).agg(F.array(*[F.sum(value(j)) for j in range(dimension)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = sums.select(key, F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("embedding"))
     zero = F.expr(f"array_repeat(0D, {dimension})")
