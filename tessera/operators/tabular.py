@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import ordered_sums, with_totals
+from ..functions.common import ordered_sums, stored, with_totals
 
 FLOOR = 1e-4
 
@@ -110,12 +110,23 @@ def threshold_cost(scored: DataFrame, cost_fn: float = 1.0, cost_fp: float = 1.0
 
 
 def reference_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, mean, std, min, max, q25, median, q75, missing_rate): one pass over all columns."""
+    """(feature, n, mean, std, min, max, q25, median, q75, missing_rate) of all columns at once. Quantiles are exact, from running
+    counts of the distinct values over range partitions, so no task holds all values of a column."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
-    return long.groupBy("feature").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.25)).alias("q25"),
-        F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.75)).alias("q75"), F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
-    )
+    made = stored(long.groupBy("feature").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
+    ), "statistics")
+    counts = long.filter(F.col("v").isNotNull()).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
+    before = W.orderBy("feature").rowsBetween(W.unboundedPreceding, -1)  # a row a column
+    starts = made.select("feature", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = ordered_sums(counts, [F.col("feature"), F.col("v")], {"upto": F.col("c")}).join(F.broadcast(starts), "feature").withColumn("upto", F.col("upto") - F.col("start"))
+    at = lambda i: F.max(F.when((i >= F.col("upto") - F.col("c")) & (i < F.col("upto")), F.col("v")))
+    quantiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    place = {name: F.lit(p) * (F.col("n") - 1) for name, p in quantiles.items()}
+    ends = placed.groupBy("feature").agg(*[x for name, i in place.items() for x in (at(F.floor(i)).alias(f"{name}_lo"), at(F.ceil(i)).alias(f"{name}_hi"))])
+    between = lambda name, i: F.when(F.col(f"{name}_lo") == F.col(f"{name}_hi"), F.col(f"{name}_lo")).otherwise((F.ceil(i) - i) * F.col(f"{name}_lo") + (i - F.floor(i)) * F.col(f"{name}_hi"))
+    both = made.join(ends, "feature", "left")
+    return both.select("feature", "n", "mean", "std", "min", "max", *[between(name, i).alias(name) for name, i in place.items()], "missing_rate")
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
