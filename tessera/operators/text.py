@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.common import small, stored, top_k
+from ..functions.common import portions, small, stored, top_k
 from ..functions.stem import stem
 from . import html as html_tree
 from . import topk
@@ -54,14 +55,13 @@ def extract_html(pages: DataFrame, html: str, least: int = 50, site: str | None
     keep = [c for c in pages.columns if c != html]
 
     def rows(batches):
-        for b in batches:
-            made = [extract_page(x, site) for x in b[html]]
-            out = b[keep].copy()
-            out["title"], out["content"], out["sections"] = ([m[k] for m in made] for k in range(3))
-            yield out
+        for b in portions(batches, html):
+            made = list(zip(*[extract_page(x, site) for x in b[html].to_pylist()], strict=True))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], [*keep, "title", "content", "sections"])
 
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["title string", "content string", "sections array<string>"])
-    return pages.mapInPandas(rows, schema).filter(F.length("content") >= least)
+    return pages.select(*keep, html).mapInArrow(rows, schema).filter(F.length("content") >= least)
 
 
 def fixed_chunks(docs: DataFrame, key: str, text: str, tokens: int = 512, overlap: int = 50) -> DataFrame:
@@ -128,13 +128,19 @@ def chunk_text(content: str | None, sections: list[str] | None, kind: str, most:
 def semantic_chunks(docs: DataFrame, key: str, text: str, kind: str = "sentences", most: int = 1000, sections: str | None = None) -> DataFrame:
     """(key, chunk_id, chunk_index, heading, content) by sentences, paragraphs or sections (``kind``)."""
 
+    kind_of_key = docs.schema[key].dataType.simpleString()
+
     def rows(batches):
-        for b in batches:
-            out = [(k, f"{k}__chunk_{i}", i, h, c) for k, t, s in zip(b["k"], b["t"], b["s"], strict=True) for i, (h, c) in enumerate(chunk_text(t, list(s) if s is not None else None, kind, most))]
-            yield pd.DataFrame(out, columns=[key, "chunk_id", "chunk_index", "heading", "content"])
+        for b in portions(batches, "t"):
+            of_key = b["k"].type
+            columns = zip(*(b[c].to_pylist() for c in "kts"), strict=True)
+            out = [(k, f"{k}__chunk_{i}", i, h, c) for k, t, s in columns for i, (h, c) in enumerate(chunk_text(t, s, kind, most))]
+            made = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (of_key, pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], [key, "chunk_id", "chunk_index", "heading", "content"])
 
     s = F.col(sections) if sections else F.array().cast("array<string>")
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), s.alias("s")).mapInPandas(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_id string, chunk_index int, heading string, content string")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), s.alias("s")).mapInArrow(rows, f"`{key}` {kind_of_key}, chunk_id string, chunk_index int, heading string, content string")
 
 
 def tokens(text: str) -> Column:
