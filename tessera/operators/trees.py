@@ -58,11 +58,7 @@ class Objective:
             return b - y * a, (2 - r) * b - (1 - r) * y * a
         if self.kind == "quantile":
             return np.where(s >= y, 1 - self.alpha, -self.alpha), np.ones_like(s)
-        g, h, at = np.zeros_like(s), np.zeros_like(s), 0
-        for n in sizes.tolist():
-            g[at : at + n], h[at : at + n] = lambdas(y[at : at + n], s[at : at + n])
-            at += n
-        return g, h
+        return lambdas(y, s, sizes)
 
     def loss(self, y: np.ndarray, s: np.ndarray, w: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
         """Sum and weight of the loss."""
@@ -105,27 +101,41 @@ def ndcg(y: np.ndarray, s: np.ndarray) -> float:
     return float(gain[np.argsort(-s, kind="stable")] @ discount / best) if best > 0 else 0.0
 
 
-def lambdas(y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives of the pairwise logistic loss of one session, each pair weighted by what NDCG gains or loses if the two swap
-    places. Only pairs of different labels count, label by label, so a session costs items x relevant items."""
+#: Pairs of a session's items that are in memory at once.
+PAIRS = 1 << 20
+
+
+def lambdas(y: np.ndarray, s: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the pairwise logistic loss of sessions of ``sizes`` rows (by default one), each pair weighted by what NDCG gains
+    or loses if the two swap places. Only pairs of different labels count, label by label, so a session costs items x relevant
+    items. All sessions are worked on at once, in portions of about PAIRS pairs."""
     g, h = np.zeros_like(s), np.zeros_like(s)
-    gain = 2.0**y - 1
-    discount = 1 / np.log2(np.arange(len(y)) + 2)
-    best = np.sort(gain)[::-1] @ discount
-    if best <= 0:
+    sizes = np.array([len(s)]) if sizes is None else sizes[sizes > 0]
+    if not len(s):
         return g, h
-    rank = np.empty(len(s), np.int64)
-    rank[np.argsort(-s, kind="stable")] = np.arange(len(s))
-    place = discount[rank]
-    for i in np.flatnonzero(y > y.min()).tolist():
-        worse = np.flatnonzero(y < y[i])
-        swap = np.abs((gain[i] - gain[worse]) * (place[i] - place[worse])) / best
-        miss = 1 / (1 + np.exp(s[i] - s[worse]))
-        g[i] -= (miss * swap).sum()
-        g[worse] += miss * swap
+    n, starts = len(s), np.cumsum(sizes) - sizes
+    session = np.repeat(np.arange(len(sizes)), sizes)
+    gain, discount = 2.0**y - 1, 1 / np.log2(np.arange(sizes.max()) + 2)
+    inside = np.arange(n) - starts[session]
+    place = np.empty(n)
+    place[np.lexsort((-s, session))] = discount[inside]
+    best = np.add.reduceat(gain[np.lexsort((-gain, session))] * discount[inside], starts)
+    relevant = np.flatnonzero((y > np.minimum.reduceat(y, starts)[session]) & (best > 0)[session])
+    ends = np.cumsum(sizes[session[relevant]])
+    lo = 0
+    while lo < len(relevant):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        own = relevant[lo:hi]
+        each = sizes[session[own]]
+        i = np.repeat(own, each)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + starts[session[i]]
+        i, j = i[y[j] < y[i]], j[y[j] < y[i]]
+        swap = np.abs((gain[i] - gain[j]) * (place[i] - place[j])) / best[session[i]]
+        miss = 1 / (1 + np.exp(s[i] - s[j]))
+        g += np.bincount(j, miss * swap, n) - np.bincount(i, miss * swap, n)
         curve = miss * (1 - miss) * swap
-        h[i] += curve.sum()
-        h[worse] += curve
+        h += np.bincount(j, curve, n) + np.bincount(i, curve, n)
+        lo = hi
     return g, h
 
 
@@ -277,11 +287,11 @@ def _read(batches, model: Boosted, since: list[int]):
     """(bins, label, weight, valid, sizes, scores by now) of each block."""
     n, f = len(model.objectives), len(model.features)
     for b in batches:
-        for r in b.to_pylist():
-            bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, f)
-            y, w, s = (np.array(r[c]).reshape(-1, n) for c in ("label", "weight", "score"))
+        for r in range(b.num_rows):
+            bins = np.frombuffer(b["bins"][r].as_py(), np.uint8).reshape(-1, f)
+            y, w, s = (b[c][r].values.to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("label", "weight", "score"))
             s = np.column_stack([model.scores(bins, k, since[k], s[:, k]) for k in range(n)])
-            yield bins, y, w, np.frombuffer(r["valid"], np.uint8) > 0, np.array(r["sizes"], np.int64), s
+            yield bins, y, w, np.frombuffer(b["valid"][r].as_py(), np.uint8) > 0, b["sizes"][r].values.to_numpy().astype(np.int64), s
 
 
 def _histograms(model: Boosted, since: list[int], growing: dict[int, Tree], nodes: dict[int, list[int]]):
@@ -302,8 +312,9 @@ def _histograms(model: Boosted, since: list[int], growing: dict[int, Tree], node
                 if first:
                     loss[k] += o.loss(y[:, k], s[:, k], w[:, k] * valid, sizes)
                 index = ((node[use][:, None] * f + np.arange(f)) * bins_ + bins[use]).ravel()
-                for c, v in enumerate((g * w[:, k], h * w[:, k], np.ones_like(g))):
+                for c, v in enumerate((g * w[:, k], h * w[:, k])):
                     total[k][c] += np.bincount(index, np.repeat(v[use], f), total[k].shape[1])
+                total[k][2] += np.bincount(index, minlength=total[k].shape[1])
         rows = [(k, n, total[k].reshape(3, len(at), -1)[:, i].tobytes()) for k, at in nodes.items() for i, n in enumerate(at)]
         rows += [(k, -1, x.tobytes()) for k, x in loss.items() if first]
         if rows:

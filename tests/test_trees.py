@@ -179,3 +179,32 @@ def test_per_session(spark):
     targets = spark.createDataFrame([(1, 6), (2, 7), (3, 8)], "session long, target long")
     got = {r["session"]: (r["hit"], r["ndcg"], r["mrr"]) for r in models.per_session(ranked, targets, 2).collect()}
     assert got == {1: (1.0, 1 / np.log2(3), 0.5), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_lambdas_of_many_sessions_at_once(monkeypatch):
+    r = np.random.default_rng(4)
+    sizes = np.array([1, 7, 3, 0, 12, 5])
+    y, s = r.integers(0, 3, 28).astype(float), r.normal(size=28).round(1)
+    y[8:11] = 0
+    monkeypatch.setattr(trees, "PAIRS", 9)  # several portions
+    g, h = trees.Objective("lambdarank").gradients(y, s, sizes)
+    for lo, hi in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+        a, b, gain = y[lo:hi], s[lo:hi], 2.0 ** y[lo:hi] - 1
+        place = 1 / np.log2(np.argsort(np.argsort(-b, kind="stable")) + 2)
+        best = (np.sort(gain)[::-1] / np.log2(np.arange(len(a)) + 2)).sum()
+        wg, wh = np.zeros(hi - lo), np.zeros(hi - lo)
+        for i in range(hi - lo):
+            for j in range(hi - lo):
+                if a[i] > a[j]:
+                    swap, miss = abs((gain[i] - gain[j]) * (place[i] - place[j])) / best, 1 / (1 + np.exp(b[i] - b[j]))
+                    for x, sign in ((i, -1), (j, 1)):
+                        wg[x], wh[x] = wg[x] + sign * miss * swap, wh[x] + miss * (1 - miss) * swap
+        assert np.allclose(g[lo:hi], wg) and np.allclose(h[lo:hi], wh)
+
+
+def test_a_block_of_many_sessions_takes_few_steps(monkeypatch):
+    calls = []
+    monkeypatch.setattr(trees, "lambdas", lambda *a, real=trees.lambdas: calls.append(1) or real(*a))
+    y, s = np.tile([1.0, 0, 0, 0], 1000), np.arange(4000.0)
+    trees.Objective("lambdarank").gradients(y, s, np.full(1000, 4))
+    assert len(calls) == 1
