@@ -39,7 +39,7 @@ def build(
     made = Service(training.fit(model, sequences, catalogue, epochs, steps, rate), catalogue, stored(recsys.popularity(train), "service-popular"))
     if targets is not None:
         frame = stored(_frame(made, histories, candidates), "service-frame")
-        made.ranker = models.tree_rerankers(models.sampled_frame(frame, targets, 20), FEATURES, ("lambdarank",), **ranking)
+        made.ranker = models.tree_rerankers(stored(models.sampled_frame(frame, targets, 20), "ranker-rows"), FEATURES, ("lambdarank",), **ranking)
     return made
 
 

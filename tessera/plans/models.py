@@ -13,7 +13,7 @@ from ..operators import recsys as R
 from ..operators import sessions as S
 from ..operators import sarimax, serving, training
 from ..sources.tables import sales_panel, table
-from .sessions import _items, _knn, _warm
+from .sessions import _items, _knn, _warm, _warm_lists
 
 
 def _window(s, d):
@@ -35,10 +35,10 @@ FEATURES = ["score", "rank0", "log_popularity", "length", "n_categories", "categ
 def _two_stage(s, d):
     """(model, k, sessions, hit, ndcg, mrr) of retrieval alone and after reranking, on one split's warm sessions."""
     split, targets, hist = _warm(s, d)
-    candidates = R.recommend(hist, _knn(split), 50)
+    candidates = stored(R.recommend(hist, _knn(split), 50), "candidates")
     cats = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
-    frame = R.ranker_features(candidates, hist, R.popularity(split.train), cats)
-    model = M.reranker(M.sampled_frame(frame, targets, 20), FEATURES)
+    frame = stored(R.ranker_features(candidates, hist, R.popularity(split.train), cats), "ranker-frame")
+    model = M.reranker(stored(M.sampled_frame(frame, targets, 20), "ranker-rows"), FEATURES)
     after = M.reranked(model, frame, 20)
     one = R.rank_metrics(candidates, targets, (10, 20)).withColumn("model", F.lit("retrieval"))
     return one.unionByName(R.rank_metrics(after, targets, (10, 20)).withColumn("model", F.lit("two_stage")))
@@ -50,7 +50,7 @@ def _rerankers(s, d):
     candidates = stored(R.recommend(hist, _knn(split), 50), "candidates")
     cats = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
     frame = stored(R.ranker_features(candidates, hist, R.popularity(split.train), cats), "ranker-frame")
-    model = M.tree_rerankers(M.sampled_frame(frame, targets, 20), FEATURES)
+    model = M.tree_rerankers(stored(M.sampled_frame(frame, targets, 20), "ranker-rows"), FEATURES)
     return candidates, M.reranked_by_trees(model, frame, 20), targets
 
 
@@ -108,16 +108,17 @@ def _graph(s, d):
 
 def _neural(s, d):
     """(training sequences, histories in order, catalogue) of one split."""
-    split, targets, _ = _warm(s, d)
-    histories = S.prefix_target(split.test, split.vocabulary).join(targets.select("session"), "session", "left_semi").select("session", F.col("prefix").alias("items"))
+    split, warm = _warm_lists(s, d)
+    histories = warm.select("session", F.col("prefix").alias("items"))
     items = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"), F.pmod("itemid", F.lit(3)).alias("parent"))
     return S.sequences(split.train, split.train.select("session").distinct()), histories, N.catalogue_of(split.train, items)
 
 
 def _service(s, d):
     """A service trained on one split, for the histories of its warm sessions."""
-    split, targets, _ = _warm(s, d)
-    sequences, histories, _ = _neural(s, d)
+    split, warm = _warm_lists(s, d)
+    targets, histories = warm.select("session", "target"), warm.select("session", F.col("prefix").alias("items"))
+    sequences = S.sequences(split.train, split.train.select("session").distinct())
     items = split.vocabulary.select("itemid", F.pmod("itemid", F.lit(7)).alias("category"))
     made = serving.build(N.SASRec(), split.train, sequences, items, targets, histories, rounds=8, depth=3)
     return serving.recommend(made, histories, 10)
