@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -157,27 +156,40 @@ def _is_token(t: Column) -> Column:
 INDEX_PARTS = ("postings", "terms", "lengths")
 
 
-def _stems(terms: DataFrame) -> DataFrame:
-    """(term, stem) of distinct terms: Python sees the vocabulary and not the texts."""
+#: Stems that a Python worker remembers.
+STEMS = 300_000
+_known: dict[str, str] = {}
 
-    def rows(batches):
-        for b in batches:
-            yield pd.DataFrame({"term": b["term"], "stem": [stem(t) for t in b["term"]]})
 
-    return terms.select("term").distinct().mapInPandas(rows, "term string, stem string")
+def _stem(term: str) -> str:
+    if term not in _known:
+        if len(_known) >= STEMS:
+            _known.clear()
+        _known[term] = stem(term)
+    return _known[term]
 
 
 def stemmed(postings: DataFrame, *by: str, count: str = "tf") -> DataFrame:
-    """Rows of (by, term, count) with stems for terms, counts added up."""
-    return postings.join(_stems(postings), "term").groupBy(*by, F.col("stem").alias("term")).agg(F.sum(count).alias(count))
+    """Rows of (by, term, count) with stems for terms, counts added up. A batch's terms are stemmed where its rows are, each once, so
+    that rows aren't shuffled by term, whose frequent ones would share a task."""
+    rows = postings.select(*by, "term", count)
+
+    def run(batches):
+        for b in batches:
+            terms = b["term"].dictionary_encode()
+            made = pa.array([_stem(t) for t in terms.dictionary.to_pylist()], pa.string()).take(terms.indices)
+            yield pa.RecordBatch.from_arrays([made if c == "term" else b[c] for c in b.schema.names], b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema).groupBy(*by, "term").agg(F.sum(count).alias(count))
 
 
 def bm25_index(docs: DataFrame, key: str, text: str, stems: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings (key, term, tf), terms (term, idf), lengths (key, length)); texts without tokens have length 0. With ``stems``
     the terms are Porter stems. The postings are stored; the rest is computed from them."""
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+")).alias("term")).filter(_is_token(F.col("term")))
+    # with a key's texts in one partition, its words are counted there and not shuffled
+    words = docs.select(key, text).repartition(key).select(key, F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+")).alias("term")).filter(_is_token(F.col("term")))
     postings = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = stored(stemmed(stored(postings, "words"), key) if stems else postings, "postings")
+    postings = stored(stemmed(postings, key) if stems else postings, "postings")
     found = postings.groupBy(key).agg(F.sum("tf").alias("length"))
     lengths = docs.select(key).join(found, key, "left").select(key, F.coalesce("length", F.lit(0)).alias("length"))
     n = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))
@@ -235,13 +247,22 @@ SEGMENT_DOCS = 1024
 FIRST_SEGMENTS = 4
 
 
-def block_index(index: tuple[DataFrame, DataFrame, DataFrame], key: str, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
+def query_terms(queries: DataFrame, query_text: str, stems: bool = False) -> DataFrame:
+    """(term): the distinct terms of all queries."""
+    terms = queries.select(F.explode(tokens(query_text)).alias("term")).distinct()
+    return stemmed(terms.withColumn("tf", F.lit(1)), count="tf").select("term") if stems else terms
+
+
+def block_index(index: tuple[DataFrame, DataFrame, DataFrame], key: str, segment_docs: int = SEGMENT_DOCS, only: DataFrame | None = None) -> DataFrame:
     """(term, segment, best, entries (key, impact)): postings in blocks, each with the largest impact that a document of it has.
-    All terms share the segments, so that a query's bounds of a segment add up."""
+    All terms share the segments, so that a query's bounds of a segment add up. ``only`` (term): blocks of other terms aren't made,
+    for an index that serves known queries once."""
     postings, _, lengths = index
+    if only is not None:
+        postings = postings.join(small(only), "term", "left_semi")
     mean = F.broadcast(lengths.agg(F.avg("length").alias("mean"), F.ceil(F.count(F.lit(1)) / segment_docs).alias("n")))
     placed = postings.join(lengths, key).crossJoin(mean).select("term", F.pmod(F.xxhash64(key), F.greatest(F.col("n"), F.lit(1))).alias("segment"), F.col(key).alias("key"), _impact().alias("impact"))
-    return placed.groupBy("term", "segment").agg(F.max("impact").alias("best"), F.collect_list(F.struct("key", "impact")).alias("entries"))
+    return placed.repartition("segment").groupBy("term", "segment").agg(F.max("impact").alias("best"), F.collect_list(F.struct("key", "impact")).alias("entries"))
 
 
 def search_blocks(blocks: DataFrame, terms: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str, k: int = 50, stems: bool = False) -> DataFrame:
@@ -253,8 +274,13 @@ def search_blocks(blocks: DataFrame, terms: DataFrame, queries: DataFrame, key:
 
 
 def _scored(rows: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
-    hits = blocks.join(asked, "term").join(rows.select("query", "segment"), ["query", "segment"])
-    return hits.select("query", "weight", F.inline("entries")).groupBy("query", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    """(query, key, score) in the segments of ``rows`` (query, segment). A segment's blocks meet in one task, which adds up the scores of
+    its documents: blocks are shuffled once and not for each query, and scores aren't shuffled."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = rows.groupBy("segment").agg(F.collect_set("query").alias("queries"))
+    hits = blocks.repartition(parts, "segment").join(wanted, "segment").join(small(asked), "term").filter(F.array_contains("queries", F.col("query")))
+    scored = hits.select("segment", "query", "weight", F.inline("entries")).groupBy("segment", "query", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    return scored.drop("segment")
 
 
 def _search_rows(blocks: DataFrame, terms: DataFrame, queries: DataFrame, query_key: str, query_text: str, k: int, stems: bool) -> tuple[DataFrame, DataFrame]:

@@ -64,3 +64,34 @@ def test_blocks_give_the_ranks_of_the_full_sum(spark, stems):
     rows, _ = text._search_rows(blocks, index[1], q, "q", "ask", 5, stems)
     per = dict(rows.groupBy("query").count().collect())
     assert per[1] < 25 and per[2] < 25  # of 30 segments
+
+
+def test_words_and_stems_are_shuffled_by_document_only(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(text, "stored", lambda df, name, real=text.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    docs = spark.createDataFrame(corpus(60), "id long, t string")
+    text.bm25_index(docs, "id", "t")
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
+    plans.clear()
+    text.bm25_index(docs, "id", "t", True)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2] and "Join" not in plans[0]
+
+
+def test_scores_are_added_up_where_their_segment_lies(spark):
+    docs, queries = spark.createDataFrame(corpus(200), "id long, t string"), spark.createDataFrame([(1, "models data w3ing w5ing"), (2, "cluster w9ing")], "q long, t string")
+    index = text.bm25_index(docs, "id", "t")
+    known = text.query_terms(queries, "t")
+    assert {x["term"] for x in known.collect()} == {"models", "data", "w3ing", "w5ing", "cluster", "w9ing"}
+    blocks = text.stored(text.block_index(index, "id", 20, only=known), "posting-blocks")
+    assert {x["term"] for x in blocks.select("term").distinct().collect()} <= {x["term"] for x in known.collect()}
+    rows, asked = text._search_rows(blocks, index[1], queries, "q", "t", 5, False)
+    plan = text._scored(text.stored(rows, "rows"), asked, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query" not in plan and "Exchange hashpartitioning(key" not in plan
+    of = lambda df: [tuple(x) for x in df.select("query", "id", F.round("score", 8), "rank").orderBy("query", "rank").collect()]
+    assert of(text.search_blocks(blocks, index[1], queries, "id", "q", "t", 5)) == of(text.search_index(index, queries, "id", "q", "t", 5))
+
+
+def test_the_memory_of_stems_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(text, "STEMS", 3)
+    monkeypatch.setattr(text, "_known", {})
+    assert [text._stem(w) for w in ("cats", "dogs", "models", "fitted", "cats")] == ["cat", "dog", "model", "fit", "cat"] and len(text._known) <= 3
