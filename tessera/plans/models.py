@@ -16,17 +16,18 @@ from ..sources.tables import sales_panel, table
 from .sessions import _items, _knn, _warm, _warm_lists
 
 
-def _window(s, d):
-    f = P.folds(sales_panel(s, d), 1, 28, 28).first()
+def _window(panel):
+    f = P.folds(panel, 1, 28, 28).first()
     return f["train_end"], f["test_end"]
 
 
 def _boosted(s, d):
-    return M.boosted_forecast(sales_panel(s, d), *_window(s, d), rounds=15, depth=3, rate=0.3)
+    panel = stored(sales_panel(s, d), "panel")
+    return M.boosted_forecast(panel, *_window(panel), rounds=15, depth=3, rate=0.3)
 
 
 def _series(s, d):
-    return M.autoregression(sales_panel(s, d), *_window(s, d))
+    return M.autoregression(sales_panel(s, d), *_window(sales_panel(s, d)))
 
 
 FEATURES = ["score", "rank0", "log_popularity", "length", "n_categories", "category_seen", "category_share"]
@@ -88,7 +89,7 @@ def _ann_recall(s, d):
 
 
 def _sarimax(s, d):
-    return sarimax.forecasts(sales_panel(s, d), *_window(s, d))
+    return sarimax.forecasts(sales_panel(s, d), *_window(sales_panel(s, d)))
 
 
 def _graph_sweep(s, d):

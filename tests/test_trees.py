@@ -172,6 +172,37 @@ def test_forecast_quantiles_and_horizon(spark):
         models.boosted_forecast(long, days[190], days[219])
 
 
+def test_forecast_reads_the_lines_once(spark, monkeypatch):
+    from datetime import date, timedelta
+
+    from tessera.plans import models as plans
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    days = [date(2023, 1, 1) + timedelta(k) for k in range(200)]
+    rows = [(d, f"b_{s}", "b", float((k * (s + 3)) % 11), int(k % 9 == 0)) for s in range(3) for k, d in enumerate(days)]
+    long = spark.createDataFrame(rows, "date date, sku string, brand string, qty double, promo int")
+    monkeypatch.setattr(plans, "sales_panel", lambda s, d: long.mapInArrow(counted, long.schema))
+    assert plans._boosted(spark, "").count() == 3 * 28
+    assert read.value == len(rows)
+
+
+def test_many_parts_are_not_broadcast(spark, tmp_path):
+    from tessera.sources.tables import sales_panel
+
+    spark.range(100_001).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 5).alias("p_brand")).write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(50).select((F.col("id") * 2000).alias("l_partkey"), F.lit(2.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.lit("2023-01-01").cast("timestamp").alias("l_shipdate"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = sales_panel(spark, str(tmp_path))
+    assert [(r["sku"], r["qty"], r["promo"]) for r in made.collect()] == [("Brand#0", 100.0, 1)]
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_per_session(spark):
     from tessera.operators import models
 
